@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -30,17 +29,24 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once and kept in a shared folder, so that a lost executor costs no lineage."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: With it, Spark drops an execution's shuffle files when the execution ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once and kept in a shared folder, so that a lost executor costs no lineage.
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files that no live DataFrame needs, so that steps don't add up on disk."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    Its shuffle files go at once: the steps of an operator don't add up on disk.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,17 +73,17 @@ def crc_rest(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
-def word_hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """64-bit hashes of words; known remembers those of frequent words and is bounded by its caller."""
-    digest, out = xxhash.xxh3_64_intdigest, []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = digest(w)
-            if len(known) < 200_000:
-                known[w] = h
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+class WordHashes(dict):
+    """64-bit hashes of words, by lookup; remembers a bounded number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 200_000:
+            self[word] = h
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -93,3 +99,18 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(29)
     return out
+
+
+def most_counted(df: DataFrame, key: str, count: str, most: int) -> list[tuple]:
+    """(key, count) of the largest counts, all of a step of counts or none, and never more than most rows."""
+    steps = df.groupBy(F.floor(F.log2(count) * 16).alias("step")).agg(F.count("*").alias("n"), F.min(count).alias("c")).orderBy(F.desc("step")).collect()
+    least, have = None, 0
+    for r in steps:  # some hundred steps, whatever the table
+        have += r["n"]
+        if have > most:
+            break
+        least = r["c"]
+    if least is None:
+        return []
+    t = df.where(F.col(count) >= least).select(key, count).toArrow()
+    return list(zip(t[key].to_pylist(), t[count].to_pylist(), strict=True))

@@ -1,14 +1,14 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 Suffixes of documents (by words, cut at the window) are dealt by prefix into groups that fit a task's
-memory, and each group's suffix tree is read off its sorted suffixes: adjacent suffixes with a common
-prefix as long as the window hang below one internal node of that depth. A window is a repeat where
-its node has a leaf of a smaller document; adjacent windows make up maximal repeats.
+memory, and each group's suffix tree is read off its sorted suffixes: neighbours with a common prefix
+as long as the window hang below one internal node of that depth. A window is a repeat where its node
+has a leaf of a smaller document; adjacent windows make up maximal repeats.
 
 Which suffixes can lie below such a node at all is settled first. Every window has a lead: the
-four-word prefix, among those inside it, of the smallest hash. Equal windows have equal leads, so only
-windows whose lead stands in two different texts go on. Leads are a sixth of all positions, and counting
-them is an aggregation with partial sums, whatever their frequency.
+six-word run, among those inside it, of the smallest hash. Equal windows have equal leads, so only
+windows whose lead stands in two different texts go on. Leads are about a fifth of all positions, and
+counting them is an aggregation with partial sums, whatever their frequency.
 
 A prefix is four words long, and as long as the window where its lead is crowded; suffixes of crowded
 leads are also salted, and the leaf of the smallest document is then found in two steps.
@@ -25,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, release, stored, word_hashes
+from .common import WordHashes, gram_hashes, stored
 
-LEAD = 4
+LEAD = 6
 LAST = (1 << 63) - 1  # stands for a null id: larger than any other
 
 
@@ -36,12 +36,16 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def leads(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each window, the smallest hash of the four-word runs inside it."""
-    grams = gram_hashes(hashes, LEAD)
-    width = window - LEAD + 1
-    if len(grams) < width:
-        return grams[:0]
-    return np.lib.stride_tricks.sliding_window_view(grams, width).min(axis=1)
+    """For each window, the smallest hash of the six-word runs inside it."""
+    least = gram_hashes(hashes, min(LEAD, window))
+    width, have = max(1, window - LEAD + 1), 1
+    if len(least) < width:
+        return least[:0]
+    while have < width:  # minima over have positions each, joined to wider ones
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -49,26 +53,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key"), "text")
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [tokens(t) for t in b["text"].to_pylist()]
-        yield pa.record_batch({"doc": b["doc"], "key": b["key"], "digest": pa.array([xxhash.xxh3_128_digest(b" ".join(w)) for w in got], pa.binary()), "n": pa.array([len(w) for w in got], pa.int64())})
-
-
 def _leads(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = WordHashes()
         for b in batches:
-            doc, key, lead = [], [], []
+            doc, key, digest, found = [], [], [], []
             for d, k, t in zip(b["doc"].to_pylist(), b["key"].to_pylist(), b["text"].to_pylist(), strict=True):
                 words = tokens(t)
                 if len(words) >= window:
-                    own = np.unique(leads(word_hashes(words, known), window)).view(np.int64)
-                    doc.append(np.full(len(own), d, dtype=np.int64))
-                    key.append(np.full(len(own), k, dtype=np.int64))
-                    lead.append(own)
-            if doc:
-                yield pa.record_batch({"lead": np.concatenate(lead), "doc": np.concatenate(doc), "key": np.concatenate(key)})
+                    own = leads(known.of(words), window)
+                    own = np.unique(own[np.concatenate([[True], own[1:] != own[:-1]])])
+                    doc.append(d)
+                    key.append(k)
+                    digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                    found.append(own.view(np.int64))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+            yield pa.record_batch({"doc": pa.array(doc, pa.int64()), "key": pa.array(key, pa.int64()), "digest": pa.array(digest, pa.binary()), "leads": lists})
 
     return run
 
@@ -76,71 +77,56 @@ def _leads(window: int):
 def _suffixes(window: int, crowd: int):
     """Suffixes of one document that start a window with a shared lead.
 
-    words has 32 bits of each word, node 64 bits of the whole window; both must agree for suffixes to
-    share a path.
+    words has 16 bits of each word in an order that bytes keep, node 64 bits of the whole window; both
+    must agree for suffixes to share a path.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = WordHashes()
         for b in batches:
             for doc, key, text, shared, counts in zip(*(b[c].to_pylist() for c in ("doc", "key", "text", "leads", "counts")), strict=True):
-                hashes = word_hashes(tokens(text), known)
+                hashes = known.of(tokens(text))
                 own = leads(hashes, window).view(np.int64)
                 shared_, counts_ = np.array(shared, dtype=np.int64), np.array(counts, dtype=np.int64)
                 by = np.argsort(shared_)
                 shared_, counts_ = shared_[by], counts_[by]
                 at = np.minimum(np.searchsorted(shared_, own), len(shared_) - 1)
                 pos = np.flatnonzero(shared_[at] == own)
-                if not len(pos):
-                    continue
                 salts = -(-counts_[at[pos]] // crowd)
+                salt = np.where(salts > 1, key % np.maximum(salts, 1), -1).astype(np.int32)
                 node = gram_hashes(hashes, window)[pos].view(np.int64)
-                prefix = np.where(salts > 1, node, gram_hashes(hashes, LEAD)[pos].view(np.int64))
-                salt = np.where(salts > 1, key % np.maximum(salts, 1), -1)
-                short = (hashes >> np.uint64(32)).astype(np.uint32)
+                short = (hashes >> np.uint64(48)).astype(">u2")
                 paths = np.lib.stride_tricks.sliding_window_view(short, window)[pos]
                 for i in range(0, len(pos), 20_000):
-                    part = slice(i, i + 20_000)
-                    yield pa.record_batch({
-                        "prefix": prefix[part], "salt": salt[part].astype(np.int64), "node": node[part],
-                        "words": pa.array([r.tobytes() for r in np.ascontiguousarray(paths[part])], pa.binary()),
-                        "doc": np.full(len(pos[part]), doc, dtype=np.int64), "key": np.full(len(pos[part]), key, dtype=np.int64), "pos": pos[part].astype(np.int32),
-                    })
+                    n = len(pos[i : i + 20_000])
+                    flat = pa.py_buffer(np.ascontiguousarray(paths[i : i + n]).tobytes())
+                    words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * window * 2, window * 2, dtype=np.int32)), flat])
+                    yield pa.record_batch({"words": words, "node": node[i : i + n], "doc": np.full(n, doc), "key": np.full(n, key), "pos": pos[i : i + n].astype(np.int32), "salt": salt[i : i + n]})
 
     return run
 
 
-def subtree_leaves(words: np.ndarray, node: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, group, first): suffixes sorted as the leaves of their tree, the number of the deepest node
-    above each, and the smallest document below that node.
-
-    words is suffixes x depth. The common prefix of neighbours in the sorted order is the depth of the
-    node that joins them; those of full depth are joined.
-    """
-    order = np.lexsort((node, *words.T[::-1]))
-    path, last = words[order], node[order]
-    same = np.logical_and.accumulate(path[1:] == path[:-1], axis=1)
-    depth = same.sum(axis=1)
-    joined = (depth == words.shape[1]) & (last[1:] == last[:-1])
-    group = np.concatenate([[0], np.cumsum(~joined)]) if len(order) else np.empty(0, dtype=np.int64)
-    first = np.full(int(group[-1]) + 1 if len(group) else 0, LAST, dtype=np.int64)
-    np.minimum.at(first, group, doc[order])
-    return order, group, first[group]
+def depths(words: np.ndarray) -> np.ndarray:
+    """Depth of the node that joins each suffix to the next one in the sorted order: their common prefix."""
+    return np.logical_and.accumulate(words[1:] == words[:-1], axis=1).sum(axis=1)
 
 
 def _trees(window: int, rows: int):
-    """Reads suffixes sorted by prefix, builds the trees of whole prefixes, some at a time."""
-
-    def done(t: pa.Table) -> pa.RecordBatch:
-        words = np.frombuffer(b"".join(t["words"].to_pylist()), dtype=np.uint32).reshape(-1, window)
-        node, doc = t["node"].to_numpy(), t["doc"].to_numpy()
-        order, _, first = subtree_leaves(words, node, doc)
-        back = np.empty_like(order)
-        back[order] = np.arange(len(order))
-        first = first[back]
-        salt = t["salt"].to_numpy()
-        keep = (salt >= 0) | (first < doc)
-        return pa.record_batch({"doc": doc[keep], "key": t["key"].to_numpy()[keep], "pos": t["pos"].to_numpy()[keep], "node": node[keep], "first": first[keep], "salt": salt[keep]})
+    """Reads suffixes in the order of their words; leaves below one node of full depth stand together."""
+
+    def done(t: pa.Table, words: np.ndarray, same: np.ndarray) -> pa.RecordBatch:
+        start = np.flatnonzero(np.concatenate([[True], ~same]))
+        doc, salt = t["doc"].to_numpy(), t["salt"].to_numpy()
+        least = np.minimum.reduceat(doc, start)
+        first = np.repeat(least, np.diff(np.concatenate([start, [len(doc)]])))
+        keep = np.flatnonzero((salt >= 0) | (first < doc))
+        part = t.select(["doc", "key", "pos", "node", "salt"]).take(pa.array(keep)).combine_chunks()
+        return pa.record_batch([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns), pa.array(first[keep])], names=["doc", "key", "pos", "node", "salt", "first"])
+
+    def joined(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        words = np.frombuffer(b"".join(t["words"].to_pylist()), dtype=np.uint16).reshape(-1, window)
+        node, salt = t["node"].to_numpy(), t["salt"].to_numpy()
+        return words, (depths(words) == window) & (node[1:] == node[:-1]) & (salt[1:] == salt[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -150,43 +136,40 @@ def _trees(window: int, rows: int):
             count += b.num_rows
             if count >= rows:
                 t = pa.Table.from_batches(held)
-                prefix, salt = t["prefix"].to_numpy(), t["salt"].to_numpy()
-                change = np.flatnonzero((prefix[1:] != prefix[:-1]) | (salt[1:] != salt[:-1]))
-                cut = int(change[-1]) + 1 if len(change) else 0
-                if cut:
-                    yield done(t.slice(0, cut))
-                    held = t.slice(cut).combine_chunks().to_batches()
+                words, same = joined(t)
+                cut = np.flatnonzero(~same)
+                if len(cut):
+                    k = int(cut[-1]) + 1
+                    yield done(t.slice(0, k), words[:k], same[: k - 1])
+                    held = t.slice(k).combine_chunks().to_batches()
                     count = sum(x.num_rows for x in held)
         if count:
-            yield done(pa.Table.from_batches(held))
+            t = pa.Table.from_batches(held)
+            yield done(t, *joined(t))
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = 13, crowd: int = 20_000, rows: int = 100_000) -> DataFrame:
+def repeats(docs: DataFrame, window: int = 13, crowd: int = 20_000, rows: int = 50_000) -> DataFrame:
     """(key, whole, starts): by document, the windows that also start in a document of smaller id.
 
     whole marks an exact copy (by words) of a smaller document, all of whose windows do. A null id is
     larger than any other. Rows that share an id never count against each other.
     """
-    spark = docs.sparkSession
     base = _keyed(docs)
-    texts = stored(base.mapInArrow(_digests, "doc long, key long, digest binary, n long").where(F.col("n") >= window).drop("n"), "texts")
+    texts = stored(base.mapInArrow(_leads(window), "doc long, key long, digest binary, leads array<long>"), "texts")
     kinds = texts.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = stored(texts.join(kinds, "digest").where("doc > first").select("key").distinct(), "copies")
-
-    found = base.mapInArrow(_leads(window), "lead long, doc long, key long")
-    twice = found.groupBy("lead").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("lead")
-    among = stored(found.select("lead", "key").join(twice, "lead").join(copies, "key", "left_anti"), "leads")
-    release(spark)
-    counted = among.groupBy("lead").agg(F.count("*").alias("n")).where("n > 1")
-    lists = stored(among.join(counted, "lead").groupBy("key").agg(F.collect_list("lead").alias("leads"), F.collect_list("n").alias("counts")), "lists")
-    release(spark)
-
-    suffixes = base.join(lists, "key").mapInArrow(_suffixes(window, crowd), "prefix long, salt long, node long, words binary, doc long, key long, pos int")
-    sorted_ = suffixes.repartition("prefix", "salt").sortWithinPartitions("prefix", "salt")
-    leaves = stored(sorted_.mapInArrow(_trees(window, rows), "doc long, key long, pos int, node long, first long, salt long"), "leaves")
-    release(spark)
+    copies = stored(texts.select("key", "doc", "digest").join(kinds, "digest").where("doc > first").select("key").distinct(), "copies")
+
+    own = texts.select("doc", "key", "leads").join(copies, "key", "left_anti").select(F.explode("leads").alias("lead"), "doc", "key")
+    twice = own.groupBy("lead").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("lead", "n")
+    lists = own.select("lead", "key").join(twice, "lead").groupBy("key").agg(F.collect_list("lead").alias("leads"), F.collect_list("n").alias("counts"))
+    lists = stored(lists, "lists")
+
+    suffixes = base.join(lists, "key").mapInArrow(_suffixes(window, crowd), "words binary, node long, doc long, key long, pos int, salt int")
+    prefix = F.when(F.col("salt") < 0, F.xxhash64(F.substring("words", 1, 8))).otherwise(F.xxhash64("node", "salt"))
+    sorted_ = suffixes.repartition(prefix).sortWithinPartitions("words", "node", "salt")
+    leaves = stored(sorted_.mapInArrow(_trees(window, rows), "doc long, key long, pos int, node long, salt int, first long"), "leaves")
     alone = leaves.where("salt < 0").select("key", "pos")
     spread = leaves.where("salt >= 0")
     nodes = spread.groupBy("node").agg(F.min("first").alias("least"))
