@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, html_text, language, lattice, license_scan, mixing, substring_dedup, warc
+from . import decontaminate, fingerprint, html_text, jaccard, language, lattice, license_scan, mixing, substring_dedup, warc
 from .common import crc_rest, small_batches, table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
