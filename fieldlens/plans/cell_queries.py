@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.functions import color, geo, text
@@ -10,7 +10,9 @@ from fieldlens.operators import captions, reports, shapes, sites
 
 from .inputs import table
 
-R, G, B = F.col("r"), F.col("g"), F.col("b")
+
+def _rgb() -> tuple[Column, Column, Column]:
+    return F.col("r"), F.col("g"), F.col("b")
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,25 +85,25 @@ def cell_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rgb_to_hsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h, s, v = color.hsv(R, G, B)
+    h, s, v = color.hsv(*_rgb())
     return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(h, 6).alias("h"), F.round(s, 6).alias("s"), F.round(v, 6).alias("v"))
 
 
 def rgb_to_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l, a, b = color.lab(R, G, B)  # noqa: E741
+    l, a, b = color.lab(*_rgb())  # noqa: E741
     return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(l, 3).alias("lab_l"), F.round(a, 3).alias("lab_a"), F.round(b, 3).alias("lab_b"))
 
 
 def rgb_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", color.hex_code(R, G, B).alias("hex"))
+    return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", color.hex_code(*_rgb()).alias("hex"))
 
 
 def color_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).groupBy(color.sector_color_name(R, G, B).alias("name")).agg(F.count("*").alias("n"))
+    return pixels(spark, sf_dir).groupBy(color.sector_color_name(*_rgb()).alias("name")).agg(F.count("*").alias("n"))
 
 
 def colorful_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", color.is_colorful(R, G, B).alias("colorful"), color.is_reddish(R, G, B).alias("reddish"), color.is_red_cluster_pixel(R, G, B).alias("cluster"))
+    return pixels(spark, sf_dir).select("l_orderkey", "l_linenumber", color.is_colorful(*_rgb()).alias("colorful"), color.is_reddish(*_rgb()).alias("reddish"), color.is_red_cluster_pixel(*_rgb()).alias("cluster"))
 
 
 def mean_rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
