@@ -101,8 +101,8 @@ def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def most_counted(df: DataFrame, key: str, count: str, most: int) -> list[tuple]:
-    """(key, count) of the largest counts, all of a step of counts or none, and never more than most rows."""
+def most_counted(df: DataFrame, key: str, count: str, most: int, *more: str) -> list[tuple]:
+    """(key, count, more columns) of the largest counts, all of a step of counts or none, and never more than most rows."""
     steps = df.groupBy(F.floor(F.log2(count) * 16).alias("step")).agg(F.count("*").alias("n"), F.min(count).alias("c")).orderBy(F.desc("step")).collect()
     least, have = None, 0
     for r in steps:  # some hundred steps, whatever the table
@@ -112,5 +112,5 @@ def most_counted(df: DataFrame, key: str, count: str, most: int) -> list[tuple]:
         least = r["c"]
     if least is None:
         return []
-    t = df.where(F.col(count) >= least).select(key, count).toArrow()
-    return list(zip(t[key].to_pylist(), t[count].to_pylist(), strict=True))
+    t = df.where(F.col(count) >= least).select(key, count, *more).toArrow()
+    return list(zip(*(t[c].to_pylist() for c in (key, count, *more)), strict=True))

@@ -12,7 +12,7 @@ end. Word counts of the training documents give the add-one baseline beside it.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, stored
+from .common import crc_rest, most_counted, stored
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
@@ -49,61 +49,83 @@ class Lattice:
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
-        self.longest = max((len(p) for p in weights), default=1)
         lowest = min(weights.values(), default=-20.0)
         self.bytes = [weights.get(f"<0x{b:02X}>", lowest) for b in range(256)]
-
-    def arcs(self, word: bytes) -> list[list[tuple[int, float, str | None]]]:
-        """For each end in the word, (start, log weight, piece). A character that is no piece has an arc of bytes."""
-        s = START + word.decode("utf-8", "surrogatepass")
-        get, longest = self.weights.get, self.longest
-        out: list[list[tuple[int, float, str | None]]] = [[]]
-        for i in range(1, len(s) + 1):
-            here = []
-            for j in range(max(0, i - longest), i):
-                piece = s[j:i]
-                w = get(piece)
-                if w is not None:
-                    here.append((j, w, piece))
-            if not here or here[-1][0] != i - 1:
-                here.append((i - 1, sum(self.bytes[b] for b in s[i - 1].encode("utf-8", "surrogatepass")), None))
-            out.append(here)
+        #: pieces and all that pieces start with; the latter have no weight
+        self.starts: dict[str, float | None] = {p[:k]: None for p in weights for k in range(1, len(p))}
+        self.starts.update(weights)
+
+    def arcs(self, s: str) -> list[list[tuple[int, float]]]:
+        """For each end in s, (start, log weight). A character that is no piece has an arc of bytes."""
+        n = len(s)
+        get = self.starts.get
+        out: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for j in range(n):
+            w = get(s[j], 1.0)
+            if w is None or w == 1.0:
+                out[j + 1].append((j, sum([self.bytes[b] for b in s[j].encode("utf-8", "surrogatepass")])))
+                if w == 1.0:
+                    continue
+            else:
+                out[j + 1].append((j, w))
+            for i in range(j + 2, n + 1):
+                w = get(s[j:i], 1.0)
+                if w is None:
+                    continue
+                if w == 1.0:
+                    break
+                out[i].append((j, w))
         return out
 
-    def forward(self, word: bytes) -> float:
-        """Log of the word's probability, summed over all segmentations."""
-        return self._alpha(self.arcs(word))[-1]
-
     @staticmethod
-    def _alpha(arcs: list[list[tuple[int, float, str | None]]]) -> list[float]:
+    def alpha(arcs: list[list[tuple[int, float]]]) -> list[float]:
+        """Log of the summed weight of all paths to each cut."""
         a = [0.0]
         exp, log = math.exp, math.log
         for here in arcs[1:]:
             if len(here) == 1:
                 a.append(a[here[0][0]] + here[0][1])
                 continue
-            terms = [a[j] + w for j, w, _ in here]
+            terms = [a[j] + w for j, w in here]
             m = max(terms)
             a.append(m + log(sum([exp(t - m) for t in terms])))
         return a
 
+    def forward(self, word: bytes) -> float:
+        """Log of the word's probability, summed over all segmentations."""
+        return self.alpha(self.arcs(START + word.decode("utf-8", "surrogatepass")))[-1]
+
     def expect(self, word: bytes, count: float, into: dict[str, float]) -> None:
         """Add the expected number of uses of each piece in count such words."""
-        arcs = self.arcs(word)
-        a = self._alpha(arcs)
-        n = len(arcs) - 1
-        post = [0.0] * n + [1.0]  # probability that a segmentation has a cut here
+        s = START + word.decode("utf-8", "surrogatepass")
+        arcs = self.arcs(s)
+        a = self.alpha(arcs)
+        n = len(s)
+        exp, weights = math.exp, self.weights
+        post = [0.0] * n + [count]  # expected number of cuts here
         for i in range(n, 0, -1):
-            if post[i] <= 0:
+            if (all_ := post[i]) <= 0:
                 continue
-            for j, w, piece in arcs[i]:
-                p = post[i] * math.exp(a[j] + w - a[i])
+            here = arcs[i]
+            for j, w in here:
+                p = all_ * exp(a[j] + w - a[i]) if len(here) > 1 else all_
                 post[j] += p
-                if piece is not None:
-                    into[piece] = into.get(piece, 0.0) + p * count
+                piece = s[j:i]
+                if piece in weights:
+                    into[piece] += p
                 else:
-                    for b in (START + word.decode("utf-8", "surrogatepass"))[j:i].encode("utf-8", "surrogatepass"):
-                        into[f"<0x{b:02X}>"] = into.get(f"<0x{b:02X}>", 0.0) + p * count
+                    for b in piece.encode("utf-8", "surrogatepass"):
+                        into[f"<0x{b:02X}>"] += p
+
+
+class PieceScore:
+    """Log10 of a word's probability by pieces, with the pieces' share of the mix; the empty word is the end."""
+
+    def __init__(self, weights: dict[str, float], end: float, log_split: float) -> None:
+        self.lattice, self.end, self.log_split = Lattice(weights), end, log_split
+
+    def __call__(self, word: bytes) -> float:
+        return self.log_split + (self.lattice.forward(word) if word else self.end) / LN10
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -136,11 +158,11 @@ def fit_weights(counts: DataFrame, prior: dict[str, float], rounds: int = 1, str
         shared = sc.broadcast(weights)  # as many entries as the tokenizer has pieces
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice, into = Lattice(shared.value), {}
+            lattice, into = Lattice(shared.value), defaultdict(float)
             for b in batches:
                 for w, c in zip(b["word"].to_pylist(), b["c"].to_pylist(), strict=True):
                     if w == END:
-                        into["\n"] = into.get("\n", 0.0) + c  # no piece is a line break: it stands for the end
+                        into["\n"] += c  # no piece is a line break: it stands for the end
                     else:
                         lattice.expect(w, c, into)
             yield pa.record_batch({"piece": pa.array(list(into), pa.string()), "e": pa.array(list(into.values()), pa.float64())})
@@ -165,52 +187,60 @@ def score_documents(docs: DataFrame, pieces: str = PIECES, frequent: int = 200_0
     counts = stored(word_counts(docs.where(~held)), "words")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
-    weights, end = fit_weights(counts, load_pieces(pieces), rounds)
-    top = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.col("c").desc(), "word").limit(frequent).collect()}
-    all_known = len(top) < frequent  # then what is not in top was never seen
-    shared = spark.sparkContext.broadcast((weights, end, top))
     whole, split = (1 / (n + v), v / (n + v)) if n else (0.0, 1.0)  # weight of a counted token, and of the pieces
-    log_split = math.log10(split)
+    weights, end = fit_weights(counts, load_pieces(pieces), rounds)
+    weighed = spark.sparkContext.broadcast((weights, end, math.log10(split)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, end, top = shared.value
-        lattice, seen = Lattice(weights), {}
+    def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_pieces = PieceScore(*weighed.value)
+        for b in batches:
+            yield pa.record_batch([b["word"], b["c"], pa.array([by_pieces(w) for w in b["word"].to_pylist()], pa.float64())], names=["word", "c", "s"])
 
-        def by_pieces(w: bytes) -> float:
-            return log_split + (lattice.forward(w) if w else end) / LN10
+    words = stored(counts.mapInArrow(score_words, "word binary, c long, s double"), "weighed")
+    top = {bytes(w): (math.log10(c + 1), math.log10(whole * c + 10**s)) for w, c, s in most_counted(words, "word", "c", frequent, "s")}
+    all_known = len(top) == v  # then what is not in top was never seen
+    shared = spark.sparkContext.broadcast(top)
 
-        logs = {w: (math.log10(c + 1), math.log10(whole * c + 10 ** by_pieces(w))) for w, c in top.items()}
-        ends = logs.get(END, (0.0, by_pieces(END)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_pieces, top = PieceScore(*weighed.value), shared.value
+        seen: dict[bytes, float] = {}
         for b in batches:
-            out = []
+            out, held_words, held_counts, held_scores, upto = [], [], [], [], [0]
             for i, h, t in zip(b["doc_id"].to_pylist(), b["held_out"].to_pylist(), b["text"].to_pylist(), strict=True):
                 words = tokens(t)
-                base, score = ends
-                known, rest = int(END in logs), []
-                for w, k in Counter(words).items():
-                    if (x := logs.get(w)) is not None:
+                base, score, known = 0.0, 0.0, 0
+                own = Counter(words)
+                own[END] += 1
+                for w, k in own.items():
+                    if (x := top.get(w)) is not None:
                         base += k * x[0]
                         score += k * x[1]
                         known += k
                         continue
-                    if (s := seen.get(w)) is None:
-                        if len(seen) > 400_000:
-                            seen.clear()
-                        s = seen[w] = by_pieces(w)
-                    score += k * s
+                    s = 0.0  # a training document's words are all counted: the join has them
+                    if h:
+                        if (s := seen.get(w)) is None:
+                            if len(seen) > 400_000:
+                                seen.clear()
+                            s = seen[w] = by_pieces(w)
+                        score += k * s
                     if not all_known:
-                        rest.append((w, k, s))
-                out.append((i, h, len(words) + 1, known, base, score, [{"word": w, "k": k, "s": s} for w, k, s in rest]))
-            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64()), ("s", pa.float64())]))]
-            cols = list(zip(*out, strict=True)) or [[]] * len(types)
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "held_out", "n_tokens", "known", "base", "part", "rest"])
+                        held_words.append(w)
+                        held_counts.append(k)
+                        held_scores.append(s)
+                upto.append(len(held_words))
+                out.append((i, h, len(words) + 1, known, base, score))
+            types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            cols = [pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [[]] * len(types), types, strict=True)]
+            rest = pa.StructArray.from_arrays([pa.array(held_words, pa.binary()), pa.array(held_counts, pa.int64()), pa.array(held_scores, pa.float64())], names=["word", "k", "s"])
+            yield pa.record_batch([*cols, pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rest)], names=["doc_id", "held_out", "n_tokens", "known", "base", "part", "rest"])
 
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
     scored = read.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, part double, rest array<struct<word:binary,k:long,s:double>>")
     rows = stored(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.k", "x.s")
-    more = F.log10(F.lit(whole) * F.col("c") + F.pow(F.lit(10.0), F.col("s"))) - F.col("s")
-    found = rest.join(counts, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more_base"), F.sum(F.col("k") * more).alias("more_score"))
+    rest = rows.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.k", F.col("x.s").alias("had"))
+    more = F.log10(F.lit(whole) * F.col("c") + F.pow(F.lit(10.0), F.col("s"))) - F.col("had")
+    found = rest.join(words, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("more_base"), F.sum(F.col("k") * more).alias("more_score"))
     unit = float(np.log10(n + (v + 1)))
     full = rows.drop("rest").join(found, "row", "left")
     return full.select(
