@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_ALNUM, alnum_words, lowered
+from .common import alnum_words, lowered
 
 
 def item_windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -54,6 +54,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_set: int =
     return each.join(F.broadcast(known) if total <= max_set else known, "gram", "left").withColumn("pos", F.when(F.col("items").isNotNull(), F.col("pos")))
 
 
+BETWEEN_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words inside any of the intervals [pos, pos + len), which are sorted by start.
 COVERED = "aggregate(spans, struct(0 as n, 0 as upto), (a, s) -> struct(a.n + greatest(0, s.pos + s.len - greatest(a.upto, s.pos)) as n, greatest(a.upto, s.pos + s.len) as upto)).n"
 
@@ -86,17 +87,17 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: s
 
     Only ids and positions of hits are shuffled unless spans are cut out. All columns are kept.
     """
-    bad = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    on = F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("_own"))
+    bad = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "spans")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("own"))
+    on = F.col("id").eqNullSafe(F.col("row.doc_id")) & (F.col("key") == F.col("own"))
     if remove == "documents":
-        return keyed.join(bad.drop("spans"), on, "left_anti").drop("_own")
-    cut = keyed.join(bad, on, "left").withColumn("_words", F.array_remove(F.split(lowered(F.col("text")), BETWEEN_ALNUM), ""))
-    cut = cut.withColumn("_gaps", F.split(lowered(F.col("text")), r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
-    # original case: the lengths of words and gaps place each word in the text
-    kept = F.expr(
-        "array_join(transform(filter(aggregate(sequence(1, size(_words)), struct(1 as at, cast(array() as array<struct<i:int,from:int,upto:int>>) as out), "
-        "(a, i) -> struct(a.at + length(_gaps[i - 1]) + length(_words[i - 1]) as at, concat(a.out, array(struct(i as i, a.at as from, a.at + length(_gaps[i - 1]) + length(_words[i - 1]) as upto))) as out)).out, "
-        "w -> not exists(spans, s -> w.i >= s.pos and w.i < s.pos + s.len)), w -> substring(text, w.from, w.upto - w.from)), '')"
+        return rows.join(bad.drop("spans"), on, "left_anti").select("row.*")
+    cut = rows.join(bad, on, "left").withColumn("words", alnum_words(F.col("row.text"))).withColumn("gaps", F.split(lowered(F.col("row.text")), BETWEEN_WORDS))
+    # original case: the lengths of gaps and words place each word in the text
+    places = (
+        "aggregate(sequence(1, size(words)), struct(1 as at, cast(array() as array<struct<i:int,start:int,size:int>>) as out), (a, i) -> "
+        "struct(a.at + length(gaps[i - 1]) + length(words[i - 1]) as at, concat(a.out, array(struct(i as i, a.at as start, length(gaps[i - 1]) + length(words[i - 1]) as size))) as out)).out"
     )
-    return cut.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    kept = F.expr(f"concat(array_join(transform(filter({places}, w -> not exists(spans, s -> w.i >= s.pos and w.i < s.pos + s.len)), w -> substring(row.text, w.start, w.size)), ''), element_at(gaps, -1))")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept)
+    return cut.withColumn("row", F.col("row").withField("text", text)).select("row.*")

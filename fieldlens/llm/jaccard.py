@@ -322,5 +322,6 @@ def _by_bucket(rows: DataFrame) -> DataFrame:
 
 def near_duplicates_removed(docs: DataFrame, **options: int) -> DataFrame:
     """docs with one document of each component: the one of the smallest id. Null ids stay."""
-    found = jaccard_components(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_id"), "left_anti")
+    found = jaccard_components(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.struct("*").alias("row"))
+    return rows.join(found, F.col("own") == F.col("gone"), "left_anti").select("row.*")

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WordHashes, gram_hashes, stored
 
@@ -220,9 +221,9 @@ def dedup_report(docs: DataFrame, window: int = 13, **options: int) -> DataFrame
     by one space where any went and as they were elsewhere. Null and wordless texts lose nothing; texts
     shorter than the window neither. An empty table gives no rows. Extra columns are not read.
     """
-    found = repeats(docs, window, **options).withColumnRenamed("key", "_key")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key"), F.col("text").isNull().alias("null_text"), "text")
-    rows = read.join(found, F.col("key") == F.col("_key"), "left").select("doc_id", "null_text", "text", "starts", "whole")
+    found = repeats(docs, window, **options)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("own"), F.col("text").isNull().alias("null_text"), "text")
+    rows = read.join(found, F.col("own") == F.col("key"), "left").select("doc_id", "null_text", "text", "starts", "whole")
     return rows.mapInArrow(_removals(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:long,end:long>>")
 
 
@@ -231,15 +232,17 @@ def deduplicated(docs: DataFrame, window: int = 13, least_words: int = 1, **opti
 
     All columns stay; text changes where words went.
     """
-    found = repeats(docs, window, **options).withColumnRenamed("key", "_key")
-    rows = docs.withColumn("_own", F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))).join(found, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
-    cols = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    found = repeats(docs, window, **options)
+    own = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("own"), F.struct("*").alias("row"))
+    rows = own.join(found, F.col("own") == F.col("key"), "left").select("row", "starts", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            row = b["row"]
+            names = [f.name for f in row.type]
+            parts = dict(zip(names, row.flatten(), strict=True))
             keep, texts = [], []
-            for i, (text, starts, whole) in enumerate(zip(*(b[c].to_pylist() for c in ("text", "starts", "whole")), strict=True)):
+            for i, (text, starts, whole) in enumerate(zip(parts["text"].to_pylist(), b["starts"].to_pylist(), b["whole"].to_pylist(), strict=True)):
                 if starts or whole:
                     words = tokens(text)
                     mask = covered(len(words), starts, whole, window)
@@ -250,7 +253,8 @@ def deduplicated(docs: DataFrame, window: int = 13, least_words: int = 1, **opti
                         text = b" ".join(left).decode("utf-8", "surrogatepass")
                 keep.append(i)
                 texts.append(text)
-            part = b.select(cols).take(pa.array(keep, pa.int64()))
-            yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], names=[*cols, "text"])
+            at = pa.array(keep, pa.int64())
+            cols = [pa.array(texts, pa.string()) if n == "text" else parts[n].take(at) for n in names]
+            yield pa.record_batch([pa.StructArray.from_arrays(cols, names=names)], names=["row"])
 
-    return rows.select(*cols, "text", "starts", "whole").mapInArrow(run, f"{schema}, text string").select(*docs.columns)
+    return rows.mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
