@@ -171,7 +171,7 @@ def describe(tree: Tree, i: int) -> list[str]:
     owner = tree.tag[tree.parent[i]]
     out = ["text", f"in:{owner}", f"link:{0 if link == 0 else 1 if link < 0.5 else 2}", f"size:{_size(len(text))}"]
     if text[-1] in ".!?:;,\"')”»…":
-        out.append("ends")
+        out += ["ends", f"ends in:{owner}"]
     if "©" in text or "cookie" in text.lower():
         out.append("legal")
     return out
@@ -252,12 +252,14 @@ def train(pages: list[tuple[Tree, list[int]]], epochs: int = 12, rate: float = 0
     return w
 
 
-def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[Tree, list[int]]]:
+def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[Tree, list[int]]]:
     """Made-up pages whose content is known: layouts, names and texts vary, each element is marked as it is written."""
     rng = random.Random(seed)
     pages = []
     for _ in range(n):
         source = _page(rng)
+        if rng.random() < 0.15:  # some pages are cut off
+            source = source[: rng.randint(len(source) // 3, len(source))]
         tree = parse(source.replace("\x01", "").replace("\x02", ""))
         marked = parse(source)
         gold = [0] * len(tree.parent)
@@ -268,7 +270,7 @@ def labelled_pages(n: int = 160, seed: int = 11) -> list[tuple[Tree, list[int]]]
                 while p > 0 and not gold[p]:
                     gold[p] = 1
                     p = tree.parent[p]
-        gold[0] = 0
+        gold[0] = int(any(gold))
         pages.append((tree, gold))
     return pages
 
@@ -280,7 +282,7 @@ def _words(rng: random.Random, a: int, b: int) -> str:
 def _page(rng: random.Random) -> str:
     """One page; \\x01 starts what is content."""
     say = lambda a, b: _words(rng, a, b)
-    sentence = lambda a=4, b=40: say(a, b).capitalize() + rng.choice(".....!?")
+    sentence = lambda a=4, b=40: say(a, b).capitalize() + rng.choice((*".....!?", ""))
     attr = lambda names: "" if rng.random() < 0.15 else f' {rng.choice(("class", "id", "class", "role"))}="{rng.choice(names.split())}{rng.choice(("", "", "-box", " x1", "_area"))}"'
     links = lambda k: "".join(f'<li><a href="/{say(1, 1)}">{say(1, 2)}</a></li>' for _ in range(k))
 
@@ -352,6 +354,8 @@ def _page(rng: random.Random) -> str:
         main = inner
     before = [f() for f in rng.sample((menu, advert, head, notice, form, side), rng.randint(0, 4))]
     after = [f() for f in rng.sample((foot, talk, side, advert, notice, menu), rng.randint(0, 4))]
+    if rng.random() < 0.2:  # a fragment
+        return "".join(before) + main + "".join(after)
     return f"<!DOCTYPE html><html><head><title>{say(1, 5)}</title><script>var a='</p>';</script></head><body>{''.join(before)}<!-- x -->{main}{''.join(after)}</body></html>"
 
 

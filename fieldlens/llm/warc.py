@@ -32,7 +32,7 @@ DATE = "2024-01-01T00:00:00Z"
 NAMES = uuid.UUID("6f0c1c5e-7b0e-5a5e-9f53-3a1d1c0d5b7a")
 
 
-def record_id(page_id: int | None) -> str:
+def record_id(page_id: int | str | None) -> str:
     """The same page has the same record id in every run."""
     return f"<urn:uuid:{uuid.uuid5(NAMES, str(page_id))}>"
 
@@ -61,10 +61,11 @@ def header(fields: list[tuple[str, object]]) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields if v is not None) + CRLF
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int, chunk: int) -> list[bytes]:
-    """The records of one page, without their closing blank lines."""
+def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int, chunk: int, row: int | None = None) -> list[bytes]:
+    """The records of one page, without their closing blank lines. row tells rows of one page_id apart."""
     sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    own = record_id(page_id)
+    name = str(page_id) if row is None else f"{page_id}#{row}"
+    own = record_id(name)
     uri = re.sub(r"\s", "%20", url or "") or None
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE), ("WARC-Payload-Digest", f"sha1:{sha}"), ("X-Page-Id", page_id)]
     if refers_to is not None:
@@ -78,7 +79,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, refers_to
         if k == 0:
             head = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common, ("WARC-Segment-Number", 1 if len(parts) > 1 else None), ("Content-Type", "application/http;msgtype=response")]
         else:
-            head = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMES, f'{page_id}/{k + 1}')}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k + 1), ("WARC-Segment-Total-Length", len(block) if k == len(parts) - 1 else None)]
+            head = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(NAMES, f'{name}/{k + 1}')}>"), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", k + 1), ("WARC-Segment-Total-Length", len(block) if k == len(parts) - 1 else None)]
         out.append(header([*head, ("Content-Length", len(part))]) + part)
     return out
 
@@ -92,8 +93,8 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _writer(segment: int, chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for page, url, html, refers in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                yield pa.record_batch({"record": pa.array(page_records(page, url, (html or "").encode(), refers, segment, chunk), pa.binary())})
+            for page, url, html, refers, row in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "refers_to", "row")), strict=True):
+                yield pa.record_batch({"record": pa.array(page_records(page, url, (html or "").encode(), refers, segment, chunk, row), pa.binary())})
 
     return run
 
@@ -103,15 +104,19 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, segment: int
 
     Among payloads that are equal (SHA-1) and have least bytes, the largest page_id's is the response
     and the others revisit it; a null page_id never is the one revisited if any other id is there, and
-    rows that share the response's page_id are responses too. Null html is an empty payload.
+    rows that share the response's page_id are responses too. Rows that share a page_id are records of their own. Null html is an empty payload.
     Extra columns are not read.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     sums = rows.select("page_id", "html").mapInArrow(_sums, "page_id long, sha string, bytes long").where(F.col("bytes") >= least)
     first = sums.groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = stored(sums.join(first, "sha").where("page_id < response").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "response").distinct(), "revisits")
-    marked = rows.withColumn("_own", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
-    marked = marked.join(again, (F.col("page_id") == F.col("_id")) & (F.col("_own") == F.col("_sha")), "left").select("page_id", "url", "html", F.col("response").alias("refers_to"))
+    again = sums.join(first, "sha").where("page_id < response").select("page_id", F.struct("sha", "response").alias("to"))
+    often = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id", F.lit(None).cast("struct<sha:string,response:bigint>").alias("to"))
+    marks = again.unionByName(often).groupBy("page_id").agg(F.map_from_entries(F.collect_set("to")).alias("to"), F.bool_or(F.col("to").isNull()).alias("often"))
+    marks = stored(marks.withColumnRenamed("page_id", "id"), "revisits")
+    marked = rows.join(marks, F.col("page_id").eqNullSafe(F.col("id")), "left")
+    refers = F.try_element_at("to", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+    marked = marked.select("page_id", "url", "html", refers.alias("refers_to"), F.when(F.col("often"), F.monotonically_increasing_id()).alias("row"))
     records = marked.mapInArrow(_writer(segment, chunk), "record binary")
     out = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file)
     out.text(path)
