@@ -9,10 +9,13 @@ In a bucket the documents are leaves of signature trees: nodes hold the OR of to
 range of set sizes, and a traversal of two trees at once leaves out pairs of nodes whose largest
 possible overlap can't reach t. Pairs that are left are compared by their whole sets.
 
-Copies don't multiply: equal sets are one class, a first traversal gives each document its most alike
-earlier one only, and a second one gives all other pairs, but leaves out nodes that the first has
-put into one component. Crowded buckets are split into blocks, and the second traversal takes each
-pair of blocks.
+Copies don't multiply: equal sets are one class, and a first traversal gives each document its most
+alike earlier one only. What these links leave apart is joined in a second round: traversals of the
+buckets that still hold several components tell which documents may be linked beyond their own,
+as a spanning forest per bucket; documents that hang together so are one group, meet once, with their
+whole sets, and links found on the way merge components, whose nodes are then passed over. So what a
+task gives back grows with its documents, not with their pairs. Crowded buckets and groups are split
+into blocks, and each pair of blocks is a task.
 """
 
 from __future__ import annotations
@@ -199,26 +202,13 @@ def _first(doc: np.ndarray, pilot: np.ndarray, found: Iterator[tuple[np.ndarray,
     return out
 
 
-def _trees(percent: int, first: bool):
-    """Pairs of documents from buckets; rows come sorted by bucket."""
-
-    def pairs(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        doc, n, comp = (t[c].to_numpy() for c in ("doc", "n", "comp"))
-        flag = t["flag"].to_numpy()
-        bits = t["bits"].to_pylist()
-        if first:
-            got = _first(doc, flag > 0, bucket_pairs(n, bits, comp, np.zeros(len(doc), np.int8), percent))
-            return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
-        parts = [(doc[i], doc[j]) for i, j, _ in bucket_pairs(n, bits, comp, flag, percent)]
-        if not parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        x, y = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        return np.minimum(x, y), np.maximum(x, y)
+def _buckets(make):
+    """Runs make(table) -> (a, b) for each bucket; rows come sorted by token, x and y."""
 
     def batch(tables: list[pa.Table]) -> pa.RecordBatch:
-        got = [pairs(t) for t in tables if t.num_rows > 1]
-        a = np.concatenate([g[0] for g in got]) if got else np.empty(0, np.int64)
-        b = np.concatenate([g[1] for g in got]) if got else np.empty(0, np.int64)
+        got = [make(t) for t in tables if t.num_rows > 1]
+        a = np.concatenate([np.empty(0, np.int64), *(g[0] for g in got)])
+        b = np.concatenate([np.empty(0, np.int64), *(g[1] for g in got)])
         return pa.record_batch({"a": a[a != b], "b": b[a != b]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,30 +228,105 @@ def _trees(percent: int, first: bool):
     return run
 
 
+def _read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    return t["doc"].to_numpy(), t["n"].to_numpy(), t["bits"].to_pylist(), t["comp"].to_numpy(), t["flag"].to_numpy()
+
+
+def _early(percent: int):
+    def make(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        doc, n, bits, comp, flag = _read(t)
+        got = _first(doc, flag > 0, bucket_pairs(n, bits, comp, np.zeros(len(doc), np.int8), percent))
+        return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
+
+    return _buckets(make)
+
+
+def _contacts(percent: int):
+    """Documents that may be linked to one of another component, with the first of those they hang together with."""
+
+    def make(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        doc, n, bits, comp, flag = _read(t)
+        label = np.arange(len(doc))
+        for i, j, _ in bucket_pairs(n, bits, comp, flag, percent):
+            _merge(label, i, j)
+        return doc, doc[label]
+
+    return _buckets(make)
+
+
+def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the classes of each pair; label is the smallest row of a row's class."""
+    while len(i):
+        x, y = label[i], label[j]
+        apart = np.flatnonzero(x != y)
+        if not len(apart):
+            return
+        i, j = i[apart], j[apart]
+        low, high = min(x[apart[0]], y[apart[0]]), max(x[apart[0]], y[apart[0]])
+        label[label == high] = low
+
+
+def _groups(percent: int):
+    """Links between components within a group, as many as merge them."""
+
+    def make(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        doc, n, bits, comp, flag = _read(t)
+        sets = [np.frombuffer(x, np.uint64) for x in t["all"].to_pylist()]
+        _, label = np.unique(comp, return_inverse=True)
+        a, b = [], []
+        for i, j, _ in bucket_pairs(n, bits, comp, flag, percent):
+            apart = label[i] != label[j]
+            for p, q in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
+                if label[p] != label[q] and linked(sets[p], sets[q], percent):
+                    label[label == label[q]] = label[p]
+                    a.append(doc[p])
+                    b.append(doc[q])
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    return _buckets(make)
+
+
+def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets, which must not be disjoint."""
+    if len(u) > len(v):
+        u, v = v, u
+    if not len(u):
+        return False
+    same = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+    return bool(same) and 100 * same >= percent * (len(u) + len(v) - same)
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for k, (x, y) in enumerate(zip(b["all_a"].to_pylist(), b["all_b"].to_pylist(), strict=True)):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                same = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0
-                if same and 100 * same >= percent * (len(u) + len(v) - same):
-                    keep.append(k)
+            keep = [k for k, (x, y) in enumerate(zip(b["all_a"].to_pylist(), b["all_b"].to_pylist(), strict=True)) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
             yield pa.record_batch([b["a"], b["b"]], names=["a", "b"]).take(pa.array(keep, pa.int64()))
 
     return run
 
 
+def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc, all): the whole sets of the documents named in ids (id), built from their texts."""
+    return stored(docs.join(ids, F.col("doc") == F.col("id"), "left_semi").mapInArrow(_sets(size), "doc long, all binary"), "sets")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity. Only documents of a pair get their set built."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = stored(docs.join(ids, F.col("doc") == F.col("id"), "left_semi").mapInArrow(_sets(size), "doc long, all binary"), "sets")
+    """The pairs (a, b) whose whole sets reach the similarity."""
+    sets = whole_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), size)
     full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("all").alias("all_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("all").alias("all_b")), "b")
     return stored(full.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
 
 
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """rows (token, c, doc, ...) once for each pair of blocks of its bucket that it is in: with x <= y, and flag 1 for the
+    second side of two.
+    """
+    blocks = F.ceil(F.col("c") / block).cast("long")
+    zero = F.lit(0).cast("long")
+    each = rows.select("*", F.pmod(F.xxhash64("doc"), blocks).alias("mine"), F.explode(F.sequence(zero, blocks - 1)).alias("other"))
+    return each.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).withColumn("flag", (F.col("mine") > F.col("other")).cast("int")).drop("mine", "other", "c")
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 4096, sample: int = 10_000, frequent: int = 50_000) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, n_links.
 
@@ -295,19 +360,22 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block:
     spread = F.when(blocks <= 1, F.array(F.lit(0).cast("long"))).when(pilot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks)))
     dealt = chosen.select("doc", "token", F.explode(spread).alias("x"), pilot.cast("int").alias("flag")).join(signed, "doc")
     dealt = dealt.select("token", "x", F.lit(0).cast("long").alias("y"), "flag", "doc", "n", "bits", F.lit(-1).cast("long").alias("comp"))
-    early = stored(_by_bucket(dealt).mapInArrow(_trees(percent, True), rows_schema).distinct(), "pairs")
+    early = stored(_by_bucket(dealt).mapInArrow(_early(percent), rows_schema).distinct(), "pairs")
     links = verified(early, base, size, percent)
     joined = components(links)
 
     comp = members.join(joined, F.col("doc") == F.col("node"), "left").select("token", "c", "doc", F.coalesce("root", "doc").alias("comp"))
     comp = stored(comp, "comp")
     open_ = comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    mine = F.pmod(F.xxhash64("doc"), blocks)
-    meets = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    rest = comp.join(open_, "token").select("token", "doc", "comp", mine.alias("mine"), meets.alias("other")).join(signed, "doc")
-    rest = rest.select("token", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("flag"), "doc", "n", "bits", "comp")
-    late = stored(_by_bucket(rest).mapInArrow(_trees(percent, False), rows_schema).distinct().join(early, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(verified(late, base, size, percent))
+    rest = _in_blocks(comp.join(open_, "token"), block).join(signed, "doc").select("token", "x", "y", "flag", "doc", "n", "bits", "comp")
+    contacts = stored(_by_bucket(rest).mapInArrow(_contacts(percent), rows_schema).distinct(), "contacts")
+    found = components(contacts)
+    group = found.select(F.col("node").alias("doc"), F.col("root").alias("token")).unionByName(found.select(F.col("root").alias("doc"), F.col("root").alias("token")).distinct())
+    group = group.join(group.groupBy("token").agg(F.count("*").alias("c")), "token").join(joined, F.col("doc") == F.col("node"), "left")
+    group = stored(group.select("token", "c", "doc", F.coalesce("root", "doc").alias("comp")), "groups")
+    sets = whole_sets(base, group.select(F.col("doc").alias("id")), size)
+    rest = _in_blocks(group, block // 2).join(signed, "doc").join(sets, "doc").select("token", "x", "y", "flag", "doc", "n", "bits", "comp", "all")
+    links = links.unionByName(stored(_by_bucket(rest).mapInArrow(_groups(percent), rows_schema).distinct(), "links"))
     joined = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
 
