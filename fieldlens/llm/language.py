@@ -9,6 +9,7 @@ text whose best probability stays below the threshold is rejected.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,12 +65,11 @@ class Model:
         return self.langs[k], float(p[k]), bool(p[k] < self.threshold)
 
 
-def fit(texts: list[str], langs: list[str], buckets: int = 4096, dim: int = 16, epochs: int = 12, batch: int = 32, rate: float = 6.0, threshold: float = 0.5, seed: int = 7) -> Model:
-    """Every fifth row is kept from training, to fit the temperature."""
-    names = sorted(set(langs))
+def fit(x: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 12, batch: int = 32, rate: float = 6.0, threshold: float = 0.3, seed: int = 7) -> Model:
+    """x has the features of a text in each row. Every fifth row is kept from training, to fit the temperature."""
+    names, buckets = sorted(set(langs)), x.shape[1]
     if not names:
         return Model([], np.zeros((buckets, 0)), np.zeros(0), 1.0, threshold)
-    x = np.stack([features(t, buckets) for t in texts]).astype(np.float32)
     scale = float(np.sqrt(buckets))
     y = np.array([names.index(v) for v in langs])
     rng = np.random.default_rng(seed)
@@ -105,16 +105,29 @@ def fit(texts: list[str], langs: list[str], buckets: int = 4096, dim: int = 16,
     return Model(names, table, bias, temperature, threshold)
 
 
-def train(docs: DataFrame, sample: int = 4000, longest: int = 20_000, **options: float) -> Model:
-    """Fit on at most sample rows of docs with a language and a letter, those of the smallest hash of their id.
+def _featured(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, lang, features(t, buckets).tobytes()) for k, lang, t in zip(b["k"].to_pylist(), b["lang"].to_pylist(), b["text"].to_pylist(), strict=True) if LETTER.search(t)]
+            yield pa.record_batch({"k": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()), "x": pa.array([r[2] for r in rows], pa.binary())})
+
+    return run
+
+
+def train(docs: DataFrame, sample: int = 3000, buckets: int = 4096, **options: float) -> Model:
+    """Fit on about sample rows of docs with a language and a letter, chosen by the hash of their id, and never more.
 
-    Documents whose crc32(doc_id) mod 4 is 2 are never learned from. Both bounds are parameters: of
-    a training text (not of a text to be predicted) the first longest characters are taken.
+    Documents whose crc32(doc_id) mod 4 is 2 are never learned from. Whole texts become features where
+    they are read; the driver gets sample rows of buckets numbers, whatever the table.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(False)))
-    picked = rows.select("doc_id", F.substring("text", 1, longest).alias("text"), "lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).collect()
-    picked = [r for r in picked if LETTER.search(r["text"])]
-    return fit([r["text"] for r in picked], [r["lang"] for r in picked], **options)
+    steps = 1 << 30
+    share = min(steps, math.ceil(steps * sample / max(1, rows.count())))
+    key = F.xxhash64("doc_id", "text")
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select(key.alias("k"), "lang", "text")
+    got = some.mapInArrow(_featured(buckets), "k long, lang string, x binary").orderBy("k").limit(sample).toArrow()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=np.float32).reshape(-1, buckets)
+    return fit(x, got["lang"].to_pylist(), **options)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
