@@ -76,7 +76,7 @@ def _leads(window: int):
 
 
 def _suffixes(window: int, crowd: int):
-    """Suffixes of one document that start a window with a shared lead.
+    """Suffixes of one document that start a window with a shared lead; equal ones once.
 
     words has 16 bits of each word in an order that bytes keep, node 64 bits of the whole window; both
     must agree for suffixes to share a path.
@@ -93,16 +93,17 @@ def _suffixes(window: int, crowd: int):
                 shared_, counts_ = shared_[by], counts_[by]
                 at = np.minimum(np.searchsorted(shared_, own), len(shared_) - 1)
                 pos = np.flatnonzero(shared_[at] == own)
+                node, first = np.unique(gram_hashes(hashes, window)[pos].view(np.int64), return_index=True)
+                pos = pos[first]
                 salts = -(-counts_[at[pos]] // crowd)
                 salt = np.where(salts > 1, key % np.maximum(salts, 1), -1).astype(np.int32)
-                node = gram_hashes(hashes, window)[pos].view(np.int64)
                 short = (hashes >> np.uint64(48)).astype(">u2")
                 paths = np.lib.stride_tricks.sliding_window_view(short, window)[pos]
                 for i in range(0, len(pos), 20_000):
                     n = len(pos[i : i + 20_000])
                     flat = pa.py_buffer(np.ascontiguousarray(paths[i : i + n]).tobytes())
                     words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * window * 2, window * 2, dtype=np.int32)), flat])
-                    yield pa.record_batch({"words": words, "node": node[i : i + n], "doc": np.full(n, doc), "key": np.full(n, key), "pos": pos[i : i + n].astype(np.int32), "salt": salt[i : i + n]})
+                    yield pa.record_batch({"words": words, "node": node[i : i + n], "doc": np.full(n, doc), "key": np.full(n, key), "salt": salt[i : i + n]})
 
     return run
 
@@ -121,8 +122,8 @@ def _trees(window: int, rows: int):
         least = np.minimum.reduceat(doc, start)
         first = np.repeat(least, np.diff(np.concatenate([start, [len(doc)]])))
         keep = np.flatnonzero((salt >= 0) | (first < doc))
-        part = t.select(["doc", "key", "pos", "node", "salt"]).take(pa.array(keep)).combine_chunks()
-        return pa.record_batch([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns), pa.array(first[keep])], names=["doc", "key", "pos", "node", "salt", "first"])
+        part = t.select(["doc", "key", "node", "salt"]).take(pa.array(keep)).combine_chunks()
+        return pa.record_batch([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns), pa.array(first[keep])], names=["doc", "key", "node", "salt", "first"])
 
     def joined(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         words = np.frombuffer(b"".join(t["words"].to_pylist()), dtype=np.uint16).reshape(-1, window)
@@ -152,7 +153,7 @@ def _trees(window: int, rows: int):
 
 
 def repeats(docs: DataFrame, window: int = 13, crowd: int = 20_000, rows: int = 50_000) -> DataFrame:
-    """(key, whole, starts): by document, the windows that also start in a document of smaller id.
+    """(key, whole, nodes): by document, the windows (by hash) that also start in a document of smaller id.
 
     whole marks an exact copy (by words) of a smaller document, all of whose windows do. A null id is
     larger than any other. Rows that share an id never count against each other.
@@ -167,27 +168,31 @@ def repeats(docs: DataFrame, window: int = 13, crowd: int = 20_000, rows: int =
     lists = own.select("lead", "key").join(twice, "lead").groupBy("key").agg(F.collect_list("lead").alias("leads"), F.collect_list("n").alias("counts"))
     lists = stored(lists, "lists")
 
-    suffixes = base.join(lists, "key").mapInArrow(_suffixes(window, crowd), "words binary, node long, doc long, key long, pos int, salt int")
+    suffixes = base.join(lists, "key").mapInArrow(_suffixes(window, crowd), "words binary, node long, doc long, key long, salt int")
     prefix = F.when(F.col("salt") < 0, F.xxhash64(F.substring("words", 1, 8))).otherwise(F.xxhash64("node", "salt"))
     sorted_ = suffixes.repartition(prefix).sortWithinPartitions("words", "node", "salt")
-    leaves = stored(sorted_.mapInArrow(_trees(window, rows), "doc long, key long, pos int, node long, salt int, first long"), "leaves")
-    alone = leaves.where("salt < 0").select("key", "pos")
+    leaves = stored(sorted_.mapInArrow(_trees(window, rows), "doc long, key long, node long, salt int, first long"), "leaves")
+    alone = leaves.where("salt < 0").select("key", "node")
     spread = leaves.where("salt >= 0")
     nodes = spread.groupBy("node").agg(F.min("first").alias("least"))
-    crowded = spread.join(nodes, "node").where("least < doc").select("key", "pos")
-    starts = alone.unionByName(crowded).groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
-    return starts.withColumn("whole", F.lit(False)).unionByName(copies.select("key", F.expr("cast(array() as array<int>)").alias("starts"), F.lit(True).alias("whole")))
+    crowded = spread.join(nodes, "node").where("least < doc").select("key", "node")
+    found = alone.unionByName(crowded).groupBy("key").agg(F.collect_list("node").alias("nodes"))
+    return found.withColumn("whole", F.lit(False)).unionByName(copies.select("key", F.expr("cast(array() as array<bigint>)").alias("nodes"), F.lit(True).alias("whole")))
 
 
-def covered(n: int, starts: list[int] | None, whole: bool | None, window: int) -> np.ndarray:
-    """Which of n words lie in a window that starts at one of starts."""
+def covered(words: list[bytes], nodes: list[int] | None, whole: bool | None, window: int, known: WordHashes) -> np.ndarray:
+    """Which of the words lie in a window that is one of nodes; all of them in a whole copy."""
+    n = len(words)
     if whole:
         return np.full(n, n >= window)
-    out = np.zeros(n + 1, dtype=np.int64)
-    for s in starts or ():
-        out[s] += 1
-        out[min(n, s + window)] -= 1
-    return np.cumsum(out)[:n] > 0
+    if not nodes:
+        return np.zeros(n, dtype=bool)
+    own = gram_hashes(known.of(words), window).view(np.int64)
+    start = np.isin(own, np.array(nodes, dtype=np.int64)).astype(np.int64)
+    change = np.zeros(n + 1, dtype=np.int64)
+    change[: len(own)] += start
+    change[window : window + len(own)] -= start
+    return np.cumsum(change)[:n] > 0
 
 
 def spans(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -198,11 +203,12 @@ def spans(mask: np.ndarray) -> list[tuple[int, int]]:
 
 def _removals(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for b in batches:
             rows = []
-            for doc, null, text, starts, whole in zip(*(b[c].to_pylist() for c in ("doc_id", "null_text", "text", "starts", "whole")), strict=True):
+            for doc, null, text, nodes, whole in zip(*(b[c].to_pylist() for c in ("doc_id", "null_text", "text", "nodes", "whole")), strict=True):
                 words = tokens(text)
-                mask = covered(len(words), starts, whole, window)
+                mask = covered(words, nodes, whole, window, known)
                 gone = int(mask.sum())
                 kept = b" ".join(w for w, m in zip(words, mask.tolist(), strict=True) if not m) if gone else b" ".join(words)
                 out = text if not gone else None if null else kept.decode("utf-8", "surrogatepass")
@@ -223,7 +229,7 @@ def dedup_report(docs: DataFrame, window: int = 13, **options: int) -> DataFrame
     """
     found = repeats(docs, window, **options)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("own"), F.col("text").isNull().alias("null_text"), "text")
-    rows = read.join(found, F.col("own") == F.col("key"), "left").select("doc_id", "null_text", "text", "starts", "whole")
+    rows = read.join(found, F.col("own") == F.col("key"), "left").select("doc_id", "null_text", "text", "nodes", "whole")
     return rows.mapInArrow(_removals(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:long,end:long>>")
 
 
@@ -234,18 +240,19 @@ def deduplicated(docs: DataFrame, window: int = 13, least_words: int = 1, **opti
     """
     found = repeats(docs, window, **options)
     own = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("own"), F.struct("*").alias("row"))
-    rows = own.join(found, F.col("own") == F.col("key"), "left").select("row", "starts", "whole")
+    rows = own.join(found, F.col("own") == F.col("key"), "left").select("row", "nodes", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for b in batches:
             row = b["row"]
             names = [f.name for f in row.type]
             parts = dict(zip(names, row.flatten(), strict=True))
             keep, texts = [], []
-            for i, (text, starts, whole) in enumerate(zip(parts["text"].to_pylist(), b["starts"].to_pylist(), b["whole"].to_pylist(), strict=True)):
-                if starts or whole:
+            for i, (text, nodes, whole) in enumerate(zip(parts["text"].to_pylist(), b["nodes"].to_pylist(), b["whole"].to_pylist(), strict=True)):
+                if nodes or whole:
                     words = tokens(text)
-                    mask = covered(len(words), starts, whole, window)
+                    mask = covered(words, nodes, whole, window, known)
                     left = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                     if len(left) < len(words):
                         if len(left) < least_words:

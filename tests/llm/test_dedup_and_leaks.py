@@ -45,7 +45,7 @@ def test_texts_that_share_an_id(spark, docs):
 
 
 def test_stage_keeps_columns_and_drops_what_is_used_up(docs, rows):
-    odd = docs.withColumn("key", F.lit(1)).withColumn("starts", F.lit("s")).withColumn("whole", F.lit(2)).withColumn("_key", F.lit(3))
+    odd = docs.withColumn("key", F.lit(1)).withColumn("nodes", F.lit("s")).withColumn("whole", F.lit(2)).withColumn("_key", F.lit(3))
     out = substring_dedup.deduplicated(odd).collect()
     want = brute_repeats(rows)
     texts = {i: t for i, t, *_ in rows}
