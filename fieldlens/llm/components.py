@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
+    release(e.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

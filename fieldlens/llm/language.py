@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest
+from .common import crc_rest, release
 
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII but letters to a space: digits and marks say little about the language.
 FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 ORDERS = (1, 2, 3, 4)
+HALF = 1024  # features travel to the driver as half floats of this many times their size
 
 
 def features(text: str, buckets: int) -> np.ndarray:
@@ -108,13 +109,13 @@ def fit(x: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 12, batch:
 def _featured(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, lang, features(t, buckets).tobytes()) for k, lang, t in zip(b["k"].to_pylist(), b["lang"].to_pylist(), b["text"].to_pylist(), strict=True) if LETTER.search(t)]
+            rows = [(k, lang, (features(t, buckets) * HALF).astype(np.float16).tobytes()) for k, lang, t in zip(b["k"].to_pylist(), b["lang"].to_pylist(), b["text"].to_pylist(), strict=True) if LETTER.search(t)]
             yield pa.record_batch({"k": pa.array([r[0] for r in rows], pa.int64()), "lang": pa.array([r[1] for r in rows], pa.string()), "x": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
 
 
-def train(docs: DataFrame, sample: int = 3000, buckets: int = 4096, **options: float) -> Model:
+def train(docs: DataFrame, sample: int = 2000, buckets: int = 4096, **options: float) -> Model:
     """Fit on about sample rows of docs with a language and a letter, chosen by the hash of their id, and never more.
 
     Documents whose crc32(doc_id) mod 4 is 2 are never learned from. Whole texts become features where
@@ -126,8 +127,12 @@ def train(docs: DataFrame, sample: int = 3000, buckets: int = 4096, **options: f
     key = F.xxhash64("doc_id", "text")
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select(key.alias("k"), "lang", "text")
     got = some.mapInArrow(_featured(buckets), "k long, lang string, x binary").orderBy("k").limit(sample).toArrow()
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), dtype=np.float32).reshape(-1, buckets)
-    return fit(x, got["lang"].to_pylist(), **options)
+    x = np.stack([np.frombuffer(v, dtype=np.float16) for v in got["x"].to_pylist()]).astype(np.float32) / HALF if len(got) else np.zeros((0, buckets), np.float32)
+    model = fit(x, got["lang"].to_pylist(), **options)
+    del got, x
+    pa.default_memory_pool().release_unused()
+    release(docs.sparkSession)
+    return model
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
