@@ -7,14 +7,15 @@ that share such a hash meet in a bucket; buckets with the same members are one.
 
 In a bucket the documents are leaves of signature trees: nodes hold the OR of token bitmaps and the
 range of set sizes, and a traversal of two trees at once leaves out pairs of nodes whose largest
-possible overlap can't reach t. Pairs that are left are compared by their whole sets.
+possible overlap can't reach t.
 
 Copies don't multiply: equal sets are one class, and a first traversal gives each document its most
-alike earlier one only. What these links leave apart is joined in a second round: traversals of the
+alike earlier one only. What these contacts leave apart is joined in a second round: traversals of the
 buckets that still hold several components tell which documents may be linked beyond their own,
-as a spanning forest per bucket; documents that hang together so are one group, meet once, with their
-whole sets, and links found on the way merge components, whose nodes are then passed over. So what a
-task gives back grows with its documents, not with their pairs. Crowded buckets and groups are split
+as a spanning forest per bucket. Documents that hang together so are one group, which holds all links
+of its members. In a group each pair meets once, and every pair that may be linked is compared by its
+whole sets. A task gives back how many links each of its documents has and whom it hangs together
+with, so that grows with its documents, not with their pairs. Crowded buckets and groups are split
 into blocks, and each pair of blocks is a task.
 """
 
@@ -32,6 +33,8 @@ from .common import WordHashes, gram_hashes, most_counted, stored
 from .components import components
 
 LEAF, FAN = 32, 8
+#: Bounds of what exact bit rows of a group may take: tokens, and words of 64 bits.
+MOST_TOKENS, MOST_WORDS = 4_000_000, 8_000_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -83,7 +86,8 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            yield pa.record_batch({"doc": b["doc"], "all": pa.array([shingle_set(t, known, size).tobytes() for t in b["text"].to_pylist()], pa.binary())})
+            sets = [shingle_set(t, known, size).tobytes() for t in b["text"].to_pylist()]
+            yield pa.record_batch({"doc": b["doc"], "digest": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "all": pa.array(sets, pa.binary())})
 
     return run
 
@@ -202,14 +206,17 @@ def _first(doc: np.ndarray, pilot: np.ndarray, found: Iterator[tuple[np.ndarray,
     return out
 
 
-def _buckets(make):
-    """Runs make(table) -> (a, b) for each bucket; rows come sorted by token, x and y."""
+def _pairs(got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a = np.concatenate([np.empty(0, np.int64), *(g[0] for g in got)])
+    b = np.concatenate([np.empty(0, np.int64), *(g[1] for g in got)])
+    return pa.record_batch({"a": a[a != b], "b": b[a != b]})
+
+
+def _buckets(make, joined=_pairs):
+    """Runs make(table) for each bucket, and joined on what the buckets at hand gave; rows come sorted by token, x and y."""
 
     def batch(tables: list[pa.Table]) -> pa.RecordBatch:
-        got = [make(t) for t in tables if t.num_rows > 1]
-        a = np.concatenate([np.empty(0, np.int64), *(g[0] for g in got)])
-        b = np.concatenate([np.empty(0, np.int64), *(g[1] for g in got)])
-        return pa.record_batch({"a": a[a != b], "b": b[a != b]})
+        return joined([make(t) for t in tables if t.num_rows > 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -266,55 +273,81 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         label[label == high] = low
 
 
-def _groups(percent: int):
-    """Links between components within a group, as many as merge them."""
+def _counts(got: list[pa.Table]) -> pa.RecordBatch:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary()), ("n", pa.int64())])
+    return pa.record_batch({f.name: pa.array([v for t in got for v in t[f.name].to_pylist()], f.type) for f in schema})
 
-    def make(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        doc, n, bits, comp, flag = _read(t)
-        sets = [np.frombuffer(x, np.uint64) for x in t["all"].to_pylist()]
-        _, label = np.unique(comp, return_inverse=True)
-        a, b = [], []
-        for i, j, _ in bucket_pairs(n, bits, comp, flag, percent):
-            apart = label[i] != label[j]
-            for p, q in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-                if label[p] != label[q] and linked(sets[p], sets[q], percent):
-                    label[label == label[q]] = label[p]
-                    a.append(doc[p])
-                    b.append(doc[q])
-        return np.array(a, np.int64), np.array(b, np.int64)
 
-    return _buckets(make)
+def _groups(percent: int):
+    """Of each document with a link in this part of its group: one it hangs together with, digest and number of links."""
 
+    def make(t: pa.Table) -> pa.Table:
+        digest = t["digest"].to_pylist()
+        once = sorted({d: k for k, d in enumerate(digest)}.values())  # repeated rows
+        t = t.take(once)
+        doc, n, bits, comp, flag = _read(t)
+        label, count = np.arange(len(doc)), np.zeros(len(doc), np.int64)
+        if t["x"][0].as_py() == t["y"][0].as_py() or len(np.unique(flag)) == 2:
+            common = overlaps([np.frombuffer(x, np.uint64) for x in t["all"].to_pylist()])
+            for i, j, _ in bucket_pairs(n, bits, comp, flag, percent):
+                apart = doc[i] != doc[j]
+                i, j = i[apart], j[apart]
+                same = common(i, j)
+                ok = (same > 0) & (100 * same >= percent * (n[i] + n[j] - same))
+                i, j = i[ok], j[ok]
+                np.add.at(count, i, 1)
+                np.add.at(count, j, 1)
+                _merge(label, i, j)
+        own = np.flatnonzero(count)
+        return pa.table({"a": doc[own], "b": doc[label[own]], "digest": t["digest"].take(pa.array(own)), "n": count[own]})
+
+    return _buckets(make, _counts)
+
+
+def overlaps(sets: list[np.ndarray]):
+    """A function of (i, j): how many tokens the sorted sets of these rows share, exactly.
+
+    Tokens that stand in several sets are numbered and a set is a row of bits; sets too large for that
+    are compared one pair at a time.
+    """
 
-def linked(u: np.ndarray, v: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union of two sorted sets, which must not be disjoint."""
+    def one(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.array([shared(sets[p], sets[q]) for p, q in zip(i.tolist(), j.tolist(), strict=True)], np.int64)
+
+    sizes = np.array([len(x) for x in sets])
+    if len(sets) < 8 or sizes.sum() > MOST_TOKENS:
+        return one
+    _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    words = int(place[-1]) // 64 + 1
+    if words * len(sets) > MOST_WORDS:
+        return one
+    row = np.repeat(np.arange(len(sets)), sizes)
+    often = times[number] > 1
+    at, row = place[number[often]], row[often]
+    bits = np.zeros((len(sets), words), np.uint64)
+    np.bitwise_or.at(bits, (row, at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+
+    def many(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.int64)
+        step = max(1, 500_000 // words)
+        for k in range(0, len(i), step):
+            out[k : k + step] = np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    return many
+
+
+def shared(u: np.ndarray, v: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
     if len(u) > len(v):
         u, v = v, u
-    if not len(u):
-        return False
-    same = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
-    return bool(same) and 100 * same >= percent * (len(u) + len(v) - same)
-
-
-def _linked(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = [k for k, (x, y) in enumerate(zip(b["all_a"].to_pylist(), b["all_b"].to_pylist(), strict=True)) if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
-            yield pa.record_batch([b["a"], b["b"]], names=["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return run
+    return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0
 
 
 def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc, all): the whole sets of the documents named in ids (id), built from their texts."""
-    return stored(docs.join(ids, F.col("doc") == F.col("id"), "left_semi").mapInArrow(_sets(size), "doc long, all binary"), "sets")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    sets = whole_sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), size)
-    full = pairs.join(sets.select(F.col("doc").alias("a"), F.col("all").alias("all_a")), "a").join(sets.select(F.col("doc").alias("b"), F.col("all").alias("all_b")), "b")
-    return stored(full.mapInArrow(_linked(percent), "a long, b long").distinct(), "links")
+    """(doc, digest, all): the whole sets of the documents named in ids (id), built from their texts."""
+    return stored(docs.join(ids, F.col("doc") == F.col("id"), "left_semi").mapInArrow(_sets(size), "doc long, digest binary, all binary"), "sets")
 
 
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
@@ -330,8 +363,9 @@ def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 4096, sample: int = 10_000, frequent: int = 50_000) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, n_links.
 
-    component_id is the smallest doc_id reachable by links, its own included; n_links counts the
-    verified pairs that the document's class has (a spanning choice where copies abound). Null and
+    component_id is the smallest doc_id reachable by links, its own included; n_links counts all
+    links of the document's set: the other sets, of other documents, that reach the similarity. Documents
+    with equal sets are one class, which is one end of a link and has the same links. Null and
     wordless texts have no shingle and no link. Rows that share a doc_id are one node; a null id has
     no component. sample bounds the documents, and frequent the shingles, that only set the order of
     the prefix: they change its length of work, never the result.
@@ -344,14 +378,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block:
 
     own = stored(base.mapInArrow(_signatures(size, percent, order), "doc long, n long, digest binary, bits binary, prefix array<long>"), "signatures")
     kinds = own.where("n > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"))
-    rep = own.where("n > 0").join(kinds, "digest").where("doc = rep")
+    rep = own.where("n > 0").join(kinds, "digest").where("doc = rep").dropDuplicates(["digest"])
     tokens_ = rep.select(F.explode("prefix").alias("token"), "doc")
     twice = tokens_.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = stored(tokens_.join(twice, "token").distinct(), "shared")
     lists = shared.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc")).alias("p"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("q")).where("c > 1")
     kept = lists.groupBy("c", "p", "q").agg(F.min("token").alias("token")).select("token", "c")
     members = stored(shared.join(kept, "token"), "members")
-    signed = rep.select("doc", "n", "bits")
+    signed = rep.select("doc", "digest", "n", "bits")
     rows_schema = "a long, b long"
 
     blocks = F.ceil(F.col("c") / block).cast("long")
@@ -361,25 +395,24 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block:
     dealt = chosen.select("doc", "token", F.explode(spread).alias("x"), pilot.cast("int").alias("flag")).join(signed, "doc")
     dealt = dealt.select("token", "x", F.lit(0).cast("long").alias("y"), "flag", "doc", "n", "bits", F.lit(-1).cast("long").alias("comp"))
     early = stored(_by_bucket(dealt).mapInArrow(_early(percent), rows_schema).distinct(), "pairs")
-    links = verified(early, base, size, percent)
-    joined = components(links)
+    joined = components(early)
 
     comp = members.join(joined, F.col("doc") == F.col("node"), "left").select("token", "c", "doc", F.coalesce("root", "doc").alias("comp"))
     comp = stored(comp, "comp")
     open_ = comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rest = _in_blocks(comp.join(open_, "token"), block).join(signed, "doc").select("token", "x", "y", "flag", "doc", "n", "bits", "comp")
+    rest = _in_blocks(comp.join(open_, "token"), block).join(signed.drop("digest"), "doc").select("token", "x", "y", "flag", "doc", "n", "bits", "comp")
     contacts = stored(_by_bucket(rest).mapInArrow(_contacts(percent), rows_schema).distinct(), "contacts")
-    found = components(contacts)
+    found = components(early.unionByName(contacts))
     group = found.select(F.col("node").alias("doc"), F.col("root").alias("token")).unionByName(found.select(F.col("root").alias("doc"), F.col("root").alias("token")).distinct())
-    group = group.join(group.groupBy("token").agg(F.count("*").alias("c")), "token").join(joined, F.col("doc") == F.col("node"), "left")
-    group = stored(group.select("token", "c", "doc", F.coalesce("root", "doc").alias("comp")), "groups")
+    group = stored(group.join(group.groupBy("token").agg(F.count("*").alias("c")), "token").select("token", "c", "doc"), "groups")
     sets = whole_sets(base, group.select(F.col("doc").alias("id")), size)
-    rest = _in_blocks(group, block // 2).join(signed, "doc").join(sets, "doc").select("token", "x", "y", "flag", "doc", "n", "bits", "comp", "all")
-    links = links.unionByName(stored(_by_bucket(rest).mapInArrow(_groups(percent), rows_schema).distinct(), "links"))
+    rest = _in_blocks(group, block // 2).join(signed, "doc").join(sets, ["doc", "digest"])
+    rest = rest.select("token", "x", "y", "flag", "doc", "digest", "n", "bits", F.lit(-1).cast("long").alias("comp"), "all")
+    links = stored(_by_bucket(rest).mapInArrow(_groups(percent), "a long, b long, digest binary, n long"), "links")
     joined = components(links)
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+    degree = links.groupBy("digest").agg(F.sum("n").alias("links"))
 
-    out = own.select("doc", "n", "digest").join(kinds, "digest", "left").join(joined, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("id"), "left")
+    out = own.select("doc", "n", "digest").join(kinds, "digest", "left").join(joined, F.col("rep") == F.col("node"), "left").join(degree, "digest", "left")
     root = F.when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("root", F.when(F.col("n") > 0, F.col("rep")), "doc"))
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 

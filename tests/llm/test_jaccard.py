@@ -90,3 +90,31 @@ def test_components_of_a_long_chain(spark, docs):
     got = {r.node: r.root for r in components.components(edges).collect()}
     assert got == {**{k: 0 for k in range(1, 201)}, 1001: 1000}
     assert components.components(edges.where("a < 0")).count() == 0
+
+
+def degrees(rows, percent=80, size=5):
+    """Of each id, how many other sets reach the similarity."""
+    sets = {}
+    for i, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+    kinds = set(sets.values())
+    return {i: sum(s != o and bool(s & o) and 100 * len(s & o) >= percent * len(s | o) for o in kinds) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 4}, {"percent": 50}])
+def test_all_links_are_counted(docs, rows, options):
+    want = degrees(rows, options.get("percent", 80))
+    assert max(want.values()) > 8
+    for table in (docs, docs.unionAll(docs)) if not options else (docs,):
+        assert {(r.doc_id, r.n_links) for r in jaccard.jaccard_components(table, **options).collect()} == set(want.items())
+
+
+def test_overlaps_are_exact_either_way(monkeypatch):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 200), dtype=np.uint64)) for _ in range(40)]
+    i, j = (np.array(k) for k in zip(*itertools.combinations(range(40), 2), strict=True))
+    want = [len(np.intersect1d(sets[p], sets[q])) for p, q in zip(i, j, strict=True)]
+    assert jaccard.overlaps(sets)(i, j).tolist() == want
+    monkeypatch.setattr(jaccard, "MOST_WORDS", 0)
+    assert jaccard.overlaps(sets)(i, j).tolist() == want
