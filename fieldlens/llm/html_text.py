@@ -364,23 +364,23 @@ def default_weights() -> Weights:
     return train(labelled_pages())
 
 
-def extract(page: str | None, w: Weights) -> str:
+def extract(page: str | None, w: Weights, joint: str = "\n") -> str:
     tree = parse(page)
     prob, _ = marginals(tree, w)
-    return "\n".join(t for t, p in zip(tree.text, prob, strict=True) if t is not None and p > 0.5)
+    return joint.join(t for t, p in zip(tree.text, prob, strict=True) if t is not None and p > 0.5)
 
 
 def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """Per row: page_id, url, text, n_chars. No shuffle; whole pages.
 
-    Null, empty and textless pages have an empty text. Repeated rows give repeated results; extra
+    Blocks of the text are two newlines apart. Null, empty and textless pages have an empty text. Repeated rows give repeated results; extra
     columns are not read.
     """
     w = weights or default_weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [extract(h, w) for h in b["html"].to_pylist()]
+            texts = [extract(h, w, "\n\n") for h in b["html"].to_pylist()]
             yield pa.record_batch({"page_id": b["page_id"], "url": b["url"], "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -142,6 +142,12 @@ def test_main_text_of_pages(spark, docs):
     assert got[0] == got[1] and got[2] == (2, 0, 0) and all(a == b for _, a, b in got)
 
 
+def test_blocks_of_main_text_are_two_newlines_apart(spark, docs):
+    df = spark.createDataFrame([(1, "u", "<article><h1>Title of it</h1><p>First one here.</p><p>Second one here.</p></article>")], "page_id long, url string, html string")
+    r = html_text.main_text(df).first()
+    assert (r.text, r.n_chars) == ("Title of it\n\nFirst one here.\n\nSecond one here.", 46)
+
+
 def test_held_out_labelled_pages():
     w = html_text.default_weights()
     right = total = 0
