@@ -115,7 +115,7 @@ def _featured(buckets: int):
     return run
 
 
-def train(docs: DataFrame, sample: int = 2000, buckets: int = 4096, **options: float) -> Model:
+def train(docs: DataFrame, sample: int = 4000, buckets: int = 4096, **options: float) -> Model:
     """Fit on about sample rows of docs with a language and a letter, chosen by the hash of their id, and never more.
 
     Documents whose crc32(doc_id) mod 4 is 2 are never learned from. Whole texts become features where

@@ -261,3 +261,9 @@ def test_mix_of_empty_and_wordless(spark, empty):
     assert mixing.pivotal_mix(empty).count() == 0
     df = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [(r.size, r.target, r.taken) for r in mixing.pivotal_mix(df).collect()] == [(0, 0.0, 0), (0, 0.0, 0)]
+
+
+def test_language_sample_has_its_former_bound():
+    import inspect
+
+    assert inspect.signature(language.train).parameters["sample"].default >= 4000
