@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import color, geo
-from fieldlens.storage import stored
+
+from .graphs import star_components
 
 
 def box_sum(cells: DataFrame, key: list[str], radius: int) -> DataFrame:
@@ -38,23 +39,9 @@ def distance_pairs(points: DataFrame, key: list[str], reach: float) -> DataFrame
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable. Labels fall along edges until none falls any more.
-
-    Each round also takes the label of one's label, so that rounds grow with the logarithm of a path.
-    Rounds are written to the shared checkpoint folder.
-    """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(nodes.select("id", F.col("id").alias("component")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.id == near.a, "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"))
-        up = step.select(F.col("id").alias("up"), F.col("component").alias("top"))
-        new = step.join(up, step.component == up.up, "left").select("id", F.least("component", F.coalesce("top", "component")).alias("component"))
-        new = stored(new, "labels")
-        moved = new.withColumnRenamed("component", "now").join(labels, "id").where("now <> component").limit(1).count()
-        labels = new
-        if not moved:
-            return labels
+    """(id, component): the smallest id reachable by edges (a, b); a node without an edge is its own component."""
+    found = star_components(edges.select("a", "b"))
+    return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def nearest_distances(points: DataFrame, key: list[str], k: int = 1) -> DataFrame:
