@@ -1,17 +1,19 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-Suffixes of documents (by words, cut at the window) are dealt by prefix into groups that fit a task's
-memory, and each group's suffix tree is read off its sorted suffixes: neighbours with a common prefix
-as long as the window hang below one internal node of that depth. A window is a repeat where its node
-has a leaf of a smaller document; adjacent windows make up maximal repeats.
-
-Which suffixes can lie below such a node at all is settled first. Every window has a lead: the
-six-word run, among those inside it, of the smallest hash. Equal windows have equal leads, so only
-windows whose lead stands in two different texts go on. Leads are about a fifth of all positions, and
-counting them is an aggregation with partial sums, whatever their frequency.
-
-A prefix is four words long, and as long as the window where its lead is crowded; suffixes of crowded
-leads are also salted, and the leaf of the smallest document is then found in two steps.
+A window (13 words) is a repeat where the same words also start in a document of smaller id. The lead of
+a window is the six-word run inside it of the smallest hash, the first of equal ones. Equal windows have
+equal leads at equal places, so only suffixes that begin with a lead are needed: about a fifth of all
+positions, a sparse suffix tree.
+
+Leads are the prefixes by which suffixes are dealt into groups; a lead that stands in one text only makes
+no suffix. A group's subtree is read off its sorted suffixes, as the tree of common prefixes: neighbours
+with d common words hang below an internal node of depth d or more. The words before a lead make a second
+such tree, read backwards. The window that reaches a words to the left of its lead ends below the node
+of depth 13 - a in the first tree and of depth a in the second, and the smallest document below both
+decides. Windows that are found so and follow each other make up maximal repeats.
+
+Prefixes vary in length: where a lead has more than crowd suffixes, its windows go by all their 13 words,
+and the smallest document of each is an aggregation with partial sums, whatever their number.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from fieldlens.storage import stored, stored_with
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, gram_hashes, stored
+from .common import WordHashes, gram_hashes
 
 LEAD = 6
 LAST = (1 << 63) - 1  # stands for a null id: larger than any other
+CODE = 6  # bytes of a word's hash that a suffix carries
+SECOND = np.uint64(0x5851F42D4C957F2D)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -37,7 +42,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def leads(hashes: np.ndarray, window: int) -> np.ndarray:
-    """For each window, the smallest hash of the six-word runs inside it."""
+    """For each window, the hash of its lead."""
     least = gram_hashes(hashes, min(LEAD, window))
     width, have = max(1, window - LEAD + 1), 1
     if len(least) < width:
@@ -49,6 +54,41 @@ def leads(hashes: np.ndarray, window: int) -> np.ndarray:
     return least
 
 
+class Anchors:
+    """The places of a document's leads, and the windows that have each.
+
+    reach has bit a set where the window that starts a words before the lead has it. first is the first
+    place with the same words around it and the same windows: what holds there holds here.
+    """
+
+    def __init__(self, hashes: np.ndarray, window: int) -> None:
+        run = min(LEAD, window)
+        self.width, self.window, self.hashes = window - run + 1, window, hashes
+        count = len(hashes) - window + 1
+        if count < 1:
+            self.places = self.reach = self.first = np.empty(0, np.int64)
+            self.lead = np.empty(0, np.int64)
+            return
+        runs = gram_hashes(hashes, run)
+        start = np.arange(count)
+        at = np.lib.stride_tricks.sliding_window_view(runs, self.width)[:count].argmin(axis=1) + start
+        self.places, which = np.unique(at, return_inverse=True)
+        self.reach = np.zeros(len(self.places), np.int64)
+        np.bitwise_or.at(self.reach, which, np.int64(1) << (at - start))
+        self.lead = runs[self.places].view(np.int64)
+        self.padded = np.concatenate([np.zeros(self.width - 1, np.uint64), hashes, np.zeros(window, np.uint64)])
+        around = gram_hashes(self.padded, self.width - 1 + window)[self.places] ^ (self.reach.view(np.uint64) * SECOND)
+        _, index, inverse = np.unique(around, return_index=True, return_inverse=True)
+        self.first = self.places[index[inverse]]
+
+    def suffixes(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words before, nearest first; words from the lead on) of the kept places, as bytes of hashes."""
+        codes = self.padded.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
+        at = self.places[keep] + self.width - 1
+        before = codes[at[:, None] - 1 - np.arange(self.width - 1)[None]]
+        return before.reshape(len(at), -1), codes[at[:, None] + np.arange(self.window)[None]].reshape(len(at), -1)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc, key, text): key tells texts apart that share an id, and is the same for repeated rows."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key"), "text")
@@ -75,60 +115,92 @@ def _leads(window: int):
     return run
 
 
-def _suffixes(window: int, crowd: int):
-    """Suffixes of one document that start a window with a shared lead; equal ones once.
+SUFFIX = pa.schema([("lead", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("place", pa.int32()), ("reach", pa.int32()), ("before", pa.binary()), ("words", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64())])
+SUFFIXES = "lead long, doc long, key long, place int, reach int, before binary, words binary, w1 long, w2 long"
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
-    words has 16 bits of each word in an order that bytes keep, node 64 bits of the whole window; both
-    must agree for suffixes to share a path.
-    """
+
+def _within(values: np.ndarray, some: list[int]) -> np.ndarray:
+    some_ = np.sort(np.array(some, dtype=np.int64))
+    return some_[np.minimum(np.searchsorted(some_, values), len(some_) - 1)] == values if len(some_) else np.zeros(len(values), bool)
+
+
+def _suffixes(window: int):
+    """Suffixes of a document that begin with a shared lead, equal ones once; windows of a crowded lead, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            for doc, key, text, shared, counts in zip(*(b[c].to_pylist() for c in ("doc", "key", "text", "leads", "counts")), strict=True):
-                hashes = known.of(tokens(text))
-                own = leads(hashes, window).view(np.int64)
-                shared_, counts_ = np.array(shared, dtype=np.int64), np.array(counts, dtype=np.int64)
-                by = np.argsort(shared_)
-                shared_, counts_ = shared_[by], counts_[by]
-                at = np.minimum(np.searchsorted(shared_, own), len(shared_) - 1)
-                pos = np.flatnonzero(shared_[at] == own)
-                node, first = np.unique(gram_hashes(hashes, window)[pos].view(np.int64), return_index=True)
-                pos = pos[first]
-                salts = -(-counts_[at[pos]] // crowd)
-                salt = np.where(salts > 1, key % np.maximum(salts, 1), -1).astype(np.int32)
-                short = (hashes >> np.uint64(48)).astype(">u2")
-                paths = np.lib.stride_tricks.sliding_window_view(short, window)[pos]
-                for i in range(0, len(pos), 20_000):
-                    n = len(pos[i : i + 20_000])
-                    flat = pa.py_buffer(np.ascontiguousarray(paths[i : i + n]).tobytes())
-                    words = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * window * 2, window * 2, dtype=np.int32)), flat])
-                    yield pa.record_batch({"words": words, "node": node[i : i + n], "doc": np.full(n, doc), "key": np.full(n, key), "salt": salt[i : i + n]})
+            for doc, key, text, shared, crowded in zip(*(b[c].to_pylist() for c in ("doc", "key", "text", "shared", "crowded")), strict=True):
+                a = Anchors(known.of(tokens(text)), window)
+                once = a.first == a.places
+                keep = np.flatnonzero(once & _within(a.lead, shared))
+                for i in range(0, len(keep), 20_000):
+                    some = keep[i : i + 20_000]
+                    n = len(some)
+                    before, words = a.suffixes(some)
+                    none = pa.nulls(n, pa.int64())
+                    yield pa.record_batch([a.lead[some], pa.array(np.full(n, doc)), pa.array(np.full(n, key)), pa.array(a.places[some], pa.int32()), pa.array(a.reach[some], pa.int32()), _bytes(before), _bytes(words), none, none], schema=SUFFIX)
+                many = np.flatnonzero(once & _within(a.lead, crowded))
+                if len(many):
+                    left = np.arange(a.width)
+                    row, reach = np.nonzero(a.reach[many][:, None] >> left & 1)
+                    start = a.places[many][row] - left[reach]
+                    w1, w2 = (gram_hashes(h, window)[start].view(np.int64) for h in (a.hashes, a.hashes ^ SECOND))
+                    n = len(row)
+                    yield pa.record_batch([pa.nulls(n, pa.int64()), pa.array(np.full(n, doc)), pa.array(np.full(n, key)), pa.array(a.places[many][row], pa.int32()), pa.array(1 << left[reach], pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), w1, w2], schema=SUFFIX)
 
     return run
 
 
-def depths(words: np.ndarray) -> np.ndarray:
-    """Depth of the node that joins each suffix to the next one in the sorted order: their common prefix."""
-    return np.logical_and.accumulate(words[1:] == words[:-1], axis=1).sum(axis=1)
+def tree(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, depths) of the suffixes (rows of words, as bytes) of several groups: depths are those of the internal
+    nodes that join each suffix to the next one in the order; -1 between two groups.
+    """
+    key = np.concatenate([group.astype(">u4").view(np.uint8).reshape(-1, 4), words], axis=1)
+    order = np.argsort(np.ascontiguousarray(key).view(f"S{key.shape[1]}").ravel(), kind="stable")
+    w = words[order].reshape(len(order), -1, CODE) if words.shape[1] else np.empty((len(order), 0, CODE), np.uint8)
+    depth = np.logical_and.accumulate((w[1:] == w[:-1]).all(axis=2), axis=1).sum(axis=1, dtype=np.int64)
+    return order, np.where(group[order][1:] == group[order][:-1], depth, -1)
+
+
+def below(order: np.ndarray, depths: np.ndarray, depth: int) -> np.ndarray:
+    """For each suffix, the number of the topmost node of at least that depth that it hangs below (or of itself)."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(depths < depth)])
+    return out
+
+
+def repeated(group: np.ndarray, before: np.ndarray, words: np.ndarray, doc: np.ndarray, reach: np.ndarray, window: int) -> np.ndarray:
+    """Of each suffix, the bits of its windows that also start in a smaller document."""
+    right, left = tree(group, words), tree(group, before)
+    out = np.zeros(len(group), np.int64)
+    for a in range(before.shape[1] // CODE + 1):
+        rows = np.flatnonzero(reach >> a & 1)
+        if len(rows):
+            node = below(*right, window - a)[rows] * len(group) + below(*left, a)[rows]
+            order = np.argsort(node, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], node[order][1:] != node[order][:-1]]))
+            first = np.repeat(np.minimum.reduceat(doc[rows][order], start), np.diff(np.concatenate([start, [len(rows)]])))
+            hit = rows[order[first < doc[rows][order]]]
+            out[hit] |= 1 << a
+    return out
 
 
 def _trees(window: int, rows: int):
-    """Reads suffixes in the order of their words; leaves below one node of full depth stand together."""
-
-    def done(t: pa.Table, words: np.ndarray, same: np.ndarray) -> pa.RecordBatch:
-        start = np.flatnonzero(np.concatenate([[True], ~same]))
-        doc, salt = t["doc"].to_numpy(), t["salt"].to_numpy()
-        least = np.minimum.reduceat(doc, start)
-        first = np.repeat(least, np.diff(np.concatenate([start, [len(doc)]])))
-        keep = np.flatnonzero((salt >= 0) | (first < doc))
-        part = t.select(["doc", "key", "node", "salt"]).take(pa.array(keep)).combine_chunks()
-        return pa.record_batch([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in part.columns), pa.array(first[keep])], names=["doc", "key", "node", "salt", "first"])
-
-    def joined(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        words = np.frombuffer(b"".join(t["words"].to_pylist()), dtype=np.uint16).reshape(-1, window)
-        node, salt = t["node"].to_numpy(), t["salt"].to_numpy()
-        return words, (depths(words) == window) & (node[1:] == node[:-1]) & (salt[1:] == salt[:-1])
+    """Reads suffixes by lead, some whole groups at a time."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        lead = t["lead"].to_numpy()
+        group = np.cumsum(np.concatenate([[0], lead[1:] != lead[:-1]]))
+        flat = lambda c: np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.uint8).reshape(t.num_rows, -1)
+        found = repeated(group, flat("before"), flat("words"), t["doc"].to_numpy(), t["reach"].to_numpy(), window)
+        hit = np.flatnonzero(found)
+        return pa.record_batch({"key": t["key"].to_numpy()[hit], "place": t["place"].to_numpy()[hit], "reach": pa.array(found[hit], pa.int32())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -138,60 +210,70 @@ def _trees(window: int, rows: int):
             count += b.num_rows
             if count >= rows:
                 t = pa.Table.from_batches(held)
-                words, same = joined(t)
-                cut = np.flatnonzero(~same)
+                lead = t["lead"].to_numpy()
+                cut = np.flatnonzero(lead[1:] != lead[:-1])
                 if len(cut):
                     k = int(cut[-1]) + 1
-                    yield done(t.slice(0, k), words[:k], same[: k - 1])
+                    yield done(t.slice(0, k))
                     held = t.slice(k).combine_chunks().to_batches()
                     count = sum(x.num_rows for x in held)
         if count:
-            t = pa.Table.from_batches(held)
-            yield done(t, *joined(t))
+            yield done(pa.Table.from_batches(held))
 
     return run
 
 
-def repeats(docs: DataFrame, window: int = 13, crowd: int = 20_000, rows: int = 50_000) -> DataFrame:
-    """(key, whole, nodes): by document, the windows (by hash) that also start in a document of smaller id.
+FOUND = "array<struct<place:int,reach:int>>"
+
+
+def repeats(docs: DataFrame, window: int = 13, crowd: int = 4096, rows: int = 50_000) -> DataFrame:
+    """(key, found, whole): by document, the leads (by place) and which of their windows also start in a smaller document.
 
     whole marks an exact copy (by words) of a smaller document, all of whose windows do. A null id is
     larger than any other. Rows that share an id never count against each other.
     """
+    if not 1 <= window <= LEAD + 25:
+        raise ValueError(f"a window has 1 to {LEAD + 25} words")
     base = _keyed(docs)
     texts = stored(base.mapInArrow(_leads(window), "doc long, key long, digest binary, leads array<long>"), "texts")
-    kinds = texts.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kinds = stored(texts.groupBy("digest").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "kinds")
     copies = stored(texts.select("key", "doc", "digest").join(kinds, "digest").where("doc > first").select("key").distinct(), "copies")
 
     own = texts.select("doc", "key", "leads").join(copies, "key", "left_anti").select(F.explode("leads").alias("lead"), "doc", "key")
-    twice = own.groupBy("lead").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("lead", "n")
-    lists = own.select("lead", "key").join(twice, "lead").groupBy("key").agg(F.collect_list("lead").alias("leads"), F.collect_list("n").alias("counts"))
+    twice = stored(own.groupBy("lead").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).where("a < b").select("lead", "n"), "twice")
+    some = lambda where: F.collect_set(F.when(where, F.col("lead")))
+    lists = own.select("lead", "key").join(twice, "lead").groupBy("key").agg(some(F.col("n") <= crowd).alias("shared"), some(F.col("n") > crowd).alias("crowded"))
     lists = stored(lists, "lists")
 
-    suffixes = base.join(lists, "key").mapInArrow(_suffixes(window, crowd), "words binary, node long, doc long, key long, salt int")
-    prefix = F.when(F.col("salt") < 0, F.xxhash64(F.substring("words", 1, 8))).otherwise(F.xxhash64("node", "salt"))
-    sorted_ = suffixes.repartition(prefix).sortWithinPartitions("words", "node", "salt")
-    leaves = stored(sorted_.mapInArrow(_trees(window, rows), "doc long, key long, node long, salt int, first long"), "leaves")
-    alone = leaves.where("salt < 0").select("key", "node")
-    spread = leaves.where("salt >= 0")
-    nodes = spread.groupBy("node").agg(F.min("first").alias("least"))
-    crowded = spread.join(nodes, "node").where("least < doc").select("key", "node")
-    found = alone.unionByName(crowded).groupBy("key").agg(F.collect_list("node").alias("nodes"))
-    return found.withColumn("whole", F.lit(False)).unionByName(copies.select("key", F.expr("cast(array() as array<bigint>)").alias("nodes"), F.lit(True).alias("whole")))
+    suffixes = base.join(lists, "key").dropDuplicates(["key"]).mapInArrow(_suffixes(window), SUFFIXES)
+    suffixes, seen = stored_with(suffixes, "suffixes", crowded=F.count("w1"))
+    dealt = suffixes.where("lead is not null").drop("w1", "w2").repartition("lead").sortWithinPartitions("lead")
+    found = dealt.mapInArrow(_trees(window, rows), "key long, place int, reach int")
+    if seen["crowded"]:
+        windows = suffixes.where("lead is null").select("w1", "w2", "doc", "key", "place", "reach")
+        least = stored(windows.groupBy("w1", "w2").agg(F.min("doc").alias("least")), "least")
+        found = found.unionByName(windows.join(least, ["w1", "w2"]).where("least < doc").select("key", "place", "reach"))
+    found = stored(found.groupBy("key").agg(F.collect_set(F.struct("place", "reach")).alias("found")), "found")
+    return found.withColumn("whole", F.lit(False)).unionByName(copies.select("key", F.expr(f"cast(array() as {FOUND})").alias("found"), F.lit(True).alias("whole")))
 
 
-def covered(words: list[bytes], nodes: list[int] | None, whole: bool | None, window: int, known: WordHashes) -> np.ndarray:
-    """Which of the words lie in a window that is one of nodes; all of them in a whole copy."""
+def covered(words: list[bytes], found: list[dict] | None, whole: bool | None, window: int, known: WordHashes) -> np.ndarray:
+    """Which of the words lie in a window that was found; all of them in a whole copy."""
     n = len(words)
     if whole:
         return np.full(n, n >= window)
-    if not nodes:
+    if not found:
         return np.zeros(n, dtype=bool)
-    own = gram_hashes(known.of(words), window).view(np.int64)
-    start = np.isin(own, np.array(nodes, dtype=np.int64)).astype(np.int64)
+    a = Anchors(known.of(words), window)
+    bits = np.zeros(n, np.int64)
+    for f in found:
+        bits[f["place"]] |= f["reach"]
+    reach = bits[a.first]
     change = np.zeros(n + 1, dtype=np.int64)
-    change[: len(own)] += start
-    change[window : window + len(own)] -= start
+    for left in range(a.width):
+        start = a.places[(reach >> left & 1) > 0] - left
+        change[start] += 1
+        change[start + window] -= 1
     return np.cumsum(change)[:n] > 0
 
 
@@ -206,9 +288,9 @@ def _removals(window: int):
         known = WordHashes()
         for b in batches:
             rows = []
-            for doc, null, text, nodes, whole in zip(*(b[c].to_pylist() for c in ("doc_id", "null_text", "text", "nodes", "whole")), strict=True):
+            for doc, null, text, found, whole in zip(*(b[c].to_pylist() for c in ("doc_id", "null_text", "text", "found", "whole")), strict=True):
                 words = tokens(text)
-                mask = covered(words, nodes, whole, window, known)
+                mask = covered(words, found, whole, window, known)
                 gone = int(mask.sum())
                 kept = b" ".join(w for w, m in zip(words, mask.tolist(), strict=True) if not m) if gone else b" ".join(words)
                 out = text if not gone else None if null else kept.decode("utf-8", "surrogatepass")
@@ -229,18 +311,19 @@ def dedup_report(docs: DataFrame, window: int = 13, **options: int) -> DataFrame
     """
     found = repeats(docs, window, **options)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("own"), F.col("text").isNull().alias("null_text"), "text")
-    rows = read.join(found, F.col("own") == F.col("key"), "left").select("doc_id", "null_text", "text", "nodes", "whole")
+    rows = read.join(found, F.col("own") == F.col("key"), "left").select("doc_id", "null_text", "text", "found", "whole")
     return rows.mapInArrow(_removals(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<struct<start:long,end:long>>")
 
 
 def deduplicated(docs: DataFrame, window: int = 13, least_words: int = 1, **options: int) -> DataFrame:
     """docs with repeated words cut out of their texts; documents left with fewer than least_words go if they lost any.
 
-    All columns stay; text changes where words went.
+    All columns stay; text changes where words went. Null and wordless texts stay as they are, repeated
+    rows lose the same words, an empty table gives no rows.
     """
     found = repeats(docs, window, **options)
     own = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("own"), F.struct("*").alias("row"))
-    rows = own.join(found, F.col("own") == F.col("key"), "left").select("row", "nodes", "whole")
+    rows = own.join(found, F.col("own") == F.col("key"), "left").select("row", "found", "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -249,10 +332,10 @@ def deduplicated(docs: DataFrame, window: int = 13, least_words: int = 1, **opti
             names = [f.name for f in row.type]
             parts = dict(zip(names, row.flatten(), strict=True))
             keep, texts = [], []
-            for i, (text, nodes, whole) in enumerate(zip(parts["text"].to_pylist(), b["nodes"].to_pylist(), b["whole"].to_pylist(), strict=True)):
-                if nodes or whole:
+            for i, (text, found, whole) in enumerate(zip(parts["text"].to_pylist(), b["found"].to_pylist(), b["whole"].to_pylist(), strict=True)):
+                if found or whole:
                     words = tokens(text)
-                    mask = covered(words, nodes, whole, window, known)
+                    mask = covered(words, found, whole, window, known)
                     left = [w for w, m in zip(words, mask.tolist(), strict=True) if not m]
                     if len(left) < len(words):
                         if len(left) < least_words:
