@@ -16,13 +16,13 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from fieldlens.storage import shared_path, stored
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path, stored
 
 CRLF = b"\r\n"
 END = "\r\n\r\n"
@@ -109,7 +109,8 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, segment: int
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     sums = rows.select("page_id", "html").mapInArrow(_sums, "page_id long, sha string, bytes long").where(F.col("bytes") >= least)
-    first = sums.groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sums = stored(sums, "sums")
+    first = stored(sums.groupBy("sha").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     again = sums.join(first, "sha").where("page_id < response").select("page_id", F.struct("sha", "response").alias("to"))
     often = rows.groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select("page_id", F.lit(None).cast("struct<sha:string,response:bigint>").alias("to"))
     marks = again.unionByName(often).groupBy("page_id").agg(F.map_from_entries(F.collect_set("to")).alias("to"), F.bool_or(F.col("to").isNull()).alias("often"))
@@ -122,39 +123,102 @@ def write_archives(pages: DataFrame, path: str, least: int = 1000, segment: int
     out.text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of each record; ValueError where the archive is broken."""
-    at, n = 0, len(data)
-    while at < n:
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+PIECE = 1 << 20
+
+
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """The archive's bytes in pieces: gzip of one member or of a member for each record, or none."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(content):
+        if not any(view[at : at + 512]) and not any(view[at:]):  # padding after the last member
+            return
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            piece = view[at : at + PIECE]
+            if not len(piece):
+                raise ValueError("the archive ends inside a gzip member")
+            out = member.decompress(piece, PIECE)
+            at += len(piece) - len(member.unused_data) - len(member.unconsumed_tail)
+            if out:
+                yield out
+
+
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields by lower-case name, block) of each record; ValueError where the archive is broken. Holds one record."""
+    it, held, place = iter(pieces), bytearray(), 0
+
+    def more(least: int) -> bool:
+        while len(held) < least:
+            piece = next(it, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while True:
+        while more(2) and held[:2] == CRLF:  # more blank lines than needed
+            del held[:2]
+            place += 2
+        if not more(5):
+            if held:
+                raise ValueError(f"no record at byte {place}")
+            return
+        if held[:5] != b"WARC/":
+            raise ValueError(f"no record at byte {place}")
+        end = -1
+        while (end := held.find(b"\r\n\r\n", max(0, end))) < 0:
+            if not more(len(held) + 1):
+                raise ValueError(f"the record at byte {place} has no end of its fields")
+        fields: dict[str, str] = {}
+        name = ""
+        for line in held[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            if line[:1] in (" ", "\t") and name:  # a field goes on
+                fields[name] += " " + line.strip()
+            else:
+                name, _, value = line.partition(":")
+                name = name.strip().lower()
+                fields[name] = value.strip()
         size = int(fields["content-length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size or data[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        at = end + 8 + size
-        yield fields, block
+        if not more(end + 8 + size) or held[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {place} doesn't end where its length says")
+        yield fields, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 8 + size]
+        place += end + 8 + size
+
+
+SEGMENT = "origin string, number int, total long, page_id long, url string, record_type string, sha1 string, refers_to long, http boolean, block binary"
 
 
-SEGMENT = "origin string, number int, total long, page_id long, url string, record_type string, sha1 string, refers_to long, block binary"
+#: The record types that carry pages. Others (warcinfo, request, metadata, ...) are passed over.
+PAGES = ("response", "resource", "revisit", "conversion")
+
+
+def hex_digest(field: str | None) -> str | None:
+    """A labelled SHA-1 in hexadecimal; null for other algorithms."""
+    kind, _, value = (field or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return value.lower() if len(value) == 40 else base64.b32decode(value.upper()).hex()
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda x: None if x is None else int(x)
     for b in batches:
-        for content in b["content"].to_pylist():
-            data = zlib.decompress(content, wbits=47) if content[:2] == b"\x1f\x8b" else content
+        for content in b["content"]:
             rows: list[tuple] = []
             held = 0
-            for f, block in parse_records(data):
-                first = f["warc-type"] != "continuation"
-                sha = base64.b32decode(f["warc-payload-digest"].partition(":")[2]).hex() if first else None
+            for f, block in parse_records(unpacked(content.as_py())):
+                kind = f.get("warc-type", "").lower()
+                if kind not in PAGES and kind != "continuation":
+                    continue
+                first = kind != "continuation"
                 segment = number(f.get("warc-segment-number"))
                 total = number(f.get("warc-segment-total-length")) if segment else len(block)
-                rows.append((f["warc-record-id"] if first else f["warc-segment-origin-id"], segment or 1, total, number(f.get("x-page-id")), f.get("warc-target-uri"), f["warc-type"] if first else None, sha, number(f.get("x-refers-to-page-id")), block))
+                http = f.get("content-type", "").lower().startswith("application/http") or kind == "revisit"
+                rows.append((f["warc-record-id"] if first else f["warc-segment-origin-id"], segment or 1, total, number(f.get("x-page-id")), f.get("warc-target-uri"), kind if first else None, hex_digest(f.get("warc-payload-digest")) if first else None, number(f.get("x-refers-to-page-id")), http if first else None, block))
                 held += len(block)
                 if held > 8 << 20:
                     yield _as_batch(rows)
@@ -162,7 +226,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _as_batch(rows)
 
 
-_TYPES = [("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("sha1", pa.string()), ("refers_to", pa.int64()), ("block", pa.binary())]
+_TYPES = [("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("sha1", pa.string()), ("refers_to", pa.int64()), ("http", pa.bool_()), ("block", pa.binary())]
 
 
 def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -170,21 +234,34 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(cols, _TYPES, strict=True)], schema=pa.schema(_TYPES))
 
 
+def http_payload(block: bytes, page: object) -> tuple[bytes, bytes]:
+    """(head, body) of an HTTP message: chunks are joined, a stated length holds, else the body is all the rest."""
+    head, blank, body = block.partition(b"\r\n\r\n")
+    if re.search(rb"(?mi)^transfer-encoding:\s*chunked\s*$", head):
+        return head, unchunked(body)
+    if blank and (size := re.search(rb"(?mi)^content-length:\s*(\d+)\s*$", head)):
+        if len(body) < int(size[1]):
+            raise ValueError(f"the body of page {page} has {len(body)} of {int(size[1])} bytes")
+        body = body[: int(size[1])]
+    return head, body
+
+
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for page, url, kind, sha, refers, total, blocks in zip(*(b[c].to_pylist() for c in ("page_id", "url", "record_type", "sha1", "refers_to", "total", "blocks")), strict=True):
+        for page, url, kind, sha, refers, http, total, blocks in zip(*(b[c].to_pylist() for c in ("page_id", "url", "record_type", "sha1", "refers_to", "http", "total", "blocks")), strict=True):
             whole = b"".join(blocks)
             if total is None or len(whole) != total:
-                raise ValueError(f"segments of page {page} have {len(whole)} of {total} bytes")
-            head, _, body = whole.partition(b"\r\n\r\n")
+                raise ValueError(f"segments of page {page if page is not None else url} have {len(whole)} of {total} bytes")
             if kind == "revisit":
-                size, payload = int(re.search(rb"(?mi)^content-length:\s*(\d+)", head)[1]), None
+                stated = re.search(rb"(?mi)^content-length:\s*(\d+)", whole.partition(b"\r\n\r\n")[0])
+                size, payload = int(stated[1]) if stated else None, None
             else:
-                payload = unchunked(body)
-                size = len(payload)
-                if hashlib.sha1(payload).hexdigest() != sha:
-                    raise ValueError(f"the payload of page {page} has another digest")
+                payload = http_payload(whole, page)[1] if http else whole
+                size, own = len(payload), hashlib.sha1(payload).hexdigest()
+                if sha is not None and own != sha:
+                    raise ValueError(f"the payload of page {page if page is not None else url} has another digest")
+                sha = own
             rows.append((page, url, size, sha, kind, refers, payload))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -192,15 +269,17 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of each whole record.
+    """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload) of each whole record that carries a page.
 
-    A record in one segment is whole where it is read; only segmented ones are shuffled, by origin.
-    A missing segment, a wrong total, broken chunks and a wrong digest are errors. Revisits have no
-    payload of their own; size and digest are those of the payload they stand for.
+    Archives are plain or gzipped, by record or as one. A record in one segment is whole where it is
+    read; only segmented ones are shuffled, by origin. Bodies are chunked, of a stated length, or all
+    the rest. page_id is null in archives of others. A missing segment, a wrong total, broken chunks and
+    a wrong digest are errors. Revisits have no payload of their own; size and digest are those of the
+    payload they stand for.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     parts = files.mapInArrow(_segments, SEGMENT)
-    meta = ["page_id", "url", "record_type", "sha1", "refers_to"]
+    meta = ["page_id", "url", "record_type", "sha1", "refers_to", "http"]
     alone = parts.where("number = 1 and total is not null").select(*meta, "total", F.array("block").alias("blocks"))
     split = parts.where("number > 1 or total is null")
     joined = split.groupBy("origin").agg(*[F.max(c).alias(c) for c in meta], F.max("total").alias("total"), F.expr("transform(sort_array(collect_list(struct(number, block))), x -> x.block)").alias("blocks")).drop("origin")
