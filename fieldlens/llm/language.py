@@ -3,13 +3,15 @@
 A text's features are its hashed byte n-grams of lower-cased text. Each bucket has an embedding, a
 text is the average of its buckets' embeddings, and a linear softmax over the average gives the
 language. Since both maps are linear, a fitted model is one row of class scores for each bucket.
-A temperature, fitted on part of the sample kept from training, calibrates the probabilities, and a
-text whose best probability stays below the threshold is rejected.
+A temperature, fitted on part of the sample kept from training, calibrates the probabilities. A text
+whose best probability stays below one half is rejected: its language is more likely another one than
+the one predicted.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, release
+from .common import crc_rest
 
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII but letters to a space: digits and marks say little about the language.
 FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 ORDERS = (1, 2, 3, 4)
-HALF = 1024  # features travel to the driver as half floats of this many times their size
+HALF = 1024  # features travel as half floats of this many times their size
 
 
 def features(text: str, buckets: int) -> np.ndarray:
@@ -66,7 +68,7 @@ class Model:
         return self.langs[k], float(p[k]), bool(p[k] < self.threshold)
 
 
-def fit(x: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 12, batch: int = 32, rate: float = 6.0, threshold: float = 0.3, seed: int = 7) -> Model:
+def fit(x: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 12, batch: int = 32, rate: float = 6.0, threshold: float = 0.5, seed: int = 7) -> Model:
     """x has the features of a text in each row. Every fifth row is kept from training, to fit the temperature."""
     names, buckets = sorted(set(langs)), x.shape[1]
     if not names:
@@ -115,24 +117,45 @@ def _featured(buckets: int):
     return run
 
 
+def _fitted(options: dict[str, float], buckets: int):
+    """Fits where the sample comes together; the model is a few hundred KB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: list[str] = []
+        rows: list[np.ndarray] = []
+        for b in batches:
+            langs += b["lang"].to_pylist()
+            rows += [np.frombuffer(v, dtype=np.float16) for v in b["x"].to_pylist()]
+        x = np.empty((len(rows), buckets), np.float32)
+        for k, r in enumerate(rows):
+            x[k] = r
+        x /= HALF
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(x, langs, **options))], pa.binary())})
+
+    return run
+
+
 def train(docs: DataFrame, sample: int = 4000, buckets: int = 4096, **options: float) -> Model:
     """Fit on about sample rows of docs with a language and a letter, chosen by the hash of their id, and never more.
 
+    Each language has an equal part of the sample, or all its rows, so that a rare one is not missed.
     Documents whose crc32(doc_id) mod 4 is 2 are never learned from. Whole texts become features where
-    they are read; the driver gets sample rows of buckets numbers, whatever the table.
+    they are read, and one task fits the sample, of the same size for any table.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(crc_rest("doc_id", 4) == 2, F.lit(False)))
+    per = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     steps = 1 << 30
-    share = min(steps, math.ceil(steps * sample / max(1, rows.count())))
+    part = sample / max(1, len(per))
+    spare = sum(max(0.0, part - n) for n in per.values()) / max(1, sum(n > part for n in per.values()))
+    share = {lang: min(steps, math.ceil(steps * (part + spare) / n)) for lang, n in per.items()}
+    within = F.lit(0)
+    for lang, most in share.items():
+        within = F.when(F.col("lang") == lang, most).otherwise(within)
     key = F.xxhash64("doc_id", "text")
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < share).select(key.alias("k"), "lang", "text")
-    got = some.mapInArrow(_featured(buckets), "k long, lang string, x binary").orderBy("k").limit(sample).toArrow()
-    x = np.stack([np.frombuffer(v, dtype=np.float16) for v in got["x"].to_pylist()]).astype(np.float32) / HALF if len(got) else np.zeros((0, buckets), np.float32)
-    model = fit(x, got["lang"].to_pylist(), **options)
-    del got, x
-    pa.default_memory_pool().release_unused()
-    release(docs.sparkSession)
-    return model
+    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(steps)) < within).select(key.alias("k"), "lang", "text")
+    chosen = some.mapInArrow(_featured(buckets), "k long, lang string, x binary").orderBy("k").limit(sample)
+    got = chosen.select("lang", "x").coalesce(1).mapInArrow(_fitted(options, buckets), "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit(np.zeros((0, buckets), np.float32), [], **options)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
