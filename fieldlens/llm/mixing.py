@@ -14,33 +14,47 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from fieldlens.storage import stored
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BETWEEN_PRINT, stored
+from .common import BETWEEN_PRINT
+
+
+def running(rows: DataFrame, order: list[Column], *sums: str) -> DataFrame:
+    """rows with place (from 0, in the order) and, for each of sums, before_<name>: its sum over the rows before.
+
+    Rows are dealt by ranges of the order; what lies before a range is the sum of the ranges' totals, so
+    that only a row for each range comes together.
+    """
+    ranged = stored(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_range").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_range", *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in ("n", *sums)])
+    own = Window.partitionBy("_range").orderBy(*order)
+    full = ranged.join(F.broadcast(starts), "_range").withColumn("place", F.col("_before_n") + F.row_number().over(own) - 1)
+    for c in sums:
+        full = full.withColumn(f"before_{c}", F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return full.select(*rows.columns, "place", *[f"before_{c}" for c in sums])
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, n_docs, source_size, target): shares by weight, none above most times its source's size.
 
     Sources are ordered by code point, null last, and weigh by turns. What a source can't take is
-    shared again by weight: the level at which the capped shares add up is found in one pass over the
-    sources in the order of their cap for a unit of weight.
+    shared again by weight: the level at which the capped shares add up is that of the first source, in
+    the order of the cap for a unit of weight, whose share at the level of all from it on is below its cap.
     """
-    per = sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_name) - 1) % len(weights)
-    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn + 1))
-    per = per.withColumn("cap", most * F.col("source_size"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    rest = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    all_rows = Window.partitionBy()
-    per = per.withColumn("total", share * F.sum("source_size").over(all_rows))
-    per = per.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
-    per = per.withColumn("fits", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(all_rows)["level"])
-    target = F.least(F.col("cap"), F.coalesce(F.col("fits"), F.lit(math.inf)) * F.col("weight"))
-    return per.select("source", "n_docs", F.col("source_size").cast("long").alias("source_size"), F.greatest(target, F.lit(0.0)).alias("target"))
+    by_name = F.col("source").asc_nulls_last()
+    per = running(sized.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size")), [by_name])
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    per = per.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")).withColumn("unit", F.col("cap") / F.col("weight")).drop("place")
+    full = stored(running(per, [F.col("unit"), by_name], "cap", "weight"), "caps")
+    sums = full.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (share * F.lit(float(sums["size"] or 0)) - F.col("before_cap")) / (F.lit(float(sums["weight"] or 0)) - F.col("before_weight"))
+    fits = full.withColumn("level", level).where(F.col("level") * F.col("weight") <= F.col("cap")).agg(F.min(F.struct("unit", "place", "level")).alias("f")).first()["f"]
+    target = F.least(F.col("cap"), F.lit(fits["level"] if fits else math.inf) * F.col("weight"))
+    return full.select("source", "n_docs", F.col("source_size").cast("long").alias("source_size"), F.greatest(target, F.lit(0.0)).alias("target"))
 
 
 #: One step of a block's fold: acc holds the residual r (words w of size s) and what is settled; e comes next.
