@@ -14,11 +14,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from fieldlens.storage import stored
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+
+#: ASCII separators that are white space for texts of other letters too.
+SEPARATORS = bytes(32 if 28 <= c <= 31 else c for c in range(256))
 
 
 def canonical(text: str | None) -> bytes:
@@ -28,7 +31,7 @@ def canonical(text: str | None) -> bytes:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
         return " ".join(text.split()).encode("utf-8", "surrogatepass")
-    return b" ".join(text.lower().encode().split(None))
+    return b" ".join(text.lower().encode().translate(SEPARATORS).split())
 
 
 def digest(text: str | None) -> str:
@@ -84,7 +87,7 @@ def collided(docs: DataFrame, digests: DataFrame) -> DataFrame:
     within = {r["bucket"]: bytes(r["bits"]) for r in bits.collect()}
     both = buckets(docs, within).where(F.col("crowded").isNotNull()).select("digest", "folded", F.col("fingerprint").alias("named"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digests(within), "id long, digest string, folded binary")
-    return rows.join(both, ["digest", "folded"]).select(F.col("id").alias("doc_id"), "digest", "named")
+    return rows.join(both, ["digest", "folded"]).select(F.col("id").alias("doc_id"), "digest", "named").distinct()  # repeated rows have one name
 
 
 def _edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 #: Names of HTML elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+UNREAD = frozenset(("script", "style"))
 RAW = frozenset("script style noscript template iframe textarea title svg math object select button".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -76,7 +77,11 @@ def _hints(attrs: str) -> tuple[str, ...]:
 
 
 def parse(page: str | None) -> Tree:
-    """The page's tree. Markup that is cut off at the end, comments and raw elements leave no text."""
+    """The page's tree. Markup that is cut off at the end, comments and raw elements leave no text.
+
+    A raw element without an end is passed over, and what follows is read; only a script or a style goes
+    on to the end of the page.
+    """
     page = page or ""
     tree = Tree()
     stack = [tree.add(-1, "page")]  # open blocks
@@ -102,6 +107,7 @@ def parse(page: str | None) -> Tree:
 
     at = 0
     end = len(page)
+    open_ended: set[str] = set()  # raw elements without an end from here on
     while at < end:
         m = TAG.search(page, at)
         if m is None:
@@ -116,9 +122,14 @@ def parse(page: str | None) -> Tree:
         if not (m[1] or m[4]):
             attrs = m[3] or m[6] or ""
             if name in RAW:
-                if not attrs.rstrip().endswith("/"):
-                    stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                    at = stop.end() if stop else end
+                if not attrs.rstrip().endswith("/") and name not in open_ended:
+                    stop = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*>", re.I).search(page, at)
+                    if stop:
+                        at = stop.end()
+                    elif name in UNREAD:
+                        break
+                    else:
+                        open_ended.add(name)
                 continue
             if name == "br" or name == "wbr":
                 run.append((" " if name == "br" else "", False))

@@ -1,22 +1,20 @@
 """N-gram Jaccard join with signature trees.
 
-A document's set are its distinct word shingles, as 64-bit hashes. Two sets with a Jaccard similarity
-of t or more share one of the first |x| - ceil(t |x|) + 1 hashes of each, in any order common to all:
-the order here puts shingles that are frequent in a bounded sample last, then goes by hash. Documents
-that share such a hash meet in a bucket; buckets with the same members are one.
-
-In a bucket the documents are leaves of signature trees: nodes hold the OR of token bitmaps and the
-range of set sizes, and a traversal of two trees at once leaves out pairs of nodes whose largest
-possible overlap can't reach t.
-
-Copies don't multiply: equal sets are one class, and a first traversal gives each document its most
-alike earlier one only. What these contacts leave apart is joined in a second round: traversals of the
-buckets that still hold several components tell which documents may be linked beyond their own,
-as a spanning forest per bucket. Documents that hang together so are one group, which holds all links
-of its members. In a group each pair meets once, and every pair that may be linked is compared by its
-whole sets. A task gives back how many links each of its documents has and whom it hangs together
-with, so that grows with its documents, not with their pairs. Crowded buckets and groups are split
-into blocks, and each pair of blocks is a task.
+A document's set are its distinct word shingles, as 64-bit hashes. Equal sets are one class. Two sets
+with a Jaccard similarity of t or more share one of the first |x| - ceil(t |x|) + 1 hashes of each, in
+any order common to all: the order here puts shingles that are frequent in a bounded sample last, then
+goes by hash. These leading tokens are dealt into regions of some thousand rows, and what meets in a
+region are signature trees (trees.py): nodes have the OR of their documents' leading tokens of the
+region, the OR of their whole token bitmaps and a range of sizes, and the dual traversal of the trees
+finds who may be linked to whom.
+
+Classes that may hang together, over all regions, are one group, and a group holds all links of its
+members. There each pair meets once: trees again tell the pairs that may be linked, and those are
+compared by their whole sets. A task gives back how many links each of its documents has and whom it
+hangs together with, so that grows with its documents, not with their pairs.
+
+A token of more rows than a region is a region of its own, in blocks that share some pilots. Rows that
+this leaves apart are compared block by block. Large groups are split into blocks by rows and by bytes.
 """
 
 from __future__ import annotations
@@ -26,15 +24,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from fieldlens.operators.graphs import star_components
+from fieldlens.storage import stored, stored_with
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, most_counted, stored
-from .components import components
+from .common import WordHashes, gram_hashes, most_counted
+from .trees import FAN, Classes, bitmap, candidates, hang_together
 
-LEAF, FAN = 32, 8
 #: Bounds of what exact bit rows of a group may take: tokens, and words of 64 bits.
 MOST_TOKENS, MOST_WORDS = 4_000_000, 8_000_000
+#: Classes without an id have a number from here on: above any id, so that the smallest of a component is an id if it has one.
+NAMELESS = 1 << 62
+PILOTS = 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -56,26 +58,21 @@ def prefix(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([own[~last], own[last]])[:n]
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    """Token bitmap, of twice as many bits as tokens at least (to 65536); a power of two, so that it folds."""
-    size = min(65536, max(64, 1 << (2 * len(own) - 1).bit_length()))
-    bits = np.zeros(size, dtype=np.uint8)
-    bits[(own & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64) if arrays else np.empty(0, np.int64)))
 
 
+SIGNED = "doc long, key long, n long, digest binary, bits binary, prefix array<long>"
+
+
 def _signatures(size: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
             sets = [shingle_set(t, known, size) for t in b["text"].to_pylist()]
             yield pa.record_batch({
-                "doc": b["doc"], "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                "doc": b["doc"], "key": b["key"], "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 "bits": pa.array([bitmap(s) if len(s) else b"" for s in sets], pa.binary()), "prefix": _lists([prefix(s, frequent, percent) if len(s) else s for s in sets]),
             })
 
@@ -87,143 +84,24 @@ def _sets(size: int):
         known = WordHashes()
         for b in batches:
             sets = [shingle_set(t, known, size).tobytes() for t in b["text"].to_pylist()]
-            yield pa.record_batch({"doc": b["doc"], "digest": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "all": pa.array(sets, pa.binary())})
+            yield pa.record_batch({"digest": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "all": pa.array(sets, pa.binary())})
 
     return run
 
 
-class Tree:
-    """Signature tree over rows sorted by set size; levels[0] are the leaves."""
-
-    def __init__(self, n: np.ndarray, bits: np.ndarray, comp: np.ndarray) -> None:
-        self.n, self.bits = n, bits
-        self.excess = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)  # tokens that share a bit with others
-        self.comp = comp
-        at = np.arange(0, len(n), LEAF)
-        level = (at, np.minimum.reduceat(n, at), np.maximum.reduceat(n, at), np.bitwise_or.reduceat(bits, at, axis=0), np.maximum.reduceat(self.excess, at), np.minimum.reduceat(comp, at), np.maximum.reduceat(comp, at))
-        self.levels = [level]
-        while len(level[0]) > 1:
-            at = np.arange(0, len(level[0]), FAN)
-            level = (at, np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at), np.bitwise_or.reduceat(level[3], at, axis=0), np.maximum.reduceat(level[4], at), np.minimum.reduceat(level[5], at), np.maximum.reduceat(level[6], at))
-            self.levels.append(level)
-
-    def below(self, k: int, i: int) -> range:
-        return range(i * FAN, min(i * FAN + FAN, len(self.levels[k - 1][0])))
-
-
-def possible(u: Tree, v: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows of u, rows of v, largest overlaps) that may reach the similarity; each pair once when u is v.
-
-    Of a node pair, the overlap is at most the bits both ORs have, with the tokens that may share
-    those bits, and at most the largest set. Pairs within one component are left out (-1 is none).
-    """
-    need = lambda o, a, b: (100 + percent) * o >= percent * (a + b)
-    stack = [(len(u.levels) - 1, 0, len(v.levels) - 1, 0)]
-    while stack:
-        k, i, m, j = stack.pop()
-        a, b = u.levels[k], v.levels[m]
-        if a[5][i] == a[6][i] == b[5][j] == b[6][j] >= 0:
-            continue
-        most = min(int(a[2][i]), int(b[2][j]))
-        if not need(most, int(a[1][i]), int(b[1][j])):
-            continue
-        if k or m or u is not v or i != j:
-            most = min(most, int(np.bitwise_count(a[3][i] & b[3][j]).sum()) + min(int(a[4][i]), int(b[4][j])))
-            if not need(most, int(a[1][i]), int(b[1][j])):
-                continue
-        if k == m == 0:
-            x, y = slice(i * LEAF, i * LEAF + LEAF), slice(j * LEAF, j * LEAF + LEAF)
-            o = np.bitwise_count(u.bits[x][:, None] & v.bits[y][None]).sum(axis=2, dtype=np.int64) + np.minimum(u.excess[x][:, None], v.excess[y][None])
-            na, nb = u.n[x][:, None], v.n[y][None]
-            o = np.minimum(o, np.minimum(na, nb))
-            ok = need(o, na, nb) & ((u.comp[x][:, None] != v.comp[y][None]) | (u.comp[x][:, None] < 0))
-            if u is v and i == j:
-                ok &= np.tri(len(ok), k=-1, dtype=bool).T
-            p, q = np.nonzero(ok)
-            if len(p):
-                yield p + i * LEAF, q + j * LEAF, o[p, q]
-        elif k >= m and k:
-            for c in u.below(k, i):
-                if u is v and k == m:
-                    stack += [(k - 1, c, m - 1, d) for d in v.below(m, j) if i != j or d >= c]
-                else:
-                    stack.append((k - 1, c, m, j))
-        else:
-            stack += [(k, i, m - 1, d) for d in v.below(m, j)]
-
-
-def bucket_pairs(n: np.ndarray, bits: list[bytes], comp: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, similarity at most) of the rows of a bucket that may be linked; with two sides, of one and the other."""
-    size = np.array([len(x) * 8 for x in bits])
-    sides = [side == s for s in np.unique(side)]
-    for length in np.unique(size):
-        trees = {}
-        for s, mine in enumerate(sides):
-            for folds in (1, 2):  # sets of like size have bitmaps of equal or double length
-                rows = np.flatnonzero(mine & (size == length * folds))
-                if len(rows):
-                    rows = rows[np.argsort(n[rows], kind="stable")]
-                    m = np.frombuffer(b"".join([bits[r] for r in rows]), dtype=np.uint64).reshape(len(rows), -1)
-                    if folds == 2:
-                        m = m[:, : m.shape[1] // 2] | m[:, m.shape[1] // 2 :]
-                    trees[s, folds] = rows, Tree(n[rows], m, comp[rows])
-        if len(sides) == 1:
-            meets = [((0, 1), (0, 1)), ((0, 1), (0, 2))]
-        else:
-            meets = [((0, 1), (1, 1)), ((0, 1), (1, 2)), ((0, 2), (1, 1))]
-        for x, y in meets:
-            if x in trees and y in trees:
-                (r, u), (q, v) = trees[x], trees[y]
-                for i, j, o in possible(u, v, percent):
-                    yield r[i], q[j], o / (u.n[i] + v.n[j] - o)
-
-
-def _first(doc: np.ndarray, pilot: np.ndarray, found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> set[tuple[int, int]]:
-    """Each document with the most alike earlier one, else later one; and with the most alike pilot."""
-    best = np.full((3, len(doc)), -1.0)
-    mate = np.zeros((3, len(doc)), dtype=np.int64)
-
-    def note(k: int, to: np.ndarray, other: np.ndarray, score: np.ndarray) -> None:
-        np.maximum.at(best[k], to, score)
-        won = best[k][to] == score
-        mate[k][to[won]] = other[won]
-
-    for i, j, s in found:
-        swap = doc[i] > doc[j]
-        early, late = np.where(swap, j, i), np.where(swap, i, j)
-        note(0, late, early, s)
-        note(1, early, late, s)
-        for a, b in ((i, j), (j, i)):
-            p = pilot[b]
-            note(2, a[p], b[p], s[p])
-    out = set()
-    for r in np.flatnonzero(best.max(axis=0) >= 0):
-        picks = [0] if best[0][r] >= 0 else [1]
-        for k in (*picks, 2):
-            if best[k][r] >= 0:
-                a, b = int(doc[r]), int(doc[mate[k][r]])
-                out.add((min(a, b), max(a, b)))
-    return out
-
-
-def _pairs(got: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([np.empty(0, np.int64), *(g[0] for g in got)])
-    b = np.concatenate([np.empty(0, np.int64), *(g[1] for g in got)])
-    return pa.record_batch({"a": a[a != b], "b": b[a != b]})
-
-
-def _buckets(make, joined=_pairs):
-    """Runs make(table) for each bucket, and joined on what the buckets at hand gave; rows come sorted by token, x and y."""
+def _together(make, schema: pa.Schema):
+    """Runs make(table) for the rows of each region, x and y, which come sorted by them."""
 
     def batch(tables: list[pa.Table]) -> pa.RecordBatch:
-        return joined([make(t) for t in tables if t.num_rows > 1])
+        got = [make(t) for t in tables if t.num_rows > 1]
+        return pa.record_batch([pa.concat_arrays([pa.array(g[f.name], f.type) for g in got]) if got else pa.array([], f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for b in batches:
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
-            keys = [held[c].to_numpy() for c in ("token", "x", "y")]
+            keys = [held[c].to_numpy() for c in ("region", "x", "y")]
             cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
             if len(cut):
                 edges = [0, *cut.tolist()]
@@ -235,61 +113,49 @@ def _buckets(make, joined=_pairs):
     return run
 
 
-def _read(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    return t["doc"].to_numpy(), t["n"].to_numpy(), t["bits"].to_pylist(), t["comp"].to_numpy(), t["flag"].to_numpy()
-
-
-def _early(percent: int):
-    def make(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        doc, n, bits, comp, flag = _read(t)
-        got = _first(doc, flag > 0, bucket_pairs(n, bits, comp, np.zeros(len(doc), np.int8), percent))
-        return np.array([g[0] for g in got], np.int64), np.array([g[1] for g in got], np.int64)
-
-    return _buckets(make)
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _contacts(percent: int):
-    """Documents that may be linked to one of another component, with the first of those they hang together with."""
+    """Documents of a region that may be linked, directly or by others: each with the first of those it hangs together with."""
 
-    def make(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        doc, n, bits, comp, flag = _read(t)
-        label = np.arange(len(doc))
-        for i, j, _ in bucket_pairs(n, bits, comp, flag, percent):
-            _merge(label, i, j)
-        return doc, doc[label]
+    def make(t: pa.Table) -> dict[str, np.ndarray]:
+        doc, tag, token = (t[c].to_numpy() for c in ("doc", "tag", "token"))
+        order = np.lexsort((tag, doc))
+        new = np.concatenate([[True], (doc[order][1:] != doc[order][:-1]) | (tag[order][1:] != tag[order][:-1])])
+        entry, heads = np.cumsum(new) - 1, order[new]
+        kinds, number = np.unique(token, return_inverse=True)
+        width = min(4096, max(64, 1 << (2 * len(kinds) - 1).bit_length()))
+        own = np.zeros((len(heads), width // 64), np.uint64)
+        bit = number[order] % width
+        np.bitwise_or.at(own, (entry, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+        lead = np.minimum.reduceat(number[order], np.flatnonzero(new))
+        first = t.take(pa.array(heads))
+        n, bits, comp, side = first["n"].to_numpy(), first["bits"].to_pylist(), first["comp"].to_numpy(), first["side"].to_numpy()
+        name = hang_together(n, bits, own, lead, comp, side, percent).names()
+        doc = doc[heads]
+        apart = doc != doc[name]
+        return {"a": doc[apart], "b": doc[name][apart]}
 
-    return _buckets(make)
+    return _together(make, EDGES)
 
 
-def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
-    """Join the classes of each pair; label is the smallest row of a row's class."""
-    while len(i):
-        x, y = label[i], label[j]
-        apart = np.flatnonzero(x != y)
-        if not len(apart):
-            return
-        i, j = i[apart], j[apart]
-        low, high = min(x[apart[0]], y[apart[0]]), max(x[apart[0]], y[apart[0]])
-        label[label == high] = low
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("blocks", pa.int64())])
 
 
-def _counts(got: list[pa.Table]) -> pa.RecordBatch:
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("digest", pa.binary()), ("n", pa.int64())])
-    return pa.record_batch({f.name: pa.array([v for t in got for v in t[f.name].to_pylist()], f.type) for f in schema})
+def _links(percent: int):
+    """Of each document with a link in this part of its group: the first one it hangs together with, digest and number of links."""
 
-
-def _groups(percent: int):
-    """Of each document with a link in this part of its group: one it hangs together with, digest and number of links."""
-
-    def make(t: pa.Table) -> pa.Table:
+    def make(t: pa.Table) -> dict[str, object]:
         digest = t["digest"].to_pylist()
-        once = sorted({d: k for k, d in enumerate(digest)}.values())  # repeated rows
-        t = t.take(once)
-        doc, n, bits, comp, flag = _read(t)
-        label, count = np.arange(len(doc)), np.zeros(len(doc), np.int64)
-        if t["x"][0].as_py() == t["y"][0].as_py() or len(np.unique(flag)) == 2:
+        once = np.array(sorted({d: k for k, d in enumerate(digest)}.values()))  # repeated rows
+        once = once[np.argsort(t["doc"].to_numpy()[once], kind="stable")]
+        t = t.take(pa.array(once))
+        doc, n, side = (t[c].to_numpy() for c in ("doc", "n", "side"))
+        classes, count = Classes(len(doc)), np.zeros(len(doc), np.int64)
+        if t["x"][0].as_py() == t["y"][0].as_py() or len(np.unique(side)) == 2:
             common = overlaps([np.frombuffer(x, np.uint64) for x in t["all"].to_pylist()])
-            for i, j, _ in bucket_pairs(n, bits, comp, flag, percent):
+            for i, j in _pairs(n, t["bits"].to_pylist(), side, percent):
                 apart = doc[i] != doc[j]
                 i, j = i[apart], j[apart]
                 same = common(i, j)
@@ -297,11 +163,24 @@ def _groups(percent: int):
                 i, j = i[ok], j[ok]
                 np.add.at(count, i, 1)
                 np.add.at(count, j, 1)
-                _merge(label, i, j)
+                classes.join(i, j)
         own = np.flatnonzero(count)
-        return pa.table({"a": doc[own], "b": doc[label[own]], "digest": t["digest"].take(pa.array(own)), "n": count[own]})
+        blocks = np.full(len(own), t["blocks"][0].as_py() if len(doc) else 1)
+        return {"a": doc[own], "b": doc[classes.names()[own]], "digest": [t["digest"][k].as_py() for k in own.tolist()], "n": count[own], "blocks": blocks}
+
+    return _together(make, LINKS)
+
 
-    return _buckets(make, _counts)
+def _pairs(n: np.ndarray, bits: list[bytes], side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group that may be linked; a group no larger than one node is compared as it is."""
+    if len(n) > FAN:
+        zero = np.zeros(len(n), np.int64)
+        yield from candidates(n, bits, np.ones((len(n), 1), np.uint64), zero, zero - 1, side, percent)
+    else:
+        i, j = np.triu_indices(len(n), 1)
+        if len(np.unique(side)) == 2:
+            i, j = i[side[i] != side[j]], j[side[i] != side[j]]
+        yield i, j
 
 
 def overlaps(sets: list[np.ndarray]):
@@ -345,84 +224,116 @@ def shared(u: np.ndarray, v: np.ndarray) -> int:
     return int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()) if len(u) else 0
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc, digest, all): the whole sets of the documents named in ids (id), built from their texts."""
-    return stored(docs.join(ids, F.col("doc") == F.col("id"), "left_semi").mapInArrow(_sets(size), "doc long, digest binary, all binary"), "sets")
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """rows (doc, blocks, ...) once for each pair of blocks that they are in: with x <= y, and side 1 for the second of two."""
+    zero = F.lit(0).cast("long")
+    each = rows.select("*", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("mine"), F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other"))
+    return each.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).withColumn("side", (F.col("mine") > F.col("other")).cast("int")).drop("mine", "other")
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """rows (token, c, doc, ...) once for each pair of blocks of its bucket that it is in: with x <= y, and flag 1 for the
-    second side of two.
-    """
-    blocks = F.ceil(F.col("c") / block).cast("long")
-    zero = F.lit(0).cast("long")
-    each = rows.select("*", F.pmod(F.xxhash64("doc"), blocks).alias("mine"), F.explode(F.sequence(zero, blocks - 1)).alias("other"))
-    return each.withColumn("x", F.least("mine", "other")).withColumn("y", F.greatest("mine", "other")).withColumn("flag", (F.col("mine") > F.col("other")).cast("int")).drop("mine", "other", "c")
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, block: int = 4096, sample: int = 10_000, frequent: int = 50_000) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, n_links.
+def _long(k: int) -> Column:
+    return F.lit(k).cast("long")
 
-    component_id is the smallest doc_id reachable by links, its own included; n_links counts all
-    links of the document's set: the other sets, of other documents, that reach the similarity. Documents
-    with equal sets are one class, which is one end of a link and has the same links. Null and
-    wordless texts have no shingle and no link. Rows that share a doc_id are one node; a null id has
-    no component. sample bounds the documents, and frequent the shingles, that only set the order of
-    the prefix: they change its length of work, never the result.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
+
+def _rows_and_classes(docs: DataFrame, size: int, percent: int, region: int, block: int, block_bytes: int, sample: int, frequent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, key, n, digest) of each row, and (digest, least, first_key, node, root, links) of each set that isn't empty."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is from 50 to 100")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("key"), "text")
     every = max(1, docs.count() // sample)
-    some = base.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).mapInArrow(_signatures(size, 0, np.empty(0, np.uint64)), "doc long, n long, digest binary, bits binary, prefix array<long>")
+    some = base.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).mapInArrow(_signatures(size, 0, np.empty(0, np.uint64)), SIGNED)
     counted = some.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c >= 10")
     order = np.sort(np.array([t for t, _ in most_counted(stored(counted, "order"), "token", "c", frequent)], dtype=np.int64).view(np.uint64))
 
-    own = stored(base.mapInArrow(_signatures(size, percent, order), "doc long, n long, digest binary, bits binary, prefix array<long>"), "signatures")
-    kinds = own.where("n > 0 and doc is not null").groupBy("digest").agg(F.min("doc").alias("rep"))
-    rep = own.where("n > 0").join(kinds, "digest").where("doc = rep").dropDuplicates(["digest"])
-    tokens_ = rep.select(F.explode("prefix").alias("token"), "doc")
-    twice = tokens_.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = stored(tokens_.join(twice, "token").distinct(), "shared")
-    lists = shared.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc")).alias("p"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("q")).where("c > 1")
-    kept = lists.groupBy("c", "p", "q").agg(F.min("token").alias("token")).select("token", "c")
-    members = stored(shared.join(kept, "token"), "members")
-    signed = rep.select("doc", "digest", "n", "bits")
-    rows_schema = "a long, b long"
-
-    blocks = F.ceil(F.col("c") / block).cast("long")
-    chosen = members.groupBy("doc").agg(F.max(F.struct("c", "token")).alias("m")).select("doc", "m.c", "m.token")
-    pilot = (blocks > 1) & (F.pmod(F.xxhash64("doc", F.lit(2)), F.col("c")) < 64)
-    spread = F.when(blocks <= 1, F.array(F.lit(0).cast("long"))).when(pilot, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc"), blocks)))
-    dealt = chosen.select("doc", "token", F.explode(spread).alias("x"), pilot.cast("int").alias("flag")).join(signed, "doc")
-    dealt = dealt.select("token", "x", F.lit(0).cast("long").alias("y"), "flag", "doc", "n", "bits", F.lit(-1).cast("long").alias("comp"))
-    early = stored(_by_bucket(dealt).mapInArrow(_early(percent), rows_schema).distinct(), "pairs")
-    joined = components(early)
-
-    comp = members.join(joined, F.col("doc") == F.col("node"), "left").select("token", "c", "doc", F.coalesce("root", "doc").alias("comp"))
-    comp = stored(comp, "comp")
-    open_ = comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rest = _in_blocks(comp.join(open_, "token"), block).join(signed.drop("digest"), "doc").select("token", "x", "y", "flag", "doc", "n", "bits", "comp")
-    contacts = stored(_by_bucket(rest).mapInArrow(_contacts(percent), rows_schema).distinct(), "contacts")
-    found = components(early.unionByName(contacts))
-    group = found.select(F.col("node").alias("doc"), F.col("root").alias("token")).unionByName(found.select(F.col("root").alias("doc"), F.col("root").alias("token")).distinct())
-    group = stored(group.join(group.groupBy("token").agg(F.count("*").alias("c")), "token").select("token", "c", "doc"), "groups")
-    sets = whole_sets(base, group.select(F.col("doc").alias("id")), size)
-    rest = _in_blocks(group, block // 2).join(signed, "doc").join(sets, ["doc", "digest"])
-    rest = rest.select("token", "x", "y", "flag", "doc", "digest", "n", "bits", F.lit(-1).cast("long").alias("comp"), "all")
-    links = stored(_by_bucket(rest).mapInArrow(_groups(percent), "a long, b long, digest binary, n long"), "links")
-    joined = components(links)
+    own = stored(base.mapInArrow(_signatures(size, percent, order), SIGNED), "signatures")
+    first = F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "key")).alias("f")
+    sets = own.where("n > 0").groupBy("digest").agg(first, F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    node = F.coalesce("f.doc", _long(NAMELESS) + F.pmod(F.xxhash64("digest"), _long(NAMELESS >> 1)))
+    sets = stored(sets.select("digest", F.col("f.doc").alias("least"), F.col("f.key").alias("first_key"), node.alias("doc"), F.xxhash64("digest").alias("tag"), "n", "bits", "prefix"), "sets")
+
+    tokens_ = sets.select(F.explode("prefix").alias("token"), "doc")
+    twice = stored(tokens_.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token"), "twice")
+    met = stored(tokens_.join(twice, "token"), "met")
+    hash_of = lambda k: F.bit_xor(F.xxhash64("doc", F.lit(k)))
+    lists = met.groupBy("token").agg(F.count("*").alias("c"), hash_of(0).alias("p"), hash_of(1).alias("q"))
+    kept = stored(lists.groupBy("c", "p", "q").agg(F.min("token").alias("token")).select("token", "c"), "tokens")  # tokens of the same documents are one
+    members, seen = stored_with(met.join(kept, "token").select("token", "c", "doc"), "members", rows=F.count("*"), hot=F.count_if(F.col("c") > block))
+    signed = sets.select("doc", "tag", "n", "bits")
+    contact = "a long, b long"
+
+    def contacts(rows: DataFrame) -> DataFrame:
+        full = rows.join(signed, "doc").select("region", "x", "y", "side", "token", "doc", "tag", "n", "bits", "comp")
+        return stored(_dealt(full).mapInArrow(_contacts(percent), contact).distinct(), "contacts")
+
+    regions = max(1, -(-seen["rows"] // region))
+    alone = members.where(F.col("c") <= block).select(F.pmod(F.xxhash64("token"), _long(regions)).alias("region"), _long(-1).alias("x"), _long(-1).alias("y"), F.lit(0).alias("side"), "token", "doc", _long(-1).alias("comp"))
+    if not seen["hot"]:
+        met_by = contacts(alone)
+    else:
+        hot = members.where(F.col("c") > block).withColumn("blocks", F.ceil(F.col("c") / block).cast("long"))
+        mine = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+        pilot = F.pmod(F.xxhash64("doc", F.lit(2)), F.col("c")) < PILOTS
+        spread = F.when(pilot, F.sequence(_long(0), F.col("blocks") - 1)).otherwise(F.array(mine))
+        dealt = hot.select(F.col("token").alias("region"), F.explode(spread).alias("x"), "token", "doc")
+        dealt = dealt.select("region", "x", F.col("x").alias("y"), F.lit(0).alias("side"), "token", "doc", _long(-1).alias("comp"))
+        met_by = contacts(alone.unionByName(dealt))
+        joined = star_components(met_by)
+        comp = stored(hot.join(joined, F.col("doc") == F.col("node"), "left").select("token", "blocks", "doc", F.coalesce("root", "doc").alias("comp")), "hot")
+        apart = stored(comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "apart")
+        met_by = met_by.unionByName(contacts(_in_blocks(comp.join(apart, "token")).select(F.col("token").alias("region"), "x", "y", "side", "token", "doc", "comp")))
+
+    found = star_components(met_by)
+    group = found.select(F.col("node").alias("doc"), F.col("root").alias("region")).unionByName(found.select(F.col("root").alias("doc"), F.col("root").alias("region")).distinct())
+    group = stored(group.join(sets.select("doc", "digest", "least", "first_key", "n", "bits"), "doc"), "groups")
+    blocks = F.greatest(F.ceil(F.count("*") / (block // 2)), F.ceil(F.sum("n") * 8 / block_bytes), F.lit(1)).cast("long")
+    sizes = stored(group.groupBy("region").agg(blocks.alias("blocks")), "sizes")
+    ids = group.select(F.col("least").alias("id"), F.col("first_key").alias("own"))
+    texts = base.join(ids, F.col("doc").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")), "left_semi").dropDuplicates(["doc", "key"])
+    whole = stored(texts.mapInArrow(_sets(size), "digest binary, all binary"), "whole")
+    parts = _in_blocks(group.drop("least", "first_key").join(sizes, "region")).join(whole, "digest").select("region", "x", "y", "side", "blocks", "doc", "digest", "n", "bits", "all")
+    links, seen = stored_with(_dealt(parts).mapInArrow(_links(percent), "a long, b long, digest binary, n long, blocks long"), "links", split=F.count_if(F.col("blocks") > 1))
+    joined = links.where("blocks = 1 and a <> b").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if seen["split"]:
+        joined = joined.unionByName(star_components(links.where("blocks > 1")))
     degree = links.groupBy("digest").agg(F.sum("n").alias("links"))
+    full = sets.select("digest", "least", "first_key", F.col("doc").alias("own")).join(joined.groupBy("node").agg(F.min("root").alias("root")), F.col("own") == F.col("node"), "left").join(degree, "digest", "left")
+    classes = stored(full.select("digest", "least", "first_key", F.col("own").alias("node"), F.coalesce("root", "own").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links")), "classes")
+    return own.select("doc", "key", "n", "digest"), classes
+
 
-    out = own.select("doc", "n", "digest").join(kinds, "digest", "left").join(joined, F.col("rep") == F.col("node"), "left").join(degree, "digest", "left")
-    root = F.when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("root", F.when(F.col("n") > 0, F.col("rep")), "doc"))
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, region: int = 4096, block: int = 4096, block_bytes: int = 32 << 20, sample: int = 10_000, frequent: int = 50_000) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, n_links.
 
+    component_id is the smallest doc_id reachable by links, its own included; n_links counts all
+    links of the document's set: the other sets, of other documents, that reach the similarity. Documents
+    with equal sets are one class, which is one end of a link and has the same links. Null and
+    wordless texts have no shingle and no link. Rows that share a doc_id are one node; a row without an
+    id takes part and has no component_id of its own. Extra columns are not read, an empty table gives
+    no rows. region, block and block_bytes bound the rows and bytes of a task. sample bounds the
+    documents, and frequent the shingles, that only set the order of the prefix: they change its length
+    of work, never the result.
+    """
+    rows, classes = _rows_and_classes(docs, size, percent, region, block, block_bytes, sample, frequent)
+    out = rows.join(classes.select("digest", "root", "links"), "digest", "left")
+    root = F.when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), root.cast("long").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
-def _by_bucket(rows: DataFrame) -> DataFrame:
-    return rows.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
 
+def near_duplicates_removed(docs: DataFrame, size: int = 5, percent: int = 80, region: int = 4096, block: int = 4096, block_bytes: int = 32 << 20, sample: int = 10_000, frequent: int = 50_000) -> DataFrame:
+    """docs with one document of each group: the one of the smallest id; rows without an id come after all others.
 
-def near_duplicates_removed(docs: DataFrame, **options: int) -> DataFrame:
-    """docs with one document of each component: the one of the smallest id. Null ids stay."""
-    found = jaccard_components(docs, **options).where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.struct("*").alias("row"))
-    return rows.join(found, F.col("own") == F.col("gone"), "left_anti").select("row.*")
+    Rows that repeat another row's id and text are one document too. Different texts that share the
+    smallest id all stay. Null and wordless texts are like nothing but their repeated rows. All columns
+    stay as they are.
+    """
+    rows, classes = _rows_and_classes(docs, size, percent, region, block, block_bytes, sample, frequent)
+    full = rows.join(classes.select("digest", "least", "first_key", "node", "root"), "digest")
+    stays = (F.col("root") == F.col("node")) & F.col("doc").eqNullSafe(F.col("least")) & (F.col("key") == F.col("first_key"))
+    gone = full.where(~stays).select(F.col("doc").alias("gone"), F.col("key").alias("gone_key")).distinct()
+    own = docs.select(F.col("doc_id").cast("long").alias("own"), F.xxhash64("text").alias("key"), F.struct("*").alias("row"))
+    left = own.join(gone, F.col("own").eqNullSafe(F.col("gone")) & (F.col("key") == F.col("gone_key")), "left_anti")
+    return left.dropDuplicates(["own", "key"]).select("row.*")

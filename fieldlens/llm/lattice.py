@@ -17,10 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from fieldlens.storage import stored
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_rest, most_counted, stored
+from .common import crc_rest, most_counted
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"
