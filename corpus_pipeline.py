@@ -1,6 +1,7 @@
 """The corpus pipeline: documents through five stages, each written as Parquet and read again.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; docs is what its predecessor kept.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; docs is what its predecessor kept. An
+empty table gives an empty table of the same columns, and extra columns come through as they are.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlens.llm import decontaminate, jaccard, language, mixing, substring_dedup
-from fieldlens.llm.common import small_batches, stored, table
+from fieldlens.llm.common import small_batches, table
 from fieldlens.shipping import ship
+from fieldlens.storage import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with enough probability; letterless and doubtful ones go."""
+    """Documents whose language is told with a calibrated probability of one half or more.
+
+    Doubtful, null and letterless texts go. Rows are judged one by one: repeated rows, and null ids, stay or
+    go by their text. Without a labelled document to learn from, all go.
+    """
     ship(spark)
     small_batches(spark)
     found = language.identify(docs, language.train(docs))
@@ -26,26 +32,38 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest id."""
+    """One document of each group of near duplicates: the one of the smallest id; null ids come after all others.
+
+    Of rows that repeat an id and a text one stays. Wordless texts are like nothing else.
+    """
     ship(spark)
     small_batches(spark)
     return jaccard.near_duplicates_removed(docs).select(*docs.columns)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 13 words and more that stand in an earlier document are cut out; a text that loses all its words goes."""
+    """Passages of 13 words and more that also stand in a document of smaller id are cut out; a text that loses all its
+    words goes.
+
+    A null id is larger than any other; rows that share an id don't count against each other. Null and
+    short texts stay as they are.
+    """
     ship(spark)
     small_batches(spark)
     return substring_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item. Null and wordless texts stay; repeated rows go or stay together."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it: taken of size, towards its source's target."""
+    """Every document with the words that the mix takes of it: taken of size, towards its source's target.
+
+    A null source is a source, a null text has size 0, repeated rows are documents of their own, and ties
+    are settled by hashes, so reruns agree.
+    """
     return mixing.pivotal_mix(docs)
 
 
