@@ -76,3 +76,20 @@ def valid_position(lat: Column, lng: Column) -> tuple[Column, Column]:
     a, o = F.abs(lat.try_cast("double")), -F.abs(lng.try_cast("double"))
     ok = (a <= 90) & (o >= -180) & ~F.isnan(a) & ~F.isnan(o)
     return F.when(ok, a), F.when(ok, o)
+
+
+def rotate(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
+    """A vector turned by an angle in degrees."""
+    c, s = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+    return x * c - y * s, x * s + y * c
+
+
+def held_in_place(x: Column, y: Column, angle: Column) -> tuple[Column, Column]:
+    """How far to shift a plane turned by minus the angle about its middle, so that the point x, y from there stays."""
+    rx, ry = rotate(x, y, -angle)
+    return x - rx, y - ry
+
+
+def dragged(angle: Column, pixels: Column, around: Column) -> Column:
+    """The view's angle after a drag over some pixels of a panorama that is around pixels wide."""
+    return wrap(angle - pixels / around * 360)

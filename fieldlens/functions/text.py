@@ -24,16 +24,27 @@ def accent_map() -> tuple[str, str]:
 
 
 @lru_cache(maxsize=1)
-def _latin_map() -> tuple[str, str]:
-    """The part of accent_map below U+0250 and the Latin additions: what cell texts are written with."""
-    pairs = [(c, b) for c, b in zip(*accent_map(), strict=True) if ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00]
-    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+def _longer_map() -> dict[str, str]:
+    """Characters that decompose to several, an ASCII letter or digit among them (ligatures, fractions, units); built by rule."""
+    out = {}
+    for code in range(0x80, 0x10000):
+        base = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if len(base) > 1 and any(x.isascii() and x.isalnum() for x in base):
+            out[chr(code)] = base
+    return out
 
 
 def normalize_text(v: Column) -> Column:
-    """Accents off, lower case, anything but a-z and 0-9 to one space, trimmed; null is empty."""
-    plain = F.translate(F.regexp_replace(F.coalesce(v, F.lit("")), r"\p{M}+", ""), *_latin_map())
-    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", " "))
+    """Compatibility forms and accents off, lower case, anything but a-z and 0-9 to one space, trimmed; null is empty.
+
+    Most texts have no character that stands for several; only those that do are taken apart.
+    """
+    plain = F.translate(F.regexp_replace(F.coalesce(v, F.lit("")), r"\p{M}+", ""), *accent_map())
+    longer = _longer_map()
+    known = F.str_to_map(F.lit("\x01".join(f"{k}\x02{x}" for k, x in longer.items())), F.lit("\x01"), F.lit("\x02"))
+    apart = F.array_join(F.transform(F.split(plain, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    whole = F.when(plain.rlike("[" + "".join(longer) + "]"), apart).otherwise(plain)
+    return F.trim(F.regexp_replace(F.lower(whole), "[^a-z0-9]+", " "))
 
 
 def first_number(v: Column) -> Column:
@@ -45,9 +56,19 @@ def normalize_identifier(v: Column) -> Column:
     return F.upper(F.regexp_replace(F.coalesce(v, F.lit("")), "[^0-9A-Za-z]+", ""))
 
 
+def neighbour_identifier(v: Column) -> Column:
+    """A cell's name as neighbour lists compare it: upper case, no white space, no doubled underscores."""
+    return F.regexp_replace(F.regexp_replace(F.upper(F.coalesce(v, F.lit(""))), r"\s+", ""), "_+", "_")
+
+
 def neighbour_key(v: Column) -> Column:
-    """Site key of a cell name: no technology prefix, upper case, no marks between parts."""
-    return F.regexp_replace(F.upper(F.regexp_replace(F.trim(F.coalesce(v, F.lit(""))), "(?i)^[234]G_", "")), r"[\s_#-]+", "")
+    """Site key of a name: its identifier without the technology in front and the number behind."""
+    return F.regexp_replace(F.regexp_replace(neighbour_identifier(v), "^[234]G_", ""), "_[0-9]+$", "")
+
+
+def cluster_base(site: Column) -> Column:
+    """The name that co-located sites share: without the number behind."""
+    return F.regexp_replace(site, "_[0-9]+$", "")
 
 
 def site_base(v: Column) -> Column:
@@ -98,3 +119,8 @@ def identifier_cost(text: Column, identifier: Column) -> Column:
     windows = F.when(F.length(stream) >= size, F.transform(F.sequence(F.lit(1), F.length(stream) - size + 1), lambda i: F.substr(stream, i, size))).otherwise(F.array().cast("array<string>"))
     best = F.array_min(F.transform(F.concat(groups, windows), lambda w: F.levenshtein(w, own)))
     return F.when(stream.contains(own) & (F.size(groups) > 0), 0).when(F.size(groups) == 0, size + 10).otherwise(best)
+
+
+def content_key(content: Column) -> Column:
+    """What equal images are known by."""
+    return F.sha1(content)

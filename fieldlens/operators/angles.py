@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geo
@@ -17,7 +17,10 @@ def sector_directions(points: DataFrame) -> DataFrame:
 
 
 def _wedge_table(directions: DataFrame) -> DataFrame:
-    """Each sector's own wedge [start, stop): boundaries half-way to its neighbours by angle, around the circle."""
+    """Each sector's own wedge [start, stop): boundaries half-way to its neighbours by angle, around the circle.
+
+    A wedge that stops where it starts is the whole circle, as that of a sector alone.
+    """
     by = Window.partitionBy("image").orderBy("direction", "sector")
     every = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = F.coalesce(F.lead("direction").over(by), F.first("direction").over(every))
@@ -30,28 +33,33 @@ def sector_wedges(directions: DataFrame) -> DataFrame:
     return _wedge_table(directions).select("image", "sector", "direction", "start", "stop")
 
 
-def zoned(points: DataFrame) -> DataFrame:
-    """points with the sector whose wedge holds the angle as zone (sector 0 where none does)."""
-    wedges = sector_wedges(sector_directions(points)).select("image", F.col("sector").alias("zone"), "start", "stop")
+def zoned(points: DataFrame, directions: DataFrame | None = None) -> DataFrame:
+    """points with the sector whose wedge holds the angle as zone (sector 0 where none does).
+
+    Sectors look where directions (image, sector, direction) say, else to the mean of their points; so
+    in all that follows.
+    """
+    wedges = sector_wedges(sector_directions(points) if directions is None else directions).select("image", F.col("sector").alias("zone"), "start", "stop")
     listed = wedges.groupBy("image").agg(F.sort_array(F.collect_list(F.struct("zone", "start", "stop"))).alias("wedges"))
     a = F.col("angle")
-    inside = F.filter("wedges", lambda w: F.when(w["start"] <= w["stop"], (a >= w["start"]) & (a < w["stop"])).otherwise((a >= w["start"]) | (a < w["stop"])))
+    inside = F.filter("wedges", lambda w: F.when(w["start"] < w["stop"], (a >= w["start"]) & (a < w["stop"])).otherwise((a >= w["start"]) | (a < w["stop"])))
     return points.join(listed, "image").withColumn("zone", F.coalesce(F.try_element_at(inside, F.lit(1))["zone"], F.lit(0))).drop("wedges")
 
 
-def zone_matrix(points: DataFrame) -> DataFrame:
+def zone_matrix(points: DataFrame, directions: DataFrame | None = None) -> DataFrame:
     """(image, source, zone, n): a sector's points by the wedge that they lie in."""
-    return zoned(points).groupBy("image", F.col("sector").alias("source"), "zone").agg(F.count("*").alias("n"))
+    return zoned(points, directions).groupBy("image", F.col("sector").alias("source"), "zone").agg(F.count("*").alias("n"))
 
 
-def intrusion_ratio(points: DataFrame) -> DataFrame:
+def intrusion_ratio(points: DataFrame, directions: DataFrame | None = None) -> DataFrame:
     """(image, sector, ratio): the share of a sector's points outside its own wedge."""
-    return zoned(points).groupBy("image", "sector").agg(F.avg((F.col("zone") != F.col("sector")).cast("double")).alias("ratio"))
+    return zoned(points, directions).groupBy("image", "sector").agg(F.avg((F.col("zone") != F.col("sector")).cast("double")).alias("ratio"))
 
 
-def misassigned_ratio(points: DataFrame, margin: float = MARGIN) -> DataFrame:
+def misassigned_ratio(points: DataFrame, directions: DataFrame | None = None, margin: float = MARGIN) -> DataFrame:
     """(image, ratio): the share of points nearer to another sector's direction, by more than margin degrees."""
-    listed = sector_directions(points).groupBy("image").agg(F.collect_list(F.struct("sector", "direction")).alias("all"))
+    looks = sector_directions(points) if directions is None else directions
+    listed = looks.groupBy("image").agg(F.collect_list(F.struct("sector", "direction")).alias("all"))
     rows = points.join(listed, "image")
     far = lambda keep: F.array_min(F.transform(F.filter("all", keep), lambda d: geo.separation(d["direction"], F.col("angle"))))
     rows = rows.withColumn("own", far(lambda d: d["sector"] == F.col("sector"))).withColumn("other", far(lambda d: d["sector"] != F.col("sector")))
@@ -73,15 +81,27 @@ def least_separation(directions: DataFrame) -> DataFrame:
     return listed.select("image", F.coalesce(F.array_min(pairs), F.lit(0.0)).alias("least"))
 
 
-def cross_verdict(points: DataFrame) -> DataFrame:
-    """(image, points, misassigned, mixed, intrusion, confidence, cross, verdict) of each image."""
+def cross_ratios(points: DataFrame, directions: DataFrame | None = None) -> DataFrame:
+    """(image, points, misassigned, mixed, intrusion, least) of each image."""
+    looks = sector_directions(points) if directions is None else directions
     totals = points.groupBy("image").agg(F.count("*").alias("points"))
-    parts = totals.join(misassigned_ratio(points).withColumnRenamed("ratio", "misassigned"), "image").join(mixed_bin_ratio(points).withColumnRenamed("ratio", "mixed"), "image")
-    parts = parts.join(intrusion_ratio(points).groupBy("image").agg(F.max("ratio").alias("intrusion")), "image").join(least_separation(sector_directions(points)), "image")
-    worst = F.greatest(F.col("misassigned") / MISASSIGNED, F.col("mixed") / MIXED, F.col("intrusion") / INTRUSION)
-    trust = 0.35 + 0.35 * F.least(F.col("points") / 1800, F.lit(1.0)) + 0.20 * F.least(F.col("least") / 110, F.lit(1.0)) + 0.10 * F.greatest(F.lit(0.0), 1 - 0.25 * worst)
+    parts = totals.join(misassigned_ratio(points, directions).withColumnRenamed("ratio", "misassigned"), "image").join(mixed_bin_ratio(points).withColumnRenamed("ratio", "mixed"), "image")
+    return parts.join(intrusion_ratio(points, directions).groupBy("image").agg(F.max("ratio").alias("intrusion")), "image").join(least_separation(looks), "image")
+
+
+def confidence(points: Column, least: Column, misassigned: Column, mixed: Column, intrusion: Column) -> Column:
+    """How far a verdict is to be trusted, from 0.05 to 0.99."""
+    worst = F.greatest(misassigned / MISASSIGNED, mixed / MIXED, intrusion / INTRUSION)
+    trust = 0.35 + 0.35 * F.least(points / 1800, F.lit(1.0)) + 0.20 * F.least(least / 110, F.lit(1.0)) + 0.10 * F.greatest(F.lit(0.0), 1 - 0.25 * worst)
+    return F.greatest(F.lit(0.05), F.least(F.lit(0.99), trust))
+
+
+def cross_verdict(points: DataFrame, directions: DataFrame | None = None) -> DataFrame:
+    """(image, points, misassigned, mixed, intrusion, confidence, cross, verdict) of each image."""
+    parts = cross_ratios(points, directions)
+    trust = confidence(F.col("points"), F.col("least"), F.col("misassigned"), F.col("mixed"), F.col("intrusion"))
     cross = (F.col("misassigned") >= MISASSIGNED) | (F.col("mixed") >= MIXED) | (F.col("intrusion") >= INTRUSION)
-    return parts.select("image", "points", "misassigned", "mixed", "intrusion", F.greatest(F.lit(0.05), F.least(F.lit(0.99), trust)).alias("confidence"), cross.alias("cross"), F.when(cross, "Cross detected").otherwise("No cross detected").alias("verdict"))
+    return parts.select("image", "points", "misassigned", "mixed", "intrusion", trust.alias("confidence"), cross.alias("cross"), F.when(cross, "Cross detected").otherwise("No cross detected").alias("verdict"))
 
 
 def _pairs(matrix: DataFrame, directions: DataFrame) -> DataFrame:

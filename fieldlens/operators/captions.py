@@ -58,7 +58,8 @@ def nearest_anchor(cells: DataFrame, anchors: DataFrame, on: list[str]) -> DataF
 
 
 def nearby_score(anchors: DataFrame, cells: DataFrame, on: list[str], reach: int = 10, most: int = 6) -> DataFrame:
-    """Per anchor: score, sum of 12 strength / (1 + distance) over captions within reach, and the first most of them as text.
+    """Per anchor: score, sum of 12 strength / (1 + distance) over captions within reach, and the first most of them as
+    texts "A1: value", sorted.
 
     Cells are dealt into squares of the grid as wide as the reach, so that anchors meet only the
     squares around them.
@@ -69,27 +70,27 @@ def nearby_score(anchors: DataFrame, cells: DataFrame, on: list[str], reach: int
     c = cells.where("strength > 0").select(*on, cell("row").alias("gr"), cell("col").alias("gc"), F.col("row").alias("r2"), F.col("col").alias("c2"), "strength", "value")
     d = F.abs(F.col("row") - F.col("r2")) + F.abs(F.col("col") - F.col("c2"))
     near = a.join(c, [*on, "gr", "gc"]).withColumn("distance", d).where(F.col("distance") <= reach)
-    agg = near.groupBy(*on, "anchor_no").agg(F.sum(12 * F.col("strength") / (1 + F.col("distance"))).alias("score"), F.slice(F.sort_array(F.collect_set("value")), 1, most).alias("texts"))
+    agg = near.groupBy(*on, "anchor_no").agg(F.sum(12 * F.col("strength") / (1 + F.col("distance"))).alias("score"), F.slice(F.sort_array(F.collect_list(F.concat(text.cell_ref(F.col("r2"), F.col("c2")), F.lit(": "), F.col("value")))), 1, most).alias("texts"))
     return anchors.select(*on, "anchor_no").join(agg, [*on, "anchor_no"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def offset_probe(labels: DataFrame, cells: DataFrame, on: list[str], offsets: list[tuple[int, int]] = OFFSETS) -> DataFrame:
-    """Each label cell with the first number found at the offsets, in their order (null if none has one)."""
+    """Each label cell with the first number found at the offsets, in their order, and where it stands (null if none has one)."""
     tries = F.explode(F.array(*[F.struct(F.lit(k).alias("prio"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for k, (r, c) in enumerate(offsets)]))
     wanted = labels.select(*on, "row", "col", tries.alias("o")).select(*on, "row", "col", (F.col("row") + F.col("o.dr")).alias("r2"), (F.col("col") + F.col("o.dc")).alias("c2"), "o.prio")
     values = cells.select(*on, F.col("row").alias("r2"), F.col("col").alias("c2"), text.first_number(F.col("value")).alias("number")).where("number is not null")
-    found = wanted.join(values, [*on, "r2", "c2"]).groupBy(*on, "row", "col").agg(F.min_by("number", "prio").alias("number"))
-    return labels.join(found, [*on, "row", "col"], "left")
+    found = wanted.join(values, [*on, "r2", "c2"]).groupBy(*on, "row", "col").agg(F.min(F.struct("prio", "number", F.col("r2").alias("found_row"), F.col("c2").alias("found_col"))).alias("f"))
+    return labels.join(found.select(*on, "row", "col", "f.number", "f.found_row", "f.found_col"), [*on, "row", "col"], "left")
 
 
 def throughput_verdict(metrics: DataFrame, band: str = "band", dl: str = "dl_mbps", ul: str = "ul_mbps") -> DataFrame:
-    """metrics with min_dl, min_ul, warnings and verdict: NOK if a rate is below its band's or the band is unknown."""
+    """metrics with min_dl, min_ul, warnings and verdict: SSV NOK if a rate is below its band's or the band is unknown."""
     pick = lambda k: F.coalesce(*[F.when(F.col(band) == b, t[k]) for b, t in THRESHOLDS.items()])
     rows = metrics.withColumn("min_dl", pick(0)).withColumn("min_ul", pick(1))
     low_dl, low_ul = F.col(dl) < F.col("min_dl"), F.col(ul) < F.col("min_ul")
-    warn = lambda side, c, m: F.format_string(f"Average {side} throughput %.2f Mbps is below %.2f Mbps", F.col(c), F.col(m))
-    listed = F.array_compact(F.array(F.when(low_dl, warn("DL", dl, "min_dl")), F.when(low_ul, warn("UL", ul, "min_ul")), F.when(F.col("min_dl").isNull(), "Unknown band")))
-    return rows.withColumn("warnings", listed).withColumn("verdict", F.when(F.size("warnings") > 0, "NOK").otherwise("OK"))
+    warn = lambda side, c, m: F.format_string(f"Avg {side} Throughput %.2f Mbps is below the %s minimum of %.0f Mbps.", F.col(c), F.col(band), F.col(m))
+    listed = F.array_compact(F.array(F.when(low_dl, warn("DL", dl, "min_dl")), F.when(low_ul, warn("UL", ul, "min_ul")), F.when(F.col("min_dl").isNull(), "Unknown LTE band for throughput thresholds.")))
+    return rows.withColumn("warnings", listed).withColumn("verdict", F.when(F.size("warnings") > 0, "SSV NOK").otherwise("SSV OK"))
 
 
 def best_per(rows: DataFrame, key: list[str], by: list[Column]) -> DataFrame:

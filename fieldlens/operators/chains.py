@@ -19,7 +19,7 @@ def _distances(pdf: pd.DataFrame) -> np.ndarray:
     return np.linalg.norm(p[:, None] - p[None], axis=2)
 
 
-def _per_group(rows: DataFrame, key: list[str], extra: str, f: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+def _per_group(rows: DataFrame, key: list[str], extra: str, f: Callable[[pd.DataFrame], pd.DataFrame], more: tuple[str, ...] = ()) -> DataFrame:
     kinds = ", ".join(f"{c.name} {c.dataType.simpleString()}" for c in rows.select(*key).schema)
     names = [c.split()[0] for c in extra.split(", ")]
 
@@ -29,7 +29,7 @@ def _per_group(rows: DataFrame, key: list[str], extra: str, f: Callable[[pd.Data
             out[k] = pdf[k].iloc[0]
         return out[[*key, *names]]
 
-    return rows.select(*key, "id", "x", "y").groupBy(*key).applyInPandas(run, f"{kinds}, {extra}")
+    return rows.select(*key, "id", "x", "y", *more).groupBy(*key).applyInPandas(run, f"{kinds}, {extra}")
 
 
 def mutual_graph(d: np.ndarray, reach: float, k: int = 3) -> list[set[int]]:
@@ -134,60 +134,109 @@ def dot_chains(dots: DataFrame, key: list[str], factor: float = 1.85, least: flo
     return _per_group(dots, key, "id long, chain int, pos int", build)
 
 
+def flagged_runs(dots: DataFrame, key: list[str], least: int = 6, factor: float = 1.85, nearest: float = 18.0, most: float = 120.0) -> DataFrame:
+    """(key, run, id, pos): runs of flagged dots (key, id, x, y, flag) along the chains of all dots.
+
+    Runs whose ends meet are joined end to end like chains; those of fewer than least dots go. Runs count
+    from the longest.
+    """
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf[["x", "y"]].to_numpy(dtype=float)
+        link = nearest
+        whole: list[list[int]] = [[0]]
+        if len(p) > 1:
+            d = _distances(pdf)
+            link = min(most, max(nearest, factor * float(np.median((d + np.eye(len(d)) * 1e18).min(1)))))
+            whole = merged(p, ordered(p, two_neighbours(p, mutual_graph(d, link))), link)
+        flag = pdf.flag.to_numpy()
+        runs: list[list[int]] = []
+        for chain in whole:
+            run: list[int] = []
+            for i in [*chain, -1]:
+                if i >= 0 and flag[i]:
+                    run.append(i)
+                elif run:
+                    runs.append(run)
+                    run = []
+        long = sorted((r for r in merged(p, runs, link) if len(r) >= least), key=lambda r: (-len(r), r[0]))
+        return pd.DataFrame([(k, pdf.id[i], n) for k, r in enumerate(long) for n, i in enumerate(r)], columns=["run", "id", "pos"]).astype({"run": "int32", "id": "int64", "pos": "int32"})
+
+    return _per_group(dots, key, "run int, id long, pos int", build, ("flag",))
+
+
 def loop_core(dots: DataFrame, key: list[str], reach: float, least: int = 6) -> DataFrame:
-    """(key, id): dots left when those with fewer than two neighbours within reach go, again and again; all if fewer than least are left."""
+    """(key, id): a route without its loose ends: dots with fewer than two neighbours within reach go, again and again, while
+    least are left. Clusters with fewer than two dots more than that stay whole.
+    """
 
     def prune(pdf: pd.DataFrame) -> pd.DataFrame:
-        near = (_distances(pdf) <= reach) & ~np.eye(len(pdf), dtype=bool)
         live = np.ones(len(pdf), dtype=bool)
-        while True:
-            gone = live & ((near & live).sum(1) < 2)
-            if not gone.any():
-                break
-            live &= ~gone
-        return pd.DataFrame({"id": pdf.id[live] if live.sum() >= least else pdf.id})
+        if len(pdf) >= least + 2:
+            near = (_distances(pdf) <= reach) & ~np.eye(len(pdf), dtype=bool)
+            while (spare := int(live.sum()) - least) > 0:
+                ends = np.flatnonzero(live & ((near & live).sum(1) < 2))[:spare]
+                if not len(ends):
+                    break
+                live[ends] = False
+        return pd.DataFrame({"id": pdf.id[live]})
 
     return _per_group(dots, key, "id long", prune)
 
 
-def dense_core(dots: DataFrame, key: list[str], k: int = 3, spread: float = 1.22) -> DataFrame:
+def dense_core(dots: DataFrame, key: list[str], k: int = 3, spread: float = 1.22, least: int = 6) -> DataFrame:
     """(key, id): a cluster without its loose dots: those whose mean distance to the k nearest is over spread times the
-    median, the loosest first, a sixth of all at most and three.
+    median, the loosest first, a sixth of all at most (but one) and three. Clusters with fewer than three dots
+    more than least stay whole.
     """
 
     def trim(pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(pdf)
-        if n < 6:
+        if n < least + 3:
             return pdf[["id"]]
         d = np.sort(_distances(pdf) + np.eye(n) * 1e18, axis=1)[:, :k].mean(1)
-        loose = [i for i in np.lexsort((np.arange(n), -d)) if d[i] > spread * np.median(d)][: min(3, n // 6)]
+        loose = [i for i in np.lexsort((-np.arange(n), -d)) if d[i] > spread * np.median(d)][: min(3, max(1, n // 6))]
         return pdf[["id"]].drop(index=loose)
 
     return _per_group(dots, key, "id long", trim)
 
 
+def annotation_circle(dots: DataFrame, key: list[str]) -> DataFrame:
+    """(key, cx, cy, radius): the circle about the mean of a cluster's dots (x, y, width, height) that holds them, with a margin."""
+    middle = dots.groupBy(*key).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    reach = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))) + F.greatest("width", "height") * 0.6
+    return dots.join(middle, key).groupBy(*key, "cx", "cy").agg(F.greatest(F.lit(18.0), F.max(reach) + 14).alias("radius"))
+
+
 def row_groups(dots: DataFrame, key: list[str], tolerance: float = 5.0) -> DataFrame:
-    """(key, id, row): rows of dots from top to bottom; a dot joins a row whose mean height is within tolerance."""
+    """(key, id, row): rows of dots from top to bottom; a dot joins the first row whose mean height is within tolerance."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.y.to_numpy(dtype=float)
         rows: list[list[int]] = []
-        for i in np.lexsort((pdf.x, pdf.y)):
-            if rows and abs(float(np.mean(pdf.y.to_numpy()[rows[-1]])) - pdf.y[i]) <= tolerance:
-                rows[-1].append(int(i))
+        for i in np.argsort(y, kind="stable").tolist():
+            home = next((r for r in rows if abs(y[i] - y[r].mean()) <= tolerance), None)
+            if home is None:
+                rows.append([i])
             else:
-                rows.append([int(i)])
+                home.append(i)
         return pd.DataFrame([(pdf.id[i], k) for k, r in enumerate(rows) for i in r], columns=["id", "row"])
 
     return _per_group(dots, key, "id long, row int", group)
 
 
 def text_like(dots: DataFrame, key: list[str]) -> DataFrame:
-    """(key, text_like): clusters that look like a label: two flat rows of dots, close above one another."""
+    """(key, text_like): clusters that look like a label: two flat rows of dots, close above one another.
+
+    The height of a cluster is that of its dots' pixels (min_y, max_y) where they are told, else of their centres.
+    """
     rows = dots.join(row_groups(dots, key), [*key, "id"])
-    per = rows.groupBy(*key, "row").agg(F.count("*").alias("n"), F.avg("y").alias("y"), (F.max("y") - F.min("y")).alias("spread"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    agg = per.groupBy(*key).agg(F.sum("n").alias("dots"), F.count("*").alias("rows"), F.min("n").alias("least"), F.max("spread").alias("spread"), (F.max("y") - F.min("y")).alias("gap"), (F.least(F.min("x1"), F.max("x1")) - F.max("x0")).alias("overlap"), F.min(F.col("x1") - F.col("x0")).alias("narrow"))
-    tall = dots.groupBy(*key).agg((F.max("y") - F.min("y")).alias("height"))
-    ok = (F.col("dots") >= 6) & (F.col("height") <= 32) & (F.col("rows") == 2) & (F.col("least") >= 2) & F.col("gap").between(8, 24) & (F.col("spread") <= 4) & (F.col("overlap") >= 0.45 * F.col("narrow"))
+    off = F.greatest(F.max("y") - F.avg("y"), F.avg("y") - F.min("y"))
+    per = rows.groupBy(*key, "row").agg(F.count("*").alias("n"), F.avg("y").alias("y"), off.alias("spread"), F.min("x").alias("x0"), F.max("x").alias("x1"))
+    agg = per.groupBy(*key).agg(F.sum("n").alias("dots"), F.count("*").alias("rows"), F.min("n").alias("least"), F.max("spread").alias("spread"), (F.max("y") - F.min("y")).alias("gap"), (F.min("x1") - F.max("x0")).alias("overlap"), F.min(F.col("x1") - F.col("x0")).alias("narrow"))
+    height = F.max("max_y") - F.min("min_y") + 1 if {"min_y", "max_y"} <= set(dots.columns) else F.max("y") - F.min("y")
+    tall = dots.groupBy(*key).agg(height.alias("height"))
+    ok = (F.col("dots") >= 6) & (F.col("height") <= 32) & (F.col("rows") == 2) & (F.col("least") >= 2) & F.col("gap").between(8, 24) & (F.col("spread") <= 4) & (F.col("narrow") > 0) & (F.col("overlap") >= 0.45 * F.col("narrow"))
     return agg.join(tall, key).select(*key, ok.alias("text_like"))
 
 

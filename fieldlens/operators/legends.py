@@ -30,14 +30,17 @@ def identifiers_of_rows(rows: DataFrame, identifiers: DataFrame, key: list[str])
 
 
 def rows_of_sectors(rows: DataFrame, sectors: DataFrame, key: list[str], most: float = 120.0) -> DataFrame:
-    """Each sector (key, sector, r, g, b, direction) with the legend row (key, row, r, g, b, azimuth) whose colour is nearest.
+    """Sectors (key, sector, r, g, b, direction) with the legend row (key, row, r, g, b, azimuth) that names them.
 
-    A row whose azimuth confirms the sector's direction counts as nearer; beyond most there is none.
+    A row names the sector of the nearest colour, the first of equals, if it is within most; one whose
+    azimuth confirms the sector's direction counts as nearer. Of several rows that name a sector the last
+    one counts.
     """
     s = sectors.select(*key, "sector", "direction", *[F.col(c).alias(f"s{c}") for c in "rgb"])
-    d = color.distance((F.col("r"), F.col("g"), F.col("b")), (F.col("sr"), F.col("sg"), F.col("sb"))) - geo.azimuth_bonus(F.col("direction"), F.col("azimuth"))
-    near = s.join(rows.select(*key, "row", "r", "g", "b", "azimuth"), key).withColumn("distance", d).where(F.col("distance") <= most)
-    return captions.best_per(near, [*key, "sector"], [F.col("distance"), F.col("row")]).select(*key, "sector", "row", "distance")
+    bonus = F.coalesce(geo.azimuth_bonus(F.col("direction"), F.col("azimuth")), F.lit(0.0))
+    d = color.distance((F.col("r"), F.col("g"), F.col("b")), (F.col("sr"), F.col("sg"), F.col("sb"))) - bonus
+    near = captions.best_per(rows.select(*key, "row", "r", "g", "b", "azimuth").join(s, key).withColumn("distance", d), [*key, "row"], [F.col("distance"), F.col("sector")])
+    return captions.best_per(near.where(F.col("distance") <= most), [*key, "sector"], [F.desc("row")]).select(*key, "sector", "row", "distance")
 
 
 def distinct_swatches(swatches: DataFrame, key: list[str], order: list[str], reach: float = 35.0) -> DataFrame:
@@ -64,24 +67,40 @@ def missing_swatch(swatches: DataFrame, strong: DataFrame, candidates: DataFrame
     return captions.best_per(pairs, [*key, "cand"], [F.col("distance"), F.col("swatch")]).select(*key, "cand", "swatch", "distance")
 
 
-def identifier_lookup(cells: DataFrame, header: str = "cell id", name: str = "cell name") -> DataFrame:
-    """(workbook, identifier, name, azimuth) of the tables under a header row that has both headers.
+def identifier_lookup(cells: DataFrame, headers: tuple[str, ...] = ("cell id",), name: str = "cell name", own: DataFrame | None = None) -> DataFrame:
+    """(workbook, own_sheet if own is given, identifier, name, azimuth) of the tables under a header "cell name" that has one of headers within three columns.
 
-    A table ends where two rows in a row have no identifier. Of an identifier in several sheets the last
-    one counts, by sheet and row.
+    A table ends where two rows in a row have neither a name nor an identifier; an identifier has a digit.
+    Sheets are read in order: the own one (workbook, own_sheet) first, then those with "donnees" in their
+    name, then by name; of an identifier that comes again the last one counts.
     """
     norm = text.normalize_text(F.col("value"))
-    heads = cells.withColumn("head", norm).where(F.col("head").isin(header, name, "azimut", "azimuth"))
-    heads = heads.withColumn("head", F.when(F.col("head").isin("azimut", "azimuth"), "azimuth").otherwise(F.col("head")))
-    both = heads.groupBy("workbook", "sheet_no", F.col("row").alias("top")).agg(*[F.min(F.when(F.col("head") == h, F.col("col"))).alias(a) for h, a in ((header, "id_col"), (name, "name_col"), ("azimuth", "azimuth_col"))])
-    both = both.where("id_col is not null and name_col is not null")
-    under = cells.join(both, ["workbook", "sheet_no"]).where("row > top")
-    pick = lambda c: F.max(F.when(F.col("col") == F.col(c), F.col("value")))
-    rows = under.groupBy("workbook", "sheet_no", "top", "row").agg(pick("id_col").alias("identifier"), pick("name_col").alias("name"), pick("azimuth_col").alias("azimuth"))
-    filled = rows.where("identifier is not null")
-    step = F.col("row") - F.coalesce(F.lag("row").over(Window.partitionBy("workbook", "sheet_no", "top").orderBy("row")), F.col("top"))
-    broken = F.max((F.col("step") > 2).cast("int")).over(Window.partitionBy("workbook", "sheet_no", "top").orderBy("row"))
-    whole = filled.withColumn("step", step).withColumn("broken", broken).where("broken = 0")
-    own = whole.withColumn("identifier", text.normalize_identifier(F.col("identifier")))
-    last = F.max_by(F.struct("name", text.parse_azimuth(F.col("azimuth")).alias("azimuth")), F.struct("sheet_no", "row"))
-    return own.groupBy("workbook", "identifier").agg(last.alias("v")).select("workbook", "identifier", "v.name", "v.azimuth")
+    read = cells.withColumn("head", norm)
+    tops = read.where(F.col("head") == text.normalize_text(F.lit(name))).select("workbook", "sheet_no", F.col("row").alias("top"), F.col("col").alias("name_col"))
+    right = read.where(F.col("head").isin(*headers, "azimuth")).select("workbook", "sheet_no", F.col("row").alias("top"), F.col("col").alias("c"), "head")
+    at = lambda where: F.max(F.when(where, F.col("c")))
+    table = ["workbook", "sheet_no", "top", "name_col"]
+    heads = tops.join(right, ["workbook", "sheet_no", "top"]).where(F.col("c").between(F.col("name_col") + 1, F.col("name_col") + 3)).groupBy(*table).agg(at(F.col("head") != "azimuth").alias("id_col"), at(F.col("head") == "azimuth").alias("azimuth_col")).where("id_col is not null")
+    under = cells.join(heads, ["workbook", "sheet_no"]).where("row > top and (col = name_col or col = id_col or col = azimuth_col)")
+    pick = lambda c: F.max(F.when(F.col("col") == F.col(c), F.trim("value")))
+    rows = under.groupBy(*table, "row", "sheet").agg(pick("name_col").alias("name"), text.normalize_identifier(pick("id_col")).alias("identifier"), pick("azimuth_col").alias("azimuth"))
+    filled = rows.where("coalesce(name, '') <> '' or identifier <> ''")
+    down = Window.partitionBy(*table).orderBy("row")
+    step = F.col("row") - F.coalesce(F.lag("row").over(down), F.col("top"))
+    whole = filled.withColumn("step", step).withColumn("broken", F.max((F.col("step") > 2).cast("int")).over(down)).where("broken = 0")
+    known = whole.where("coalesce(name, '') <> ''").where(F.col("identifier").rlike("[0-9]"))
+    known = known.join(own.select("workbook", "own_sheet").distinct(), "workbook") if own is not None else known.withColumn("own_sheet", F.lit(None).cast("string"))
+    key = ["workbook"] if own is None else ["workbook", "own_sheet"]
+    order = F.struct((~F.col("sheet").eqNullSafe(F.col("own_sheet"))).alias("other"), (~text.normalize_text(F.col("sheet")).contains("donnees")).alias("rest"), "sheet", "top", "name_col", "row")
+    last = F.max_by(F.struct("name", text.parse_azimuth(F.col("azimuth")).alias("azimuth")), order)
+    return known.groupBy(*key, "identifier").agg(last.alias("v")).select(*key, "identifier", "v.name", "v.azimuth")
+
+
+def warnings_with_names(details: DataFrame, names: DataFrame) -> DataFrame:
+    """details (image, ord, source, target, message) as (image, warnings): each message, and after it the same with the cells'
+    names (image, sector, name) where both are known.
+    """
+    rows = details.join(names.select("image", F.col("sector").alias("source"), F.col("name").alias("from_name")), ["image", "source"], "left").join(names.select("image", F.col("sector").alias("target"), F.col("name").alias("to_name")), ["image", "target"], "left")
+    named = F.when(F.col("from_name").isNotNull() & F.col("to_name").isNotNull(), F.format_string("Possible late HO from %s sector to %s sector", "from_name", "to_name"))
+    both = F.struct("ord", F.array_compact(F.array("message", named)).alias("texts"))
+    return rows.groupBy("image").agg(F.flatten(F.transform(F.sort_array(F.collect_list(both)), lambda s: s["texts"])).alias("warnings"))

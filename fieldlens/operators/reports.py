@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldlens.functions import color, text
+from fieldlens.functions import color, display, text
 
 #: Sheet names that the score looks for.
 HINTS = ["3 l800 dt en mobilite", "l800 dt en mobilite", "3 l800 dt en mobility", "l800 mobility"]
@@ -65,13 +65,29 @@ def track(edges: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return edges.withColumn("stop", upto).withColumn("start", F.col("stop") - F.col("length"))
 
 
+def track_offsets(pictures: DataFrame, views: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """views (key, angle) with offset and around: where a panorama of pictures (key, length) stands at an angle.
+
+    Pictures share the circle equally; between the middles of two pictures the offset goes straight, and
+    the first one follows the last.
+    """
+    middles = track(pictures, key, order).withColumn("middle", (F.col("start") + F.col("stop")) / 2)
+    listed = middles.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, "middle"))), lambda s: s["middle"]).alias("_m"), F.max("stop").alias("around"))
+    rows = views.join(listed, key)
+    n = F.size("_m")
+    at = F.pmod(F.col("angle"), F.lit(360.0)) / 360 * n
+    k = F.least(F.floor(at).cast("int"), n - 1)
+    here, there = F.get("_m", k), F.when(k + 1 < n, F.get("_m", k + 1)).otherwise(F.col("around") + F.get("_m", F.lit(0)))
+    return rows.withColumn("offset", here + (at - k) * (there - here)).drop("_m")
+
+
 def last_wins(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """One value per key: that of the last row in the order."""
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
 def is_failure() -> Column:
-    return F.col("verdict").isin("NOK", "Cross detected")
+    return F.col("verdict").isin("SSV NOK", "Cross detected")
 
 
 def visible(analyses: DataFrame) -> DataFrame:
@@ -80,21 +96,38 @@ def visible(analyses: DataFrame) -> DataFrame:
     return analyses.withColumn("_any", bad).where((F.col("_any") == 0) | is_failure()).drop("_any")
 
 
+def rollup_text(failed_checks: Column, crosses: Column, checks: Column) -> Column:
+    """A workbook's verdict by counts: a failed check before a cross, a cross before checks that all passed."""
+    return F.when(failed_checks > 0, "SSV NOK").when(crosses > 0, "Cross detected").when(checks > 0, "SSV OK").otherwise("No cross detected")
+
+
+def rollup_counts() -> list[Column]:
+    check = F.col("kind").isin(*display.CHECKS)
+    return [F.count("*").alias("analyses"), F.count_if(is_failure()).alias("failures"), F.count_if(F.col("verdict") == "Cross detected").alias("crosses"), F.count_if(check).alias("checks"), F.count_if(check & is_failure()).alias("failed_checks")]
+
+
 def workbook_rollup(analyses: DataFrame) -> DataFrame:
-    """A workbook's counts, warnings in order and verdict: a cross before a degradation before OK."""
-    crossed = F.col("verdict") == "Cross detected"
-    agg = analyses.groupBy("workbook").agg(
-        F.count("*").alias("analyses"), F.count_if(is_failure()).alias("failures"), F.count_if(crossed).alias("crosses"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "warnings"))), lambda s: s["warnings"])).alias("warnings"),
-    )
-    return agg.withColumn("verdict", F.when(F.col("crosses") > 0, "Cross detected").when(F.col("failures") > 0, "NOK").otherwise("OK"))
+    """A workbook's counts, warnings in order and verdict."""
+    listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "warnings"))), lambda s: s["warnings"])).alias("warnings")
+    agg = analyses.groupBy("workbook").agg(*rollup_counts(), listed)
+    return agg.withColumn("verdict", rollup_text(F.col("failed_checks"), F.col("crosses"), F.col("checks"))).drop("failed_checks")
 
 
 def failure_summary(analyses: DataFrame, most: int = 4) -> DataFrame:
-    """(workbook, summary): the first most labels of failures and how many more there are."""
-    bad = analyses.where(is_failure()).groupBy("workbook").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "label"))), lambda s: s["label"]).alias("all"))
-    more = F.when(F.size("all") > most, F.concat(F.lit(" +"), (F.size("all") - most).cast("string"), F.lit(" more"))).otherwise("")
-    return bad.select("workbook", F.concat(F.array_join(F.slice("all", 1, most), ", "), more).alias("summary"))
+    """(workbook, summary): which metrics of which sheets failed: the first most of them, and how many more there are."""
+    name = F.concat(F.coalesce(display.failure_metric(F.col("metric")), F.col("label")), F.lit(" of "), display.technology(F.col("sheet")), F.lit(" is DEGRADED"))
+    bad = analyses.where(is_failure()).groupBy("workbook").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", name.alias("text")))), lambda s: s["text"]).alias("all"))
+    extra = F.size("all") - most
+    more = F.when(extra > 0, F.concat(F.lit(" | +"), extra.cast("string"), F.when(extra > 1, " more issues").otherwise(" more issue"))).otherwise("")
+    return bad.select("workbook", F.concat(F.lit("SSV NOK : "), F.array_join(F.slice("all", 1, most), " | "), more).alias("summary"))
+
+
+def ordered_analyses(analyses: DataFrame) -> DataFrame:
+    """The maps of a workbook with position: sheets by their first analysis, then by category, then as they come."""
+    maps = analyses.where(F.col("kind") != "throughput_average")
+    first = F.min("ord").over(Window.partitionBy("workbook", F.coalesce("sheet", F.lit(""))))
+    rows = maps.withColumn("_first", first).withColumn("_category", display.category(F.col("kind"), F.col("label"), F.col("metric_group")))
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("workbook").orderBy("_first", "_category", "ord"))).drop("_first", "_category")
 
 
 def svg_markers(marks: DataFrame, key: str, width: int, height: int) -> DataFrame:
@@ -114,8 +147,9 @@ def kml_document(places: DataFrame, key: str) -> DataFrame:
 
 
 def kmz_files(documents: DataFrame, key: str) -> DataFrame:
-    """(key, kmz): each KML document zipped as doc.kml."""
+    """(key, kmz): each KML document zipped as doc.kml, beside its images (an array of name and content) if there are any."""
     kind = documents.schema[key].dataType.simpleString()
+    pictures = F.col("images") if "images" in documents.columns else F.array().cast("array<struct<name:string,content:binary>>")
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
@@ -123,14 +157,16 @@ def kmz_files(documents: DataFrame, key: str) -> DataFrame:
 
         for pdf in parts:
             out = []
-            for kml in pdf.kml:
+            for kml, images in zip(pdf.kml, pdf.images, strict=True):
                 data = io.BytesIO()
                 with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
                     z.writestr(zipfile.ZipInfo("doc.kml"), kml.encode())
+                    for p in images if images is not None else ():
+                        z.writestr(zipfile.ZipInfo(f"images/{p['name']}"), bytes(p["content"]))
                 out.append(data.getvalue())
             yield pd.DataFrame({key: pdf[key], "kmz": out})
 
-    return documents.select(key, "kml").mapInPandas(pack, f"{key} {kind}, kmz binary")
+    return documents.select(key, "kml", pictures.alias("images")).mapInPandas(pack, f"{key} {kind}, kmz binary")
 
 
 def data_uri(content: Column, mime: Column) -> Column:

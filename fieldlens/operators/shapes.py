@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlens.functions import color, geo
+from fieldlens.storage import stored, stored_with
 
 from .graphs import star_components
 
@@ -45,12 +48,35 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def nearest_distances(points: DataFrame, key: list[str], k: int = 1) -> DataFrame:
-    """(key, a, b, distance, rank): each point's k nearest others. For groups that fit a task (an image's dots)."""
-    d = F.sqrt((F.col("x") - F.col("x2")) * (F.col("x") - F.col("x2")) + (F.col("y") - F.col("y2")) * (F.col("y") - F.col("y2")))
-    left = points.select(*key, F.col("id").alias("a"), "x", "y")
-    right = points.select(*key, F.col("id").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    pairs = left.join(right, key).where("a <> b").withColumn("distance", d)
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(*key, "a").orderBy("distance", "b"))).where(F.col("rank") <= k).select(*key, "a", "b", "distance", "rank")
+    """(key, a, b, distance, rank): each point's k nearest others; the lower id of equals.
+
+    Points meet in squares of the grid, each with the eight around it. A square holds some 2 k points on
+    average at first; a point whose k nearest aren't all within its square's width goes on to squares four
+    times as wide, until a square is as wide as the group. Rounds grow with how uneven a group is, not
+    with its points.
+    """
+    box = points.groupBy(*key).agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("wide"))
+    box = box.where("n > 1").withColumn("side", F.greatest(F.col("wide") / F.greatest(F.floor(F.sqrt(F.col("n") / (2 * k))), F.lit(1)), F.lit(1e-9)))
+    all_ = stored(points.select(*key, "id", "x", "y").join(box, key), "points")
+    left, found, times = all_, None, 1
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    while True:
+        side = F.col("side") * times
+        square = lambda c, o: F.floor((F.col(c) - F.col(o)) / side)
+        a = left.select(*key, F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), "n", "wide", side.alias("reach"), square("x", "x0").alias("gx"), square("y", "y0").alias("gy"))
+        b = all_.select(*key, F.col("id").alias("b"), "x", "y", square("x", "x0").alias("cx"), square("y", "y0").alias("cy"), around.alias("o"))
+        b = b.select(*key, "b", "x", "y", (F.col("cx") + F.col("o.i")).alias("gx"), (F.col("cy") + F.col("o.j")).alias("gy"))
+        d = F.sqrt((F.col("ax") - F.col("x")) * (F.col("ax") - F.col("x")) + (F.col("ay") - F.col("y")) * (F.col("ay") - F.col("y")))
+        mine = Window.partitionBy(*key, "a")
+        near = a.join(b, [*key, "gx", "gy"]).where("a <> b").withColumn("distance", d).withColumn("rank", F.row_number().over(mine.orderBy("distance", "b"))).where(F.col("rank") <= k)
+        enough = (F.count("*").over(mine) == F.least(F.lit(k), F.col("n") - 1)) & (F.max("distance").over(mine) <= F.col("reach"))
+        sure = stored(near.withColumn("sure", enough | (F.col("reach") >= F.col("wide"))).where("sure").select(*key, "a", "b", "distance", "rank"), "nearest")
+        found = sure if found is None else found.unionByName(sure)
+        settled = sure.select(*key, F.col("a").alias("id")).distinct()
+        left, open_ = stored_with(left.join(settled, [*key, "id"], "left_anti"), "open", n=F.count("*"))
+        if not open_["n"]:
+            return found
+        times *= 4
 
 
 def mutual_neighbours(points: DataFrame, key: list[str], k: int = 3) -> DataFrame:
@@ -66,11 +92,64 @@ def link_distance(points: DataFrame, key: list[str], factor: float = 1.6, least:
     return m.withColumn("link", F.least(F.lit(most), F.greatest(F.lit(least), factor * F.col("median_nearest"))))
 
 
+def hull(p: np.ndarray) -> np.ndarray:
+    """The corners of the points' convex hull: of each stretch of its border the two ends."""
+    p = np.unique(p, axis=0)
+    if len(p) < 3:
+        return p
+    out: list[np.ndarray] = []
+    for side in (p, p[::-1]):
+        part: list[np.ndarray] = []
+        for q in side:
+            while len(part) > 1 and (part[-1][0] - part[-2][0]) * (q[1] - part[-2][1]) - (part[-1][1] - part[-2][1]) * (q[0] - part[-2][0]) <= 0:
+                part.pop()
+            part.append(q)
+        out += part[:-1]
+    return np.array(out)
+
+
 def extent(points: DataFrame, key: list[str]) -> DataFrame:
-    """(key, n, extent): the largest distance between two points of a group that fits a task."""
-    listed = points.groupBy(*key).agg(F.collect_list(F.struct("x", "y")).alias("p"))
-    far = F.aggregate("p", F.lit(0.0), lambda a, s: F.greatest(a, F.array_max(F.transform("p", lambda t: F.sqrt((s["x"] - t["x"]) * (s["x"] - t["x"]) + (s["y"] - t["y"]) * (s["y"] - t["y"]))))))
-    return listed.select(*key, F.size("p").cast("long").alias("n"), far.alias("extent"))
+    """(key, n, extent): the largest distance between two points of a group.
+
+    Those two are corners of the convex hull: each task leaves the corners of the points at hand, and
+    a group's few corners come together.
+    """
+    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*key).schema)
+
+    def corners(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for own, part in pdf.groupby(key, dropna=False):
+                c = hull(part[["x", "y"]].to_numpy(dtype=float))
+                yield pd.DataFrame(c, columns=["x", "y"]).assign(**dict(zip(key, own, strict=True)))[[*key, "x", "y"]].astype({k: part[k].dtype for k in key})
+
+    def widest(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = hull(pdf[["x", "y"]].to_numpy(dtype=float))
+        far = max(float(np.sqrt(((c - q) ** 2).sum(axis=1)).max()) for q in c)
+        return pdf[key].head(1).assign(extent=far)
+
+    few = points.select(*key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(corners, f"{spec}, x double, y double")
+    far = few.groupBy(*key).applyInPandas(widest, f"{spec}, extent double")
+    return points.groupBy(*key).agg(F.count("*").alias("n")).join(far, key)
+
+
+def gap_pairs(boxes: DataFrame, key: list[str], reach: float) -> DataFrame:
+    """(key, a, b, gap) of boxes (id, min_x, max_x, min_y, max_y) at most reach apart, a < b.
+
+    A box stands in every square of the grid that it touches when it is made reach wider, so that near
+    boxes share a square; each pair is kept once.
+    """
+    touched = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - reach) / (4 * reach)), F.floor((F.col(hi) + reach) / (4 * reach))))
+    dealt = boxes.select(*key, "id", "min_x", "max_x", "min_y", "max_y", touched("min_x", "max_x").alias("gx")).withColumn("gy", touched("min_y", "max_y"))
+    left = dealt.withColumnRenamed("id", "a")
+    right = dealt.select(*key, "gx", "gy", F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("min_x", "max_x", "min_y", "max_y")])
+    between = lambda lo, hi: F.greatest(F.lit(0.0), F.col(f"{lo}2") - F.col(hi), F.col(lo) - F.col(f"{hi}2"))
+    gap = F.sqrt(F.pow(between("min_x", "max_x"), F.lit(2)) + F.pow(between("min_y", "max_y"), F.lit(2)))
+    return left.join(right, [*key, "gx", "gy"]).where("a < b").withColumn("gap", gap).where(F.col("gap") <= reach).select(*key, "a", "b", "gap").distinct()
+
+
+def shifted(points: DataFrame, dx: Column | float, dy: Column | float) -> DataFrame:
+    """points (x, y) of a cut-out at their places in the whole image."""
+    return points.withColumn("x", F.col("x") + dx).withColumn("y", F.col("y") + dy)
 
 
 def cluster_quality(points: DataFrame, key: list[str]) -> DataFrame:
@@ -145,7 +224,8 @@ def hue_peaks(histogram: DataFrame, key: list[str], most: int = 3, least: int =
 
 def merge_co_located(sites: DataFrame, base: str = "base", reach: float = 50.0) -> DataFrame:
     """sites (base, ord, lat, lng) with leader: the earliest site of the same base name that is under reach meters
-    away and leads itself. A site joins the first leader near it; leaders don't chain. Base names have few sites.
+    away and leads itself; cluster counts a base name's leaders from 0. A site joins the first leader near it;
+    leaders don't chain. Base names have few sites.
     """
 
     def absorb(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -164,33 +244,68 @@ def merge_co_located(sites: DataFrame, base: str = "base", reach: float = 50.0)
                     a = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((u - o) / 2) ** 2
                     if 2 * geo.EARTH_M * math.atan2(math.sqrt(a), math.sqrt(1 - a)) < reach:
                         leads[j] = i
-        return pdf.assign(leader=[int(pdf.ord[k]) for k in leads])
-
-    return sites.select(base, "ord", "lat", "lng").groupBy(base).applyInPandas(absorb, f"{base} string, ord long, lat double, lng double, leader long")
-
-
-def assign_rows(costs: DataFrame, key: list[str], most: int = 9) -> DataFrame:
-    """(key, row, name, cost): the assignment of rows to names with the least total cost, the first of equals.
-
-    costs has (key, row, name, cost) for every pair of a key; a key has at most most rows and names.
+        number = {k: n for n, k in enumerate(sorted(set(leads)))}
+        return pdf.assign(leader=[int(pdf.ord[k]) for k in leads], cluster=[number[k] for k in leads])
+
+    return sites.select(base, "ord", "lat", "lng").groupBy(base).applyInPandas(absorb, f"{base} string, ord long, lat double, lng double, leader long, cluster int")
+
+
+def cheapest(costs: list[list[Fraction]]) -> list[int]:
+    """The column of each row that makes the least total, by shortest augmenting paths; there are as many columns as rows at least."""
+    n, m = len(costs), len(costs[0])
+    u, v, match = [Fraction(0)] * (n + 1), [Fraction(0)] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], j = i, 0
+        best: list[Fraction | None] = [None] * (m + 1)
+        way, used = [0] * (m + 1), [False] * (m + 1)
+        while match[j]:
+            used[j] = True
+            row, step, to = match[j], None, 0
+            for k in range(1, m + 1):
+                if not used[k]:
+                    reduced = costs[row - 1][k - 1] - u[row] - v[k]
+                    if best[k] is None or reduced < best[k]:
+                        best[k], way[k] = reduced, j
+                    if step is None or best[k] < step:
+                        step, to = best[k], k
+            for k in range(m + 1):
+                if used[k]:
+                    u[match[k]] += step
+                    v[k] -= step
+                elif best[k] is not None:
+                    best[k] -= step
+            j = to
+        while j:
+            match[j], j = match[way[j]], way[j]
+    out = [0] * n
+    for k in range(1, m + 1):
+        if match[k]:
+            out[match[k] - 1] = k - 1
+    return out
+
+
+def assign_rows(costs: DataFrame, key: list[str]) -> DataFrame:
+    """(key, row, name, cost): the assignment of rows to names with the least total cost, the first of equals by names.
+
+    costs has (key, row, name, cost) for pairs of a key; a missing pair costs as much as all others
+    together. With fewer names than rows the first rows get one.
     """
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in costs.select(*key).schema)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, names = sorted(pdf.row.unique()), sorted(pdf.name.unique())
-        if max(len(rows), len(names)) > most:
-            raise ValueError(f"{len(rows)} rows and {len(names)} names; at most {most} can be assigned")
-        price = {(r, n): c for r, n, c in zip(pdf.row, pdf.name, pdf.cost, strict=True)}
-        best = None
-        take = min(len(rows), len(names))
-        for chosen in itertools.permutations(names, take):
-            total = sum(price.get((r, n), 1e9) for r, n in zip(rows[:take], chosen, strict=True))
-            if best is None or total < best[0]:
-                best = (total, chosen)
-        out = pd.DataFrame({"row": rows[:take], "name": list(best[1])})
+        rows = rows[: min(len(rows), len(names))]
+        price = {(r, n): Fraction(float(c)) for r, n, c in zip(pdf.row, pdf.name, pdf.cost, strict=True)}
+        missing = sum(map(abs, price.values())) + 1
+        # among equal totals the first names in the order of the rows win: a row's place weighs less than any difference of totals
+        scale = max((p.denominator for p in price.values()), default=1)
+        base = len(names) + 1
+        exact = [[price.get((r, n), missing) * scale * base ** len(rows) + j * base ** (len(rows) - 1 - i) for j, n in enumerate(names)] for i, r in enumerate(rows)]
+        chosen = [names[j] for j in cheapest(exact)]
+        out = pd.DataFrame({"row": rows, "name": chosen})
         for k in key:
             out[k] = pdf[k].iloc[0]
-        out["cost"] = [float(price.get((r, n), 1e9)) for r, n in zip(out.row, out.name, strict=True)]
+        out["cost"] = [float(price.get((r, n), missing)) for r, n in zip(rows, chosen, strict=True)]
         return out[[*key, "row", "name", "cost"]]
 
     return costs.groupBy(*key).applyInPandas(solve, f"{types}, row long, name string, cost double")
@@ -203,8 +318,6 @@ def image_components(pixels: DataFrame, key: str = "image_id") -> DataFrame:
     """
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         x, y = pdf.x.to_numpy(), pdf.y.to_numpy()
         if not len(x):
             return pdf.assign(comp=[])[[key, "comp", "x", "y"]]
@@ -255,32 +368,50 @@ def is_measurement_dot() -> Column:
     return F.col("area").between(20, 2200) & F.col("width").between(5, 48) & F.col("height").between(5, 48) & (F.col("fill_ratio") >= 0.28) & aspect.between(0.45, 2.2)
 
 
-def red_clusters(dots: DataFrame, key: list[str], width: str = "width_px", height: str = "height_px", share: float = 0.08, least: int = 5, least_extent: float = 12.0) -> DataFrame:
-    """Red clusters of an image's dots (key, id, x, y, image size): groups linked within share of the longer side.
+def linked(p: np.ndarray, reach: float) -> np.ndarray:
+    """For each point, the first point that it hangs together with by steps of at most reach; points meet in squares of the grid."""
+    squares: dict[tuple[int, int], list[int]] = {}
+    for i, at in enumerate(map(tuple, np.floor(p / reach).astype(int).tolist())):
+        squares.setdefault(at, []).append(i)
+    up = list(range(len(p)))
 
-    (key, component, n, cx, cy, radius) of groups of least dots and extent.
-    """
-    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dots.select(*key).schema)
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for (x, y), own in squares.items():
+        for other in (squares.get((x + i, y + j)) for i, j in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))):
+            if other:
+                near = ((p[own][:, None] - p[other][None]) ** 2).sum(axis=2) <= reach * reach
+                for a, b in zip(*np.nonzero(near), strict=True):
+                    i, j = top(own[a]), top(other[b])
+                    up[max(i, j)] = min(i, j)
+    return np.array([top(i) for i in range(len(p))], dtype=np.int64)
+
+
+def linked_points(points: DataFrame, key: list[str]) -> DataFrame:
+    """(key, id, cluster): points (id, x, y, reach) of a group that fits a task, in clusters named by their smallest id."""
+    spec = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.select(*key).schema)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        found = linked(pdf[["x", "y"]].to_numpy(dtype=float), float(pdf.reach.iloc[0]))
+        return pdf[[*key, "id"]].assign(cluster=pdf.id.to_numpy()[found])
 
-        p = pdf[["x", "y"]].to_numpy(dtype=float)
-        reach = share * max(pdf[width].iloc[0], pdf[height].iloc[0])
-        near = ((p[:, None] - p[None]) ** 2).sum(2) <= reach**2
-        labels = np.arange(len(p))
-        while True:
-            new = np.where(near, labels[None], len(p)).min(1)
-            if (new == labels).all():
-                break
-            labels = new
-        out = pd.DataFrame({k: pdf[k] for k in key})
-        return out.assign(id=pdf.id, component=pdf.id.to_numpy()[labels])
+    return points.select(*key, "id", "x", "y", "reach").groupBy(*key).applyInPandas(link, f"{spec}, id long, cluster long")
 
-    grouped = dots.groupBy(*key).applyInPandas(link, f"{spec}, id long, component long")
-    full = dots.join(grouped, [*key, "id"])
-    reach = extent(full, [*key, "component"])
-    box = full.groupBy(*key, "component").agg(((F.min("x") + F.max("x")) / 2).alias("cx"), ((F.min("y") + F.max("y")) / 2).alias("cy"))
-    return reach.join(box, [*key, "component"]).where((F.col("n") >= least) & (F.col("extent") >= least_extent)).withColumn("radius", (F.col("extent") / 2).cast("int") + 25)
 
+def red_clusters(dots: DataFrame, key: list[str], width: str = "width_px", height: str = "height_px", share: float = 0.08, least: int = 5, least_extent: float = 12.0) -> DataFrame:
+    """Red clusters of an image's dots (key, id, x, y, image size): groups linked within share of the image's longer side.
 
+    (key, component, n, extent, total_area, min_x, mid_y, cx, cy, radius) of groups with least dots and
+    a box whose longer side is least_extent.
+    """
+    reach = share * F.greatest(F.col(width), F.col(height))
+    full = dots.join(linked_points(dots.withColumn("reach", reach), key).withColumnRenamed("cluster", "component"), [*key, "id"])
+    wide, high = F.max("x") - F.min("x"), F.max("y") - F.min("y")
+    mid = lambda c: (F.min(c) + F.max(c)) / 2
+    box = full.groupBy(*key, "component").agg(F.count("*").alias("n"), F.greatest(wide, high).alias("extent"), F.floor(wide * high).alias("total_area"), F.min("x").alias("min_x"), mid("y").alias("mid_y"), F.floor(mid("x")).cast("int").alias("cx"), F.floor(mid("y")).cast("int").alias("cy"))
+    return box.where((F.col("n") >= least) & (F.col("extent") >= least_extent)).withColumn("radius", F.floor(F.col("extent") / 2).cast("int") + 25)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlens.functions import geo, text
@@ -45,41 +45,72 @@ def unpivot_neighbours(wide: DataFrame) -> DataFrame:
     return of("gsm").unionByName(of("dcs")).where("src is not null and tgt is not null")
 
 
-def _placed(cells: DataFrame) -> DataFrame:
-    """(cell, site, azimuth): the first row of each cell."""
-    first = Window.partitionBy("cell").orderBy("ord")
-    return cells.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("cell", text.site_base(F.col("name")).alias("site"), "azimuth")
+def _fragments(key: Column) -> Column:
+    """All that a key holds: its substrings, of which a key of k letters has k (k + 1) / 2."""
+    size = F.length(key)
+    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substr(key, i, n)))))
+
+
+def match_sites(wanted: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """wanted with site: the first known one (site, ord) whose key is the wanted key, holds it, or is held by it.
+
+    Keys are short, so what a key holds are rows of its own that meet the other side's keys in a join by
+    equality. Distinct keys are matched once.
+    """
+    keys = wanted.select(text.neighbour_key(F.col(name)).alias("key")).distinct()
+    k = known.select("ord", "site", text.neighbour_key(F.col("site")).alias("known_key"))
+    k = k.groupBy("known_key").agg(F.min(F.struct("ord", "site")).alias("first"))
+    holds = keys.select("key", F.explode(_fragments(F.col("key"))).alias("known_key")).join(k, "known_key").select("key", "first")
+    held = k.select("first", F.explode(_fragments(F.col("known_key"))).alias("key")).join(keys, "key").select("key", "first")
+    found = holds.unionByName(held).groupBy("key").agg(F.min("first").alias("first")).select("key", "first.site")
+    return wanted.withColumn("key", text.neighbour_key(F.col(name))).join(found, "key", "left").drop("key")
+
+
+def cell_sites(wanted: DataFrame, cells: DataFrame, name: str = "cell") -> DataFrame:
+    """wanted with site and azimuth of the cell it names, by cells (ord, name, cell, azimuth); null where no cell has the name.
+
+    Of several sites with such a cell, the one that the cell's name without its last letter points to
+    counts, else the first.
+    """
+    own = cells.select("ord", text.site_base(F.col("name")).alias("site"), "azimuth", text.neighbour_identifier(F.col("cell")).alias("id"))
+    order = own.groupBy("site").agg(F.min("ord").alias("site_ord"))
+    per = own.join(order, "site").groupBy("id", "site").agg(F.min("site_ord").alias("site_ord"), F.min_by("azimuth", "ord").alias("azimuth"))
+    ids = wanted.select(text.neighbour_identifier(F.col(name)).alias("id")).where("id <> ''").distinct()
+    several = per.join(ids, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.when(F.length("id") > 1, F.expr("substr(id, 1, length(id) - 1)")).otherwise(F.col("id")).alias("parent"))
+    pointed = match_sites(several, order.select(F.col("site_ord").alias("ord"), "site"), "parent").select("id", F.col("site").alias("pointed"))
+    both = per.join(ids, "id", "left_semi").join(pointed, "id", "left")
+    first = F.min(F.struct((F.coalesce(F.col("site") != F.col("pointed"), F.lit(True))).alias("other"), "site_ord", "site", "azimuth")).alias("at")
+    found = both.groupBy("id").agg(first).select("id", "at.site", "at.azimuth")
+    return wanted.withColumn("id", text.neighbour_identifier(F.col(name))).join(found, "id", "left").drop("id")
 
 
 def neighbour_targets(cells: DataFrame, pairs: DataFrame) -> DataFrame:
     """(src, site, azimuth): distinct sectors that a cell's neighbours stand on, its own left out."""
-    at = _placed(cells)
-    own = at.select(F.col("cell").alias("src"), F.col("site").alias("own_site"), F.col("azimuth").alias("own_azimuth"))
-    to = at.select(F.col("cell").alias("tgt"), "site", "azimuth")
+    own = cell_sites(pairs.select("src").distinct(), cells, "src").where("site is not null").withColumnsRenamed({"site": "own_site", "azimuth": "own_azimuth"})
+    to = cell_sites(pairs.select("tgt").distinct(), cells, "tgt").where("site is not null")
     return pairs.join(own, "src").join(to, "tgt").where("site <> own_site or azimuth <> own_azimuth").select("src", "site", "azimuth").distinct()
 
 
 def highlighted(cells: DataFrame, pairs: DataFrame, source: str) -> DataFrame:
     """The cells to highlight for a clicked one: itself, and all on its neighbours' sectors."""
-    targets = neighbour_targets(cells, pairs).where(F.col("src") == source).select("site", "azimuth")
+    own = text.neighbour_identifier(F.lit(source))
+    targets = neighbour_targets(cells, pairs.where(text.neighbour_identifier(F.col("src")) == own)).select("site", "azimuth").distinct()
     rows = cells.withColumn("site", text.site_base(F.col("name")))
-    return rows.join(targets, ["site", "azimuth"], "left_semi").unionByName(rows.where(F.col("cell") == source)).distinct()
+    return rows.join(targets, ["site", "azimuth"], "left_semi").unionByName(rows.where(text.neighbour_identifier(F.col("cell")) == own)).distinct()
 
 
-def match_sites(wanted: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """wanted with site: the known one of the same key, else the first whose key holds or is held by it. Known sites are few
-    beside the wanted rows, and distinct keys are matched once.
-    """
-    keys = wanted.select(text.neighbour_key(F.col(name)).alias("key")).distinct()
-    k = known.select("ord", "site", text.neighbour_key(F.col("site")).alias("known_key"))
-    exact = keys.join(k, F.col("key") == F.col("known_key")).groupBy("key").agg(F.min_by("site", "ord").alias("site"))
-    rest = keys.join(exact, "key", "left_anti")
-    loose = rest.join(k, F.col("key").contains(F.col("known_key")) | F.col("known_key").contains(F.col("key"))).groupBy("key").agg(F.min_by("site", "ord").alias("site"))
-    return wanted.withColumn("key", text.neighbour_key(F.col(name))).join(exact.unionByName(loose), "key", "left").drop("key")
+def slice_cells(cells: DataFrame) -> DataFrame:
+    """(site, azimuth, tech, layer, cell): the first cell of each layer of a sector."""
+    own = cells.withColumn("site", text.site_base(F.col("name"))).withColumn("layer", layer(F.col("tech"), F.col("freq")))
+    return own.groupBy("site", "azimuth", "tech", "layer").agg(F.min_by("cell", "ord").alias("cell"))
 
 
 def valid_cells(cells: DataFrame) -> DataFrame:
-    """cells with lat and lng as numbers, north and west; rows whose place is no place go."""
+    """cells with lat and lng as numbers, north and west; rows whose place is no place go, and so do rows without one.
+
+    (An origin at 0, 0 for missing places, as a viewer might take it, is not a place of a cell.)
+    """
     lat, lng = geo.valid_position(F.col("lat"), F.col("lng"))
     return cells.withColumn("_lat", lat).withColumn("_lng", lng).where("_lat is not null and _lng is not null").drop("lat", "lng").withColumnsRenamed({"_lat": "lat", "_lng": "lng"})
 

@@ -121,7 +121,7 @@ WEDGES = (
 ), w AS (
   SELECT image, sector, stop, coalesce(lag(stop) OVER (PARTITION BY image ORDER BY direction, sector), last_value(stop) OVER (PARTITION BY image ORDER BY direction, sector ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS start FROM w1
 ), z AS (
-  SELECT e.image, e.sector, e.angle, coalesce((SELECT min(w.sector) FROM w WHERE w.image = e.image AND (CASE WHEN w.start <= w.stop THEN e.angle >= w.start AND e.angle < w.stop ELSE e.angle >= w.start OR e.angle < w.stop END)), 0) AS zone FROM e
+  SELECT e.image, e.sector, e.angle, coalesce((SELECT min(w.sector) FROM w WHERE w.image = e.image AND (CASE WHEN w.start < w.stop THEN e.angle >= w.start AND e.angle < w.stop ELSE e.angle >= w.start OR e.angle < w.stop END)), 0) AS zone FROM e
 )"""
 )
 SEP = "least(fmod(abs({a} - {b}), 360), 360 - fmod(abs({a} - {b}), 360))"

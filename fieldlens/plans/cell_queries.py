@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlens.functions import color, geo, text
-from fieldlens.operators import captions, reports, shapes, sites
+from fieldlens.functions import color, display, geo, text
+from fieldlens.operators import captions, dots, previews, reports, shapes, sites
 
 from .inputs import table
 
@@ -289,11 +289,57 @@ def highlight_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_key_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("site"))
-    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("_", F.lit("3G"), F.concat(F.lit("nation_"), (F.col("c_custkey") % 30).cast("string"))).alias("name"))
+    """Nations by names made of the beginnings of others, with a technology in front and a number behind."""
+    n = table(spark, sf_dir, "nation")
+    known = n.select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("site"))
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    part = F.substr("n_name", F.lit(1), (F.lit(3) + F.col("c_custkey") % 7).cast("int"))
+    wanted = c.select("c_custkey", F.concat(F.lit("3g_"), part, F.lit("__"), (F.col("c_custkey") % 4).cast("string")).alias("name"))
     return sites.match_sites(wanted, known, "name").select("c_custkey", "site")
 
 
+def lookup_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells whose names stand on two sites each."""
+    k = F.col("s_suppkey")
+    letter = F.element_at(F.array(*[F.lit(c) for c in "ABC"]), (k % 3).cast("int") + 1)
+    return table(spark, sf_dir, "supplier").select(k.alias("ord"), F.concat(F.lit("3G_N"), (k % 20).cast("string")).alias("name"), F.concat(F.lit("N"), (k % 10).cast("string"), letter).alias("cell"), (k * 7 % 360).cast("int").alias("azimuth"))
+
+
+def cell_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    letter = F.element_at(F.array(*[F.lit(c) for c in "abcd"]), (k % 4).cast("int") + 1)
+    wanted = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit(" n"), (k % 12).cast("string"), F.lit(" "), letter).alias("cell"))
+    return sites.cell_sites(wanted, lookup_cells(spark, sf_dir)).select("c_custkey", "site", "azimuth")
+
+
+def slice_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.slice_cells(cells_2g3g(spark, sf_dir))
+
+
+def gap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    boxes = table(spark, sf_dir, "supplier").select((k % 4).alias("image"), k.alias("id"), (k * 37 % 500).alias("min_x"), (k * 37 % 500 + 3 + k % 30).alias("max_x"), (k * 53 % 400).alias("min_y"), (k * 53 % 400 + 2 + k % 20).alias("max_y"))
+    return shapes.gap_pairs(boxes, ["image"], 25.0).select("image", "a", "b", F.round("gap", 6).alias("gap"))
+
+
+def track_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 700 + 100).cast("double").alias("length"))
+    views = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") * 37 % 360).cast("double").alias("angle"))
+    return reports.track_offsets(pictures, views, ["o_custkey"], ["o_orderkey"]).select("o_custkey", F.round("offset", 4).alias("offset"), F.round("around", 2).alias("around"))
+
+
+def panorama_drag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    angle = F.pmod(F.col("value") * 7, F.lit(360.0))
+    x, y = geo.held_in_place(F.col("value"), F.lit(40.0), angle)
+    return e.select("event_id", F.round(geo.dragged(angle, F.col("value") * 9, F.lit(2400.0)), 4).alias("angle"), F.round(x, 4).alias("dx"), F.round(y, 4).alias("dy"), display.image_index(F.col("event_id") % 5, F.lit(-3), F.lit(5)).cast("int").alias("image"))
+
+
+def best_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("image"), F.col("o_orderstatus").alias("strategy"), (F.col("o_orderkey") % 11).alias("n"), (F.col("o_orderkey") % 97).cast("double").alias("extent"))
+    return dots.best_strategy(o, ["image"])
+
+
 def label_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     labels = c.where("role = 'user'").select("conv_id", F.col("turn").alias("label_col"), F.concat(F.lit("L"), F.col("turn").cast("string")).alias("label"))
@@ -332,19 +378,38 @@ def identifier_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rollup_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.workbook_rollup(_analyses(spark, sf_dir)).select("workbook", "analyses", "failures", "crosses", "verdict", F.concat_ws("; ", "warnings").alias("warnings"))
+    return reports.workbook_rollup(_analyses(spark, sf_dir)).select("workbook", "analyses", "failures", "crosses", "checks", "verdict", F.concat_ws("; ", "warnings").alias("warnings"))
 
 
 def failure_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.failure_summary(_analyses(spark, sf_dir))
 
 
+def ordered_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.ordered_analyses(_analyses(spark, sf_dir)).select("workbook", "ord", F.col("position").cast("int").alias("position"))
+
+
+def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = reports.is_failure()
+    kind, group, label = F.col("kind"), F.col("metric_group"), F.col("label")
+    rate = (F.col("ord") % 60).cast("double")
+    details = display.throughput_details(label, rate, rate / 2, F.when(F.col("ord") % 5 > 0, F.lit(25.0)), F.lit(15.0))
+    return _analyses(spark, sf_dir).select("ord", display.title(kind, group, label, F.lit(None).cast("string")).alias("title"), display.verdict_text(kind, failed, F.col("verdict")).alias("text"), display.badge(kind, failed, F.col("verdict"), F.col("metric"), label).alias("badge"), details.alias("details"))
+
+
 def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses made of orders: few customers' are crosses alone, the rest has checks too."""
     o = table(spark, sf_dir, "orders")
-    kind = F.when(F.col("o_orderkey") % 3 == 0, "cross").otherwise("degradation")
+    key = F.col("o_orderkey")
+    kind = F.when((key % 3 == 0) | (F.col("o_custkey") % 5 == 0), "cross").otherwise("degradation")
     bad = F.col("o_orderstatus") == "F"
-    verdict = F.when((kind == "cross") & bad, "Cross detected").when(kind == "cross", "No cross detected").when(bad, "NOK").otherwise("OK")
-    return o.select(F.col("o_custkey").alias("workbook"), F.col("o_orderkey").alias("ord"), kind.alias("kind"), F.col("o_orderpriority").alias("label"), verdict.alias("verdict"), F.when(F.col("o_orderkey") % 7 == 0, F.array(F.concat(F.lit("w"), F.col("o_orderkey").cast("string")))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+    verdict = F.when((kind == "cross") & bad, "Cross detected").when(kind == "cross", "No cross detected").when(bad, "SSV NOK").otherwise("SSV OK")
+    pick = lambda *names: F.element_at(F.array(*[F.lit(n) for n in names]), (key % len(names)).cast("int") + 1)
+    label = F.when(kind == "cross", pick("Best Server", "Serving PCI", "Serving Cell ID")).otherwise(pick("Débit DL", "Débit UL", "Quality (SINR)", "Coverage (RSRP)"))
+    return o.select(
+        F.col("o_custkey").alias("workbook"), key.alias("ord"), kind.alias("kind"), label.alias("label"), F.concat(F.lit("L"), (key % 4 * 100).cast("string")).alias("sheet"), F.when(kind == "degradation", pick("throughput", "throughput", "quality", "coverage")).alias("metric_group"),
+        F.when(kind == "degradation", pick("DL Throughput", "UL Throughput", "SINR", "RSRP")).alias("metric"), verdict.alias("verdict"), F.when(key % 7 == 0, F.array(F.concat(F.lit("w"), key.cast("string")))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
 
 
 def visible_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,6 +421,20 @@ def svg_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.svg_markers(n, "image", 640, 360)
 
 
+def kpi_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of nations drawn over a map for each region."""
+    circle = F.struct(F.col("n_nationkey").alias("ord"), (F.col("n_nationkey") * 11).alias("cx"), (F.col("n_nationkey") * 7).alias("cy"), (F.col("n_nationkey") + 25).alias("radius"))
+    per = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("image")).agg(F.sort_array(F.collect_list(circle)).alias("circles"))
+    return per.select("image", previews.kpi_preview(F.lit(2100), F.lit(900), F.lit("data:,"), F.col("circles")).alias("svg"))
+
+
+def throughput_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    verdict = F.when(k % 2 == 0, "SSV OK").otherwise("SSV NOK")
+    card = previews.throughput_preview(F.when(k % 3 > 0, "L800"), (k * 3).cast("double"), (k * 2).cast("double"), F.when(k % 3 > 0, F.lit(15.0)), F.when(k % 3 > 0, F.lit(10.0)), verdict)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", card.alias("svg"))
+
+
 def kml_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("site"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), (30 + F.col("n_nationkey") * 0.5).alias("lat"), (-7 - F.col("n_nationkey") * 0.25).alias("lng"))
     return reports.kml_document(n, "site")

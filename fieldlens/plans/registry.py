@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import angle_queries, cell_queries, cell_sql
 
-HELPERS = {"points", "pixels", "embedded", "grid", "anchors", "supplier_sites", "cells_2g3g", "neighbour_pairs", "table"}
+HELPERS = {"points", "pixels", "embedded", "grid", "anchors", "supplier_sites", "cells_2g3g", "lookup_cells", "neighbour_pairs", "table"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

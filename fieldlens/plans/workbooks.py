@@ -10,16 +10,19 @@ from fieldlens.operators import captions, reports, shapes, sites
 
 
 def throughput_verdicts(cells: DataFrame) -> DataFrame:
-    """A row for each workbook with both average rates on one sheet: band, rates, thresholds, warnings, verdict.
+    """A row for each workbook with both average rates on one sheet: band, rates, where they stand, thresholds, warnings, verdict.
 
-    Of several sheets the best scored one counts (50 points more with a known band, the first of equals).
+    Of several labels of a side the last one counts, number or not; of several sheets the best scored one
+    (50 points more with a known band, the first of equals).
     """
     norm = text.normalize_text(F.col("value"))
     side = F.when(norm.contains("avg dl throughput mbps"), "dl").when(norm.contains("avg ul throughput mbps"), "ul")
     key = ["workbook", "sheet_no", "sheet"]
     labels = cells.withColumn("side", side).where("side is not null").select(*key, "row", "col", "ord", "side")
     found = captions.offset_probe(labels, cells, key)
-    per = found.groupBy(*key).agg(F.max_by("number", F.when(F.col("side") == "dl", F.col("ord"))).alias("dl_mbps"), F.max_by("number", F.when(F.col("side") == "ul", F.col("ord"))).alias("ul_mbps"))
+    of = lambda s: F.max_by(F.struct("number", text.cell_ref(F.col("row"), F.col("col")).alias("label"), text.cell_ref(F.col("found_row"), F.col("found_col")).alias("value")), F.when(F.col("side") == s, F.col("ord"))).alias(s)
+    per = found.groupBy(*key).agg(of("dl"), of("ul"))
+    per = per.select(*key, *[F.col(f"{s}.{a}").alias(f"{s}_{b}") for s in ("dl", "ul") for a, b in (("number", "mbps"), ("label", "label_ref"), ("value", "value_ref"))])
     per = per.where("dl_mbps is not null and ul_mbps is not null").withColumn("band", text.lte_band(F.col("sheet"), F.regexp_extract("workbook", "([^/]+)$", 1)))
     scored = reports.sheet_scores(per, "sheet").withColumn("score", F.col("score") + F.when(F.col("band").isNotNull(), 50).otherwise(0))
     best = captions.best_per(scored, ["workbook"], [F.desc("score"), F.col("sheet_no")])
@@ -27,7 +30,7 @@ def throughput_verdicts(cells: DataFrame) -> DataFrame:
 
 
 def image_candidates(cells: DataFrame, anchors: DataFrame, sheets: DataFrame, least: float = 120.0) -> DataFrame:
-    """Images with the caption that they belong to: the best one for each target of a sheet, by score.
+    """Images with the caption that they belong to: the best one for each target of a sheet, by score, with what the target is.
 
     Workbooks whose best score is below least have none.
     """
@@ -35,11 +38,15 @@ def image_candidates(cells: DataFrame, anchors: DataFrame, sheets: DataFrame, le
     caps = captions.match_profile(cells).where("profile is not null").select(*key, "ord", "row", "col", "value", "profile", "strength")
     near = captions.nearest_anchor(caps, anchors.select(*key, "anchor_no", "row", "col"), key)
     around = captions.nearby_score(anchors.select(*key, "anchor_no", "row", "col"), caps, key).withColumnRenamed("score", "nearby")
-    scored = near.join(around, [*key, "anchor_no"]).join(reports.sheet_scores(sheets, "sheet").select(*key, "sheet", "score"), key).join(anchors.select(*key, "anchor_no", "media"), [*key, "anchor_no"])
+    places = anchors.select(*key, "anchor_no", "media", F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"))
+    scored = near.join(around, [*key, "anchor_no"]).join(reports.sheet_scores(sheets, "sheet").select(*key, "sheet", "score"), key).join(places, [*key, "anchor_no"])
     total = 4 * F.col("score") + F.col("nearby") + F.greatest(F.lit(0), 180 - 32 * F.col("distance")) + 20 * F.col("strength")
     scored = scored.withColumn("score", total)
     best = captions.best_per(scored, [*key, "profile"], [F.desc("score"), F.col("ord")])
-    return reports.accepted_candidates(best, ["workbook"], "score", ["sheet_no", "ord"], least).select(*key, "sheet", "media", "profile", F.col("value").alias("caption"), "score", "texts", "rank")
+    ranked = reports.accepted_candidates(best, ["workbook"], "score", ["sheet_no", "ord"], least)
+    kinds = captions.profiles(cells.sparkSession).select(F.col("key").alias("profile"), "label", "kind", "metric_group", "metric_name")
+    caption = [F.col("value").alias("caption"), text.cell_ref(F.col("row"), F.col("col")).alias("caption_ref")]
+    return ranked.join(F.broadcast(kinds), "profile").select(*key, "sheet", "media", "profile", "label", "kind", "metric_group", "metric_name", *caption, "anchor_row", "anchor_col", "score", "texts", "rank")
 
 
 #: Header names of the cell tables, and the column (0-based) to take where a header is missing.
@@ -69,10 +76,24 @@ def cell_database(cells: DataFrame) -> DataFrame:
 
 
 def merged_sites(cells: DataFrame) -> DataFrame:
-    """Sites of a cell database with the leader each one merges into (50 m, same base name)."""
-    base = text.site_base(F.col("name"))
-    first = cells.withColumn("base", base).groupBy("workbook", "base", "name").agg(F.min("ord").alias("ord"), F.min_by("lat", "ord").alias("lat"), F.min_by("lng", "ord").alias("lng"))
-    return shapes.merge_co_located(first.withColumn("base", F.concat_ws("|", "workbook", "base")))
+    """Sites (workbook, site, ord, lat, lng) of a cell database with leader, the site each one merges into, and the merged
+    site's name: co-located sites (50 m) whose names differ in a number behind are one; a base name's further sites are
+    numbered.
+    """
+    first = cells.withColumn("site", text.site_base(F.col("name"))).groupBy("workbook", "site").agg(F.min("ord").alias("ord"), F.min_by("lat", "ord").alias("lat"), F.min_by("lng", "ord").alias("lng"))
+    own = first.withColumn("group", F.concat_ws("|", "workbook", text.cluster_base(F.col("site"))))
+    found = shapes.merge_co_located(own.withColumnRenamed("group", "base")).select(F.col("base").alias("group"), "ord", "leader", "cluster")
+    named = F.concat(text.cluster_base(F.col("site")), F.when(F.col("cluster") > 0, F.concat(F.lit("_"), F.col("cluster").cast("string"))).otherwise(""))
+    return own.join(found, ["group", "ord"]).select("workbook", "site", "ord", "lat", "lng", "leader", named.alias("merged"))
+
+
+def merged_layers(cells: DataFrame) -> DataFrame:
+    """(workbook, site, azimuth, lat, lng, layers_2g, layers_3g): the sectors of merged sites, with the layers of all that merged."""
+    places = merged_sites(cells)
+    heads = places.where("ord = leader").select("workbook", F.col("merged").alias("site"), "lat", "lng")
+    own = cells.withColumn("site", text.site_base(F.col("name"))).join(places.select("workbook", "site", "merged"), ["workbook", "site"])
+    of = lambda t: F.sort_array(F.collect_set(F.when(F.col("tech") == t, sites.layer(F.col("tech"), F.col("freq"))))).alias(f"layers_{t.lower()}")
+    return own.groupBy("workbook", F.col("merged").alias("site"), "azimuth").agg(of("2G"), of("3G")).join(heads, ["workbook", "site"])
 
 
 def neighbour_pairs(cells: DataFrame) -> DataFrame:

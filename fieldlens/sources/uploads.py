@@ -21,6 +21,23 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(name), r"[^0-9A-Za-z._-]+", "_"), r"^[._]+", "")
 
 
-def should_retry(kind: Column, dots: Column, runs: Column, width: Column, prepared_width: Column) -> Column:
-    """A map with too few dots and no cluster is read again from its enlarged copy, if that is a quarter wider at least."""
-    return (kind == "degradation") & (dots < 20) & (runs == 0) & (prepared_width >= 1.25 * width)
+def should_retry(kind: Column, group: Column, failed: Column, red_points: Column) -> Column:
+    """A quality or throughput map that passed in spite of red points is read again from its enlarged copy."""
+    return (kind == "degradation") & F.lower(F.coalesce(group, F.lit(""))).isin("quality", "throughput") & ~failed & (F.coalesce(red_points, F.lit(0)) > 0)
+
+
+def should_retry_error(kind: Column, group: Column, message: Column) -> Column:
+    """A map that failed for want of measurement points is read again too."""
+    few = F.lower(F.coalesce(message, F.lit(""))).contains("does not contain enough colored measurement points")
+    return (kind == "degradation") & F.lower(F.coalesce(group, F.lit(""))).isin("coverage", "quality", "throughput") & few
+
+
+def is_larger(width: Column, height: Column, new_width: Column, new_height: Column) -> Column:
+    """An enlarged copy is worth reading if it has half as many pixels more."""
+    return new_width * new_height > 1.5 * width * height
+
+
+def preparation(mode: Column, has_images: Column) -> Column:
+    """How images are prepared: as asked where that is a known way, else in memory where an image library is there."""
+    m = F.lower(F.trim(F.coalesce(mode, F.lit(""))))
+    return F.when(m.isin("direct", "external"), m).when(has_images, "direct").otherwise("external")

@@ -27,13 +27,25 @@ def test_swatches(spark):
     assert legends.missing_swatch(s, strong, cand, ["image"]).first().swatch == 3
 
 
+CELLS = "workbook string, sheet_no int, sheet string, row int, col int, value string"
+
+
 def test_identifier_lookup(spark):
-    cells = [("w", 0, 3, 19, "Cell Name"), ("w", 0, 3, 20, "Cell ID"), ("w", 0, 4, 19, "A"), ("w", 0, 4, 20, "23435"), ("w", 0, 6, 19, "B"), ("w", 0, 6, 20, "23436"), ("w", 0, 9, 20, "999"), ("w", 1, 0, 0, "Cell ID"), ("w", 1, 0, 1, "Cell name"), ("w", 1, 0, 2, "Azimut"), ("w", 1, 1, 0, "234-35"), ("w", 1, 1, 1, "C"), ("w", 1, 1, 2, "120")]
-    got = legends.identifier_lookup(spark.createDataFrame(cells, "workbook string, sheet_no int, row int, col int, value string"))
-    assert {r.identifier: (r["name"], r.azimuth) for r in got.collect()} == {"23435": ("C", 120.0), "23436": ("B", None)}
+    own = [("w", 0, "Own", 3, 19, "Cell Name"), ("w", 0, "Own", 3, 20, "Cell ID"), ("w", 0, "Own", 4, 19, "A"), ("w", 0, "Own", 4, 20, "23435"), ("w", 0, "Own", 6, 19, "B"), ("w", 0, "Own", 6, 20, "23436"), ("w", 0, "Own", 9, 20, "999"), ("w", 0, "Own", 9, 19, "far")]
+    other = [("w", 1, "Z", 0, 0, "Cell name"), ("w", 1, "Z", 0, 1, "Azimuth"), ("w", 1, "Z", 0, 3, "cell id"), ("w", 1, "Z", 1, 3, "234-35"), ("w", 1, "Z", 1, 0, "C"), ("w", 1, "Z", 1, 1, "120"), ("w", 1, "Z", 2, 0, "no digits"), ("w", 1, "Z", 2, 3, "abc")]
+    cells = spark.createDataFrame(own + other, CELLS)
+    assert {r.identifier: (r["name"], r.azimuth) for r in legends.identifier_lookup(cells).collect()} == {"23435": ("C", 120.0), "23436": ("B", None)}
+    first = spark.createDataFrame([("w", "Z")], "workbook string, own_sheet string")
+    assert {r.identifier: r["name"] for r in legends.identifier_lookup(cells, own=first).collect()} == {"23435": "A", "23436": "B"}
+
+
+def test_the_last_row_of_a_colour_counts(spark):
+    rows = spark.createDataFrame([("i", 1, 230, 50, 40, None), ("i", 2, 236, 54, 48, None), ("i", 3, 0, 255, 0, None)], "image string, row int, r int, g int, b int, azimuth double")
+    sectors = spark.createDataFrame([("i", 0, 234, 52, 45, 90.0), ("i", 1, 37, 72, 235, 10.0)], "image string, sector int, r int, g int, b int, direction double")
+    assert [(r.sector, r.row) for r in legends.rows_of_sectors(rows, sectors, ["image"]).collect()] == [(0, 2)]
 
 
 def test_uploads(spark):
     ok = lambda u: uploads.is_allowed_url(F.lit(u), ["a.example.com", ".store.example.org"])
-    row = spark.range(1).select(ok("https://a.example.com/x"), ok("https://b.store.example.org/x"), ok("http://a.example.com/x"), ok("https://evil.com/a.example.com"), ok("nonsense"), uploads.safe_name(F.lit(" ../Ä b.xlsx")), uploads.should_retry(F.lit("degradation"), F.lit(3), F.lit(0), F.lit(800), F.lit(2048))).first()
-    assert tuple(row) == (True, True, False, False, False, "b.xlsx", True)
+    row = spark.range(1).select(ok("https://a.example.com/x"), ok("https://b.store.example.org/x"), ok("http://a.example.com/x"), ok("https://evil.com/a.example.com"), ok("nonsense"), uploads.safe_name(F.lit(" ../Ä b.xlsx")), uploads.should_retry(F.lit("degradation"), F.lit("Quality"), F.lit(False), F.lit(3)), uploads.should_retry_error(F.lit("degradation"), F.lit("coverage"), F.lit("It does not contain enough colored measurement points.")), uploads.is_larger(F.lit(800), F.lit(400), F.lit(1000), F.lit(500)), uploads.preparation(F.lit(" Direct "), F.lit(False))).first()
+    assert tuple(row) == (True, True, False, False, False, "b.xlsx", True, True, True, "direct")

@@ -17,6 +17,26 @@ def test_texts(spark):
     assert tuple(got) == ("debit dl en mobilite", "", 12.5, None, "L800", "L2600", None, "AB12", 27, 1, 15)
 
 
+def test_forms_of_letters(spark):
+    import re
+    import unicodedata
+
+    def plain(t):
+        flat = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+        return re.sub(r"[^a-z0-9]+", " ", flat).strip()
+
+    texts = ["ＤＬ　Ｔhroughput", "ﬁeld ﬂow", "½ mast ㎒", "x² №5", "Œuvre Ǆ", "e\u0301te\u0301", "日本 DL", "①②⑳", "ℒ800"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalize_text(F.col("t")).alias("n"))
+    assert {r.t: r.n for r in df.collect()} == {t: plain(t) for t in texts}
+
+
+def test_cells_and_their_sites(spark):
+    cells = spark.createDataFrame([(1, "3G_ALPHA_1", "ALPHA_1A", 0), (2, "3G_BETA", "SHARED1", 10), (3, "3G_SHARED", "SHARED1", 20), (4, "3G_GAMMA", "SHARED1", 30)], "ord int, name string, cell string, azimuth int")
+    wanted = spark.createDataFrame([("alpha__1a",), ("shared 1",), ("none",), (None,)], "cell string")
+    got = {r.cell: (r.site, r.azimuth) for r in sites.cell_sites(wanted, cells).collect()}
+    assert got == {"alpha__1a": ("ALPHA_1", 0), "shared 1": ("SHARED", 20), "none": (None, None), None: (None, None)}
+
+
 def test_colours(spark):
     names = {"Red": (234, 52, 45), "Yellow": (240, 224, 40), "Blue": (37, 72, 235), "Cyan": (8, 254, 254), "Neutral": (247, 247, 247)}
     for name, rgb in names.items():
@@ -72,7 +92,9 @@ def test_captions(spark):
 
 def test_throughput(spark):
     rows = spark.createDataFrame([("L2100", 24.0, 16.0), ("L800", 12.0, 8.0), ("L800", 15.0, 10.0), (None, 90.0, 90.0)], "band string, dl_mbps double, ul_mbps double")
-    assert [r.verdict for r in captions.throughput_verdict(rows).collect()] == ["NOK", "NOK", "OK", "NOK"]
+    got = captions.throughput_verdict(rows).collect()
+    assert [r.verdict for r in got] == ["SSV NOK", "SSV NOK", "SSV OK", "SSV NOK"]
+    assert got[0].warnings == ["Avg DL Throughput 24.00 Mbps is below the L2100 minimum of 25 Mbps."]
 
 
 def test_islands_wrap(spark):
@@ -108,8 +130,20 @@ def test_connected_against_search(spark):
 def test_assignment_and_merge(spark):
     costs = spark.createDataFrame([("k", r, n, float(c)) for r, n, c in [(1, "a", 1), (1, "b", 2), (2, "a", 1), (2, "b", 9)]], "k string, row long, name string, cost double")
     assert {r.row: r["name"] for r in shapes.assign_rows(costs, ["k"]).collect()} == {1: "b", 2: "a"}
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(5)
+    for n, m in ((1, 1), (3, 3), (3, 5), (5, 6)):
+        c = [[Fraction(rng.randint(0, 6)) for _ in range(m)] for _ in range(n)]
+        best = min(sum(c[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))
+        chosen = shapes.cheapest(c)
+        assert len(set(chosen)) == n and sum(c[i][j] for i, j in enumerate(chosen)) == best
+    many = spark.createDataFrame([("m", i, f"n{j:02d}", float((i * 7 + j * 3) % 13)) for i in range(14) for j in range(14)] + [("t", i, n, 1.0) for i in range(3) for n in "cab"], costs.schema)
+    got = shapes.assign_rows(many, ["k"]).collect()
+    assert len({r["name"] for r in got if r.k == "m"}) == 14 and [r["name"] for r in sorted(got, key=lambda r: r.row) if r.k == "t"] == ["a", "b", "c"]
     places = spark.createDataFrame([("S", 1, 30.0, -7.0), ("S", 2, 30.0003, -7.0), ("S", 3, 30.0006, -7.0), ("T", 4, 30.0, -7.0)], "base string, ord long, lat double, lng double")
-    assert {r.ord: r.leader for r in shapes.merge_co_located(places).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {r.ord: (r.leader, r.cluster) for r in shapes.merge_co_located(places).collect()} == {1: (1, 0), 2: (1, 0), 3: (3, 1), 4: (4, 0)}
 
 
 def test_reports(spark):
@@ -132,8 +166,33 @@ def test_red_clusters(spark):
     dots = [("a", k, 250.0 + 10 * k, 148.0) for k in range(7)] + [("a", 10 + k, 30.0, 20.0) for k in range(2)]
     df = spark.createDataFrame([(i, k, x, y, 520, 250) for i, k, x, y in dots], "image_id string, id long, x double, y double, width_px int, height_px int")
     got = shapes.red_clusters(df, ["image_id"]).collect()
-    assert [(r.n, r.extent, r.radius) for r in got] == [(7, 60.0, 55)]
-
+    assert [(r.n, r.extent, r.radius, r.cx, r.cy) for r in got] == [(7, 60.0, 55, 280, 148)]
+    diagonal = spark.createDataFrame([("d", k, 100.0 + 20 * k, 100.0 + 20 * k, 520, 250) for k in range(6)] + [("s", k, 50.0 + 4.5 * (k % 3), 50.0 + 9 * (k // 3), 520, 250) for k in range(6)], df.schema)
+    assert [(r.image_id, r.n, r.radius) for r in shapes.red_clusters(diagonal, ["image_id"]).collect()] == [("d", 6, 75)]
+
+
+def test_a_sector_alone_holds_all_angles(spark):
+    rows = spark.createDataFrame([("i", 1, 10.0), ("i", 1, 200.0)], "image string, sector int, angle double")
+    assert angles.intrusion_ratio(rows).first().ratio == 0.0
+    assert angles.cross_verdict(rows).first().verdict == "No cross detected"
+
+
+def test_nearest_and_extent_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    pts = [("a", k, rng.random() * 10, rng.random() * 400) for k in range(150)] + [("a", 150 + k, 5000.0 + k, 7.0) for k in range(3)] + [("b", 1, 0.0, 0.0), ("b", 2, 0.0, 0.0), ("c", 9, 1.0, 1.0)]
+    df = spark.createDataFrame(pts, "k string, id long, x double, y double")
+    got = {(r.k, r.a, r["rank"]): (r.b, round(r.distance, 9)) for r in shapes.nearest_distances(df, ["k"], 3).collect()}
+    want = {}
+    for g, i, x, y in pts:
+        near = sorted((math.hypot(x - u, y - v), j) for h, j, u, v in pts if h == g and j != i)[:3]
+        want.update({(g, i, n + 1): (j, round(d, 9)) for n, (d, j) in enumerate(near)})
+    assert got == want
+    far = {r.k: (r.n, round(r.extent, 9)) for r in shapes.extent(df, ["k"]).collect()}
+    for g in "abc":
+        own = [(x, y) for h, _, x, y in pts if h == g]
+        assert far[g] == (len(own), round(max(math.dist(p, q) for p in own for q in own), 9))
 
 def test_sites(spark):
     cells = spark.createDataFrame([(1, "2G_A", "c1", "2G", 0, 50), (2, "3G_A", "c2", "3G", 0, 10700), (3, "2G_B", "c3", "2G", 120, 700)], "ord int, name string, cell string, tech string, azimuth int, freq long")

@@ -3,7 +3,9 @@ import math
 import numpy as np
 import pytest
 
-from fieldlens.operators import scenes
+from pyspark.sql import functions as F
+
+from fieldlens.operators import dots, scenes
 from fieldlens.shipping import ship
 from fieldlens.sources.images import encode_png
 
@@ -53,11 +55,70 @@ def images(spark, **named):
     return spark.createDataFrame([(k, bytearray(encode_png(v))) for k, v in named.items()], "image string, content binary")
 
 
+def connected(a, site, angle, length, c):
+    t = math.radians(angle)
+    for d in range(12, length, 2):
+        disc(a, round(site[0] + d * math.cos(t)), round(site[1] - d * math.sin(t)), 2, c)
+
+
+def gsm_trace():
+    cyan, deep, orange = (12, 252, 252), (9, 9, 250), (251, 77, 11)
+    a = canvas(583, 286, (cyan, deep, orange))
+    connected(a, (300, 134), 112, 112, cyan)
+    connected(a, (300, 134), 285, 150, deep)
+    branch(a, (300, 134), 190, 150, orange, 8)
+    for x, y, c in ((430, 60, cyan), (120, 230, deep), (470, 220, orange), (500, 120, cyan)):
+        disc(a, x, y, 4, c)
+    return a
+
+
+def small_dots(more=()):
+    """A map without a fan: dots far apart, in groups about its middle."""
+    a = canvas(500, 300)
+    for k in range(4):  # what is densest stands for the site
+        disc(a, 246 + 8 * (k % 2), 146 + 8 * (k // 2), 5, BLUE)
+    for angle, c, n in ((90, BLUE, 5), (210, RED, 4), *more):
+        for k in range(n):
+            t = math.radians(angle - 24 + 12 * k)
+            disc(a, round(250 + 90 * math.cos(t)), round(150 - 90 * math.sin(t)), 4, c)
+    return a
+
+
 def test_cross_verdicts(spark):
-    got = {r.image: r for r in scenes.cross_analysis(images(spark, plain=no_cross(), crossed=crossed(), blank=canvas(583, 286, ()))).collect()}
-    assert (got["plain"].status, got["plain"].verdict) == ("ok", "No cross detected")
+    df = images(spark, plain=no_cross(), crossed=crossed(), blank=canvas(583, 286, ()), gsm=gsm_trace()).unionByName(spark.createDataFrame([("broken", bytearray(b"no image")), ("none", None)], "image string, content binary"))
+    sectors = scenes.sector_table(df)
+    got = {r.image: r for r in scenes.judged_sectors(sectors).collect()}
+    assert (got["plain"].status, got["plain"].verdict, got["plain"]["mode"]) == ("ok", "No cross detected", "dense")
     assert (got["crossed"].verdict, got["crossed"].misassigned > 0.18) == ("Cross detected", True)
-    assert (got["blank"].status, got["blank"].verdict) == ("no site", None)
+    assert (got["blank"].status, got["blank"].verdict) == ("insufficient_site_center_density", None)
+    assert got["broken"].status == got["none"].status == "unreadable_image" and got["broken"].verdict is None
+    assert got["gsm"].status == "ok" and got["gsm"].points > 300
+    main = sectors.where("image = 'plain'").orderBy("sector").collect()
+    assert [(r.r, r.g, r.b) for r in main] == [BLUE, YELLOW, RED] and all(abs(r.direction - want) < 8 for r, want in zip(main, (90, 182, 320), strict=True))
+    assert sectors.where("image = 'gsm'").count() == 3
+
+
+def test_small_maps_are_told_by_their_dots(spark):
+    two = small_dots()
+    three = small_dots(((330, (20, 200, 60), 2),))
+    mixed = small_dots(((150, RED, 6), (30, BLUE, 4)))
+    large = np.full((600, 1000, 3), WHITE, np.uint8)
+    large[:300, :500] = two
+    sectors = scenes.sector_table(images(spark, two=two, three=three, large=large, mixed=mixed))
+    got = {r.image: r for r in scenes.judged_sectors(sectors).collect()}
+    assert (got["two"].status, got["two"]["mode"], got["two"].verdict, got["two"].points) == ("ok", "low_res", "No cross detected", 9)
+    assert got["two"].reason.startswith("insufficient") and got["two"].warnings == []
+    assert got["large"].status != "ok" and got["large"].verdict is None
+    shown = sectors.where("image = 'three'").orderBy("sector").collect()
+    assert [(r.counted, r.n) for r in shown] == [(True, 5), (True, 4), (False, 2)] and (shown[2].r, shown[2].g, shown[2].b) == YELLOW
+    assert got["three"].points == 9
+    assert got["mixed"]["mode"] == "low_res" and got["mixed"].points >= 9
+
+
+def test_largest_cluster_wraps():
+    a = np.array([350.0, 5.0, 20.0, 100.0, 110.0, 200.0])
+    assert scenes.largest_cluster(a).tolist() == [True, True, True, False, False, False]
+    assert scenes.largest_cluster(np.array([1.0, 90.0, 200.0])).all()
 
 
 def large_run():
@@ -86,11 +147,90 @@ def sparse():
     return a
 
 
+GREEN, ORANGE, KHAKI = (60, 180, 75), (231, 156, 104), (205, 147, 98)
+
+
+def rows_of_dots(reds):
+    a = canvas(520, 250)
+    for k in range(3):
+        for j in range(12):
+            disc(a, 90 + 18 * j, 120 + 18 * k, 3, (GREEN, YELLOW, BLUE)[k])
+    for x, y in reds:
+        disc(a, x, y, 3, RED)
+    return a
+
+
+def sparse_red_run():
+    a = canvas(520, 250, (BLUE, YELLOW, KHAKI))
+    for k in range(6):
+        disc(a, 120 + 28 * k, 150, 3, KHAKI)
+        disc(a, 120 + 28 * k, 200, 3, GREEN)
+    return a
+
+
+def top_label():
+    a = canvas(520, 250)
+    for k in range(8):
+        disc(a, 150 + 14 * k, 20 + 12 * (k % 2), 4, ORANGE)
+    for k in range(5):
+        disc(a, 220 + 22 * k, 210, 3, ORANGE)
+    return a
+
+
+def center_label():
+    a = canvas(520, 250)
+    for n, y in ((6, 130), (5, 144)):
+        for k in range(n):
+            disc(a, 220 + 14 * k, y, 3, ORANGE)
+    for k in range(3):
+        disc(a, 120 + 40 * k, 200, 3, BLUE)
+    return a
+
+
 def test_kpi_verdicts(spark):
-    got = {r.image: r for r in scenes.kpi_analysis(images(spark, large=large_run(), two=two_runs(), sparse=sparse())).collect()}
-    assert (got["large"].verdict, got["large"].longest, got["large"].runs) == ("NOK", 6, 1)
-    assert (got["two"].verdict, got["two"].longest, got["two"].runs) == ("NOK", 8, 2)
-    assert (got["sparse"].verdict, got["sparse"].runs) == ("OK", 0)
+    cluster = rows_of_dots([(250 + 10 * k, 148) for k in range(7)] + [(130 + 12 * k, 88) for k in range(3)])
+    df = images(spark, large=large_run(), two=two_runs(), sparse=sparse(), low=rows_of_dots([(250, 210), (262, 210)]), cluster=cluster, run=sparse_red_run(), top=top_label(), center=center_label(), few=canvas(300, 200)).unionByName(spark.createDataFrame([("broken", bytearray(b"x"))], "image string, content binary"))
+    got = {r.image: r for r in dots.kpi_analysis(df).collect()}
+    assert (got["large"].verdict, got["large"].longest, got["large"].runs, got["large"].warnings) == ("SSV NOK", 6, 1, ["Continuous red points detected (6)."])
+    assert (got["two"].verdict, got["two"].longest, got["two"].runs, got["two"].red_points) == ("SSV NOK", 8, 2, 14)
+    assert (got["sparse"].verdict, got["sparse"].runs, got["sparse"].dots, got["sparse"].warnings) == ("SSV OK", 0, 7, [])
+    assert got["low"].verdict == "SSV OK" and got["low"].strategy == "ordered_chain"
+    assert got["top"].verdict == got["center"].verdict == "SSV OK"
+    assert got["run"].verdict == "SSV OK" and got["run"].red_points == 6  # told by the legend, but of no red that counts
+    assert (got["few"].status, got["few"].verdict) == ("insufficient_points", None) and got["broken"].status == "unreadable_image"
+    assert got["large"].circles[0].radius == 25 + 240 // 2 and got["large"].red_link_distance > 18
+
+
+def test_degraded_dots_and_runs(spark):
+    df = images(spark, run=sparse_red_run(), center=center_label(), plain=sparse())
+    parts, swatches = scenes.component_table(df), scenes.read_legends(df)
+    assert [(r.r, r.g, r.b) for r in swatches.where("image = 'run' and degraded").collect()] == [KHAKI]
+    assert abs(swatches.where("image = 'run' and degraded").first().hue - 24) <= 8
+    points = dots.measurement_dots(parts)
+    red = dots.visual_red_dots(points, swatches)
+    assert {r.image: r["count"] for r in red.groupBy("image").count().collect()} == {"run": 6}
+    bare = swatches.where("image = ''")
+    runs = dots.degraded_runs(points, dots.visual_red_dots(points, bare))
+    assert {(r.image, r["count"]) for r in runs.groupBy("image", "run").count().collect()} == {("run", 6), ("center", 6)}  # one row of a label is a run, both together were none
+    assert dots.overlay_clusters(parts, swatches).count() == 0
+    flags = parts.where(F.col("layer") == "colorful").where("image = 'run'").select(dots.is_red().alias("red"), dots.is_solid_circle().alias("solid"), dots.has_symbol().alias("symbol"), dots.is_low_res_point().alias("low"), dots.is_header_noise().alias("noise"))
+    assert flags.where("symbol or noise").count() == 0 and flags.where("low").count() == 12
+
+
+def test_overlay_clusters(spark):
+    a = canvas(700, 500, ())
+    spots = [(200 + 40 * k, 300 + (60 if k % 3 else 0) + 10 * k) for k in range(9)]
+    for x, y in spots:
+        disc(a, x, y, 8, RED)
+    df = images(spark, a=a)
+    found = dots.overlay_clusters(scenes.component_table(df), scenes.read_legends(df)).collect()
+    assert [(r.n, r.route_score > 0) for r in found] == [(9, True)]
+
+
+def test_row_colors(spark):
+    df = images(spark, a=canvas(520, 250))
+    rows = spark.createDataFrame([("a", 1, 1 - 13 / 70), ("a", 2, 1 - 45 / 70), ("a", 3, 0.0)], "image string, row long, y_center double")
+    assert {r.row: (r.r, r.g, r.b) for r in scenes.row_colors(df, rows).collect()} == {1: BLUE, 2: RED}
 
 
 def test_legends(spark):
