@@ -90,5 +90,55 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)
+), k AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(gram, chr(10) ORDER BY gram)) AS kind FROM s GROUP BY doc_id
+), r AS (
+  SELECT kind, any_value(n) AS n, min(doc_id) AS rep FROM k GROUP BY kind
+), t AS (
+  SELECT r.rep, gram FROM r JOIN s ON s.doc_id = r.rep
+), p AS (
+  SELECT a.rep AS a, b.rep AS b, count(*) AS same FROM t a JOIN t b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN r x ON x.rep = a JOIN r y ON y.rep = b WHERE 100 * same >= 80 * (x.n + y.n - same)
+), q AS (
+  SELECT rep AS node, rep AS root FROM r UNION SELECT l.b AS node, q.root FROM q JOIN l ON l.a = q.node WHERE q.root < l.b
+), c AS (
+  SELECT node, min(root) AS root FROM q GROUP BY node
+), m AS (
+  SELECT a, count(*) AS n_links FROM l GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, CAST(coalesce(m.n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN k USING (doc_id) LEFT JOIN r USING (kind) LEFT JOIN c ON c.node = r.rep LEFT JOIN m ON m.a = r.rep
+"""
+
+OP3_SQL = """
+WITH s AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM s
+"""
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)
+), f AS (
+  SELECT gram, min(doc_id) AS first FROM g GROUP BY gram
+), c AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(i, i + 12)) AS p FROM g JOIN f USING (gram) WHERE first < doc_id)
+), k AS (
+  SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS kept FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) x ANTI JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY x.doc_id
+), n AS (
+  SELECT doc_id, count(*) AS n_removed FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op3_warc_round_trip": OP3_SQL, "op4_benchmark_decontamination": OP4_SQL, "op10_substring_dedup": OP10_SQL}
