@@ -79,12 +79,29 @@ def _signatures(size: int, percent: int, frequent: np.ndarray):
     return run
 
 
-def _sets(size: int):
+BITS = 24
+
+
+def _marked(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2 MB, whatever the table: which hashes of (id, own) there are."""
+    x = F.pmod(F.xxhash64("id", "own"), F.lit(1 << BITS)) + 1
+    rows = ids.select(x.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros((1 << BITS) // 8, np.uint8)
+    for r in rows.collect():
+        out[(r["bucket"] - 1) * 4096 : r["bucket"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+def _sets(size: int, marked: np.ndarray):
+    """The whole sets of rows whose mark is set: those that are wanted, and few others as long as few are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, known, size).tobytes() for t in b["text"].to_pylist()]
-            yield pa.record_batch({"digest": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "all": pa.array(sets, pa.binary())})
+            at = b["at"].to_numpy()
+            some = b.take(pa.array(np.flatnonzero(marked[at >> 3] >> (at & 7).astype(np.uint8) & 1)))
+            sets = [shingle_set(t, known, size).tobytes() for t in some["text"].to_pylist()]
+            yield pa.record_batch({"doc": some["doc"], "key": some["key"], "digest": pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), "all": pa.array(sets, pa.binary())})
 
     return run
 
@@ -292,8 +309,9 @@ def _rows_and_classes(docs: DataFrame, size: int, percent: int, region: int, blo
     blocks = F.greatest(F.ceil(F.count("*") / (block // 2)), F.ceil(F.sum("n") * 8 / block_bytes), F.lit(1)).cast("long")
     sizes = stored(group.groupBy("region").agg(blocks.alias("blocks")), "sizes")
     ids = group.select(F.col("least").alias("id"), F.col("first_key").alias("own"))
-    texts = base.join(ids, F.col("doc").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")), "left_semi").dropDuplicates(["doc", "key"])
-    whole = stored(texts.mapInArrow(_sets(size), "digest binary, all binary"), "whole")
+    read = base.withColumn("at", F.pmod(F.xxhash64("doc", "key"), F.lit(1 << BITS))).mapInArrow(_sets(size, _marked(ids)), "doc long, key long, digest binary, all binary")
+    wanted = read.join(ids, F.col("doc").eqNullSafe(F.col("id")) & (F.col("key") == F.col("own")), "left_semi")
+    whole = stored(wanted.dropDuplicates(["doc", "key"]).select("digest", "all"), "whole")
     parts = _in_blocks(group.drop("least", "first_key").join(sizes, "region")).join(whole, "digest").select("region", "x", "y", "side", "blocks", "doc", "digest", "n", "bits", "all")
     links, seen = stored_with(_dealt(parts).mapInArrow(_links(percent), "a long, b long, digest binary, n long, blocks long"), "links", split=F.count_if(F.col("blocks") > 1))
     joined = links.where("blocks = 1 and a <> b").select(F.col("a").alias("node"), F.col("b").alias("root"))
