@@ -35,6 +35,7 @@ LEAD = 6
 LAST = (1 << 63) - 1  # stands for a null id: larger than any other
 CODE = 6  # bytes of a word's hash that a suffix carries
 SECOND = np.uint64(0x5851F42D4C957F2D)
+MIXERS = np.random.default_rng(1).integers(0, 1 << 63, 2 * (LEAD + 25), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -77,7 +78,8 @@ class Anchors:
         np.bitwise_or.at(self.reach, which, np.int64(1) << (at - start))
         self.lead = runs[self.places].view(np.int64)
         self.padded = np.concatenate([np.zeros(self.width - 1, np.uint64), hashes, np.zeros(window, np.uint64)])
-        around = gram_hashes(self.padded, self.width - 1 + window)[self.places] ^ (self.reach.view(np.uint64) * SECOND)
+        around = self.padded[self.places[:, None] + np.arange(self.width - 1 + window)] * MIXERS[: self.width - 1 + window]
+        around = around.sum(axis=1) ^ (self.reach.view(np.uint64) * SECOND)
         _, index, inverse = np.unique(around, return_index=True, return_inverse=True)
         self.first = self.places[index[inverse]]
 
