@@ -1,9 +1,7 @@
-"""What the training-data operators share: shared folders, word splitting, mixing of hashes."""
+"""What the training-data operators share: tables, word splitting, mixing of hashes."""
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import xxhash
 from fieldlens.shipping import ship
@@ -18,12 +16,6 @@ BETWEEN_PRINT = r"[\x20\x09-\x0D]+"
 ALNUM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop what finished steps hold there: broadcasts, buffers, plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
