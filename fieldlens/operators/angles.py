@@ -105,21 +105,33 @@ def cross_verdict(points: DataFrame, directions: DataFrame | None = None) -> Dat
 
 
 def _pairs(matrix: DataFrame, directions: DataFrame) -> DataFrame:
-    """Each (source, target) of a case with its shares, from a long zone matrix and the sectors' directions."""
-    rows = matrix.groupBy("image", F.col("source").alias("s")).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("zone") == F.col("source"), F.col("n")).otherwise(0)).alias("own"))
-    columns = matrix.groupBy("image", F.col("zone").alias("z")).agg(F.sum("n").alias("zone_total"))
-    most = rows.groupBy("image").agg(F.max("total").alias("most"))
-    cells = matrix.select("image", F.col("source").alias("s"), F.col("zone").alias("t"), "n")
-    d = directions.select("image", F.col("sector").alias("s"), F.col("direction").alias("ds"))
-    sides = rows.join(d, ["image", "s"]).join(most, "image")
-    targets = sides.select("image", F.col("s").alias("t"), F.col("total").alias("t_total"), F.col("own").alias("t_own"), F.col("ds").alias("dt"))
-    p = sides.join(targets, "image").where("s <> t").join(cells, ["image", "s", "t"], "left").join(columns.withColumnRenamed("z", "t"), ["image", "t"], "left")
-    st = F.coalesce("n", F.lit(0))
-    foreign = F.coalesce("zone_total", F.lit(0)) - st - F.col("t_own")
-    p = p.where("total > 0").select(
-        "image", "s", "t", "total", "most", st.alias("moved"), (F.col("own") / F.col("total")).alias("own_share"), (st / F.col("total")).alias("share"),
-        F.try_divide(F.col("t_own"), F.col("t_total")).alias("t_own_share"), F.try_divide(foreign, F.col("zone_total")).alias("t_other"),
-        ((F.col("total") - F.col("own") - st) / F.col("total")).alias("s_other"), geo.separation(F.col("ds"), F.col("dt")).alias("apart"),
+    """Each (source, target) of a case with its shares, from a long zone matrix and the sectors' directions.
+
+    Rows meet by image in one shuffle and without a join: a broadcast would bring all images to the driver where
+    Spark takes an exploded table for small.
+    """
+    kind = matrix.schema["source"].dataType.simpleString()
+    n = matrix.schema["n"].dataType.simpleString()
+    sector, zone = F.col("source"), F.col("zone").cast(kind)
+    side = lambda k, row, own, cell, zn: F.struct(k.alias("k"), F.lit(row).alias("row"), own.cast(n).alias("own"), cell.alias("cell"), zn.cast(n).alias("zn"))
+    cell = F.struct(zone.alias("z"), F.col("n").alias("n"))
+    both = F.array(side(sector, True, F.when(F.col("zone") == sector, F.col("n")).otherwise(0), cell, F.lit(None)), side(zone, False, F.lit(None), F.when(F.lit(False), cell), F.col("n")))
+    rows = matrix.where("image is not null").select("image", F.explode(both).alias("b")).select("image", "b.*", F.lit(None).cast("struct<d:double>").alias("look"))
+    look = F.struct(F.col("direction").cast("double").alias("d"))
+    looks = directions.where("image is not null").select("image", F.col("sector").cast(kind).alias("k"), F.lit(False).alias("row"), F.lit(None).cast(n).alias("own"), F.lit(None).cast(f"struct<z:{kind},n:{n}>").alias("cell"), F.lit(None).cast(n).alias("zn"), look.alias("look"))
+    sides = rows.unionByName(looks).groupBy("image", "k").agg(
+        F.bool_or("row").alias("row"), F.sum("cell.n").alias("total"), F.sum("own").alias("own"), F.sum("zn").alias("zone_total"), F.collect_set("cell").alias("cells"), F.collect_set("look").alias("looks")
+    )
+    image = Window.partitionBy("image")
+    sides = sides.where("row").withColumn("most", F.max("total").over(image)).where("k is not null").withColumn("d", F.explode("looks")).select("image", "k", "total", "own", "zone_total", "cells", "most", F.col("d.d").alias("d"))
+    p = sides.withColumn("t", F.collect_list(F.struct("k", "total", "own", "zone_total", "d")).over(image)).where("total > 0").withColumn("t", F.explode("t")).where("k <> t.k")
+    p = p.withColumn("cell", F.explode_outer(F.filter("cells", lambda c: c["z"] == F.col("t.k"))))
+    st = F.coalesce("cell.n", F.lit(0))
+    foreign = F.coalesce("t.zone_total", F.lit(0)) - st - F.col("t.own")
+    p = p.select(
+        "image", F.col("k").alias("s"), F.col("t.k").alias("t"), "total", "most", st.alias("moved"), (F.col("own") / F.col("total")).alias("own_share"), (st / F.col("total")).alias("share"),
+        F.try_divide(F.col("t.own"), F.col("t.total")).alias("t_own_share"), F.try_divide(foreign, F.col("t.zone_total")).alias("t_other"),
+        ((F.col("total") - F.col("own") - st) / F.col("total")).alias("s_other"), geo.separation(F.col("d"), F.col("t.d")).alias("apart"),
     )
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("image", "s").orderBy(F.desc("moved"), "t")))
 
@@ -127,8 +139,8 @@ def _pairs(matrix: DataFrame, directions: DataFrame) -> DataFrame:
 def _best(rows: DataFrame, kind: str, both: bool) -> DataFrame:
     first = Window.partitionBy("image").orderBy(F.desc("score"), "s", "t")
     best = rows.withColumn("k", F.row_number().over(first)).where("k = 1")
-    one = best.select("image", F.lit(kind).alias("kind"), F.col("s").alias("source"), F.col("t").alias("target"))
-    return one.unionByName(best.select("image", F.lit(kind).alias("kind"), F.col("t").alias("source"), F.col("s").alias("target"))) if both else one
+    ways = [F.struct(F.col("s").alias("source"), F.col("t").alias("target")), F.struct(F.col("t").alias("source"), F.col("s").alias("target"))]
+    return best.select("image", F.lit(kind).alias("kind"), F.explode(F.array(*ways[: 1 + both])).alias("w")).select("image", "kind", "w.source", "w.target")
 
 
 def late_handover(matrix: DataFrame, directions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldlens.functions import color, geo, text
 from fieldlens.operators import angles, captions, reports, shapes, sites
+from fieldlens.plans import angle_queries
 
 
 def one(spark, *cols):
@@ -72,6 +73,21 @@ def test_late_handover_cases(spark):
     assert [(r.source, r.target) for r in angles.late_handover(m, d).collect()] == [(1, 0)]
 
 
+def broadcasts(df):
+    return "Broadcast" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_late_handover_meets_without_broadcast(spark, data):
+    assert not broadcasts(angle_queries.late_ho_rules(spark, str(data)))
+    m = matrix(spark, [[221, 0, 15], [64, 0, 118], [113, 369, 433]]).where("n > 0")
+    m = m.unionByName(m.selectExpr("'d' as image", "source", "zone", "n")).unionByName(m.selectExpr("'e' as image", "source", "zone", "n")).unionByName(m.selectExpr("cast(null as string) as image", "source", "zone", "n"))
+    m = m.unionByName(spark.createDataFrame([("c", None, 2, 1), ("c", 2, None, 1), ("f", 0, 0, 5)], "image string, source int, zone int, n long"))
+    d = directions(spark, 102.13, 285.68, 308.04)
+    d = d.unionByName(d.selectExpr("'d' as image", "sector", "direction").where("sector < 2")).unionByName(d.selectExpr("'e' as image", "sector", "direction").where("sector > 0")).unionByName(d.selectExpr("'g' as image", "sector", "direction"))
+    got = angles.late_handover(m, d.unionByName(d))
+    assert sorted((r.image, r.source, r.target) for r in got.collect()) == [("c", 1, 0), ("d", 1, 0)]
+
+
 def test_pair_late_handover_cases(spark):
     d = directions(spark, 66.92, 189.07, 316.66)
     metrics = spark.createDataFrame([("c", 0.0275, 0.1836)], "image string, misassigned double, mixed double")
