@@ -136,6 +136,12 @@ def _pairs(matrix: DataFrame, directions: DataFrame) -> DataFrame:
     return p.withColumn("rank", F.row_number().over(Window.partitionBy("image", "s").orderBy(F.desc("moved"), "t")))
 
 
+def _calm(pairs: DataFrame, metrics: DataFrame, intrusion: DataFrame) -> DataFrame:
+    """pairs of the images and source sectors that are in both; sorted and merged, as neither is small for certain."""
+    own = intrusion.select("image", F.col("sector").alias("s"))
+    return pairs.join(metrics.select("image").hint("merge"), "image", "left_semi").join(own.hint("merge"), ["image", "s"], "left_semi")
+
+
 def _best(rows: DataFrame, kind: str, both: bool) -> DataFrame:
     first = Window.partitionBy("image").orderBy(F.desc("score"), "s", "t")
     best = rows.withColumn("k", F.row_number().over(first)).where("k = 1")
@@ -152,19 +158,15 @@ def late_handover(matrix: DataFrame, directions: DataFrame) -> DataFrame:
 
 def pair_late_handover(matrix: DataFrame, directions: DataFrame, metrics: DataFrame, intrusion: DataFrame) -> DataFrame:
     """Both directions between two sectors that reach into one another. metrics: (image, misassigned, mixed)."""
-    calm = metrics.where("misassigned <= 0.08 and mixed <= 0.20").select("image")
-    own = intrusion.select("image", F.col("sector").alias("s"), F.col("ratio").alias("intruding"))
-    p = _pairs(matrix, directions).where("rank = 1").join(calm, "image").join(own, ["image", "s"])
-    p = p.where("own_share >= 0.75 and share >= 0.15 and intruding between 0.18 and 0.24 and s_other <= 0.05 and t_own_share >= 0.90 and t_other <= 0.08 and apart >= 90")
+    p = _pairs(matrix, directions).where("rank = 1 and own_share >= 0.75 and share >= 0.15 and s_other <= 0.05 and t_own_share >= 0.90 and t_other <= 0.08 and apart >= 90")
+    p = _calm(p, metrics.where("misassigned <= 0.08 and mixed <= 0.20"), intrusion.where("ratio between 0.18 and 0.24"))
     score = F.col("share") * 0.45 + F.col("own_share") * 0.20 + F.col("t_own_share") * 0.20 + (1 - F.col("t_other")) * 0.10 + F.least(F.col("apart") / 180, F.lit(1.0)) * 0.05
     return _best(p.withColumn("score", score), "late_ho_pair", both=True)
 
 
 def minor_pair_late_handover(matrix: DataFrame, directions: DataFrame, metrics: DataFrame, intrusion: DataFrame) -> DataFrame:
-    calm = metrics.where("misassigned <= 0.02 and mixed <= 0.05").select("image")
-    own = intrusion.select("image", F.col("sector").alias("s"), F.col("ratio").alias("intruding"))
-    p = _pairs(matrix, directions).where("rank = 1").join(calm, "image").join(own, ["image", "s"])
-    p = p.where("share between 0.015 and 0.05 and intruding <= 0.05 and t_own_share >= 0.95 and apart >= 90")
+    p = _pairs(matrix, directions).where("rank = 1 and share between 0.015 and 0.05 and t_own_share >= 0.95 and apart >= 90")
+    p = _calm(p, metrics.where("misassigned <= 0.02 and mixed <= 0.05"), intrusion.where("ratio <= 0.05"))
     score = F.col("share") * 0.45 + F.col("t_own_share") * 0.35 + F.least(F.col("apart") / 180, F.lit(1.0)) * 0.20
     return _best(p.withColumn("score", score), "late_ho_minor_pair", both=True)
 

@@ -100,6 +100,18 @@ def test_pair_late_handover_cases(spark):
     assert sorted((r.kind, r.source, r.target) for r in got) == [("late_ho_minor_pair", 0, 2), ("late_ho_minor_pair", 2, 0)]
 
 
+def test_pair_late_handover_meets_without_broadcast(spark, data):
+    assert not broadcasts(angle_queries.pair_ho_rules(spark, str(data))) and not broadcasts(angle_queries.minor_pair_rules(spark, str(data)))
+    m = matrix(spark, [[622, 0, 0], [3, 273, 62], [14, 0, 769]])
+    m = m.unionByName(m.selectExpr("'d' as image", "source", "zone", "n")).unionByName(m.selectExpr("'e' as image", "source", "zone", "n"))
+    d = directions(spark, 66.92, 189.07, 316.66)
+    d = d.unionByName(d.selectExpr("'d' as image", "sector", "direction")).unionByName(d.selectExpr("'e' as image", "sector", "direction"))
+    metrics = spark.createDataFrame([("c", 0.08, 0.20), ("c", 0.0, 0.0), ("d", 0.09, 0.0), ("e", 0.0, 0.0)], "image string, misassigned double, mixed double")
+    own = spark.createDataFrame([("c", 1, 0.18), ("c", 1, 0.2), ("d", 1, 0.2), ("e", 1, 0.25), ("e", 2, 0.2)], "image string, sector int, ratio double")
+    got = angles.pair_late_handover(m, d, metrics, own).collect()
+    assert sorted(tuple(r) for r in got) == [("c", "late_ho_pair", 1, 2), ("c", "late_ho_pair", 2, 1)]
+
+
 def test_captions(spark):
     wanted = {"Serving Cell ID": "serving_cell_id", "Best Server": "best_server", "CS RxLev": "cs_rxlev", "Cells Qualité SINR": "quality_sinr", "Best RSCP in active set in connect state": "coverage_rscp", "Best Ec/Io in active set": "quality_ecno", "Débit DL en mobilité": "throughput_dl", "Débit UL en mobilité": "throughput_ul", "hello": None}
     got = captions.match_profile(spark.createDataFrame([(t,) for t in wanted], "value string")).collect()
