@@ -61,17 +61,27 @@ def nearby_score(anchors: DataFrame, cells: DataFrame, on: list[str], reach: int
     """Per anchor: score, sum of 12 strength / (1 + distance) over captions within reach, and the first most of them as
     texts "A1: value", sorted.
 
-    Cells are dealt into squares of the grid as wide as the reach, so that anchors meet only the
-    squares around them.
+    Places meet, not cells: captions of one place are their sum and their first texts, anchors of one place ask once.
+    Places are dealt into squares of the grid as wide as the reach, so that anchors meet only the squares around them.
     """
-    side = reach + 1
+    side, place = reach + 1, [*on, "row", "col"]
     cell = lambda c: F.floor(F.col(c) / side)
-    a = anchors.withColumn("gr", F.explode(F.array(cell("row") - 1, cell("row"), cell("row") + 1))).withColumn("gc", F.explode(F.array(cell("col") - 1, cell("col"), cell("col") + 1)))
-    c = cells.where("strength > 0").select(*on, cell("row").alias("gr"), cell("col").alias("gc"), F.col("row").alias("r2"), F.col("col").alias("c2"), "strength", "value")
+    known = "row is not null and col is not null"
+    held = cells.where(f"strength > 0 and {known}")
+    sums = held.groupBy(*place).agg(F.sum("strength").alias("strength"))
+    said = held.select(*place, F.concat(text.cell_ref(F.col("row"), F.col("col")), F.lit(": "), F.col("value")).alias("said")).where("said is not null")
+    said = said.withColumn("k", F.row_number().over(Window.partitionBy(*place).orderBy("said"))).where(F.col("k") <= most).groupBy(*place).agg(F.collect_list("said").alias("said"))
+    c = sums.join(said.hint("merge"), place, "left").select(*on, cell("row").alias("gr"), cell("col").alias("gc"), F.col("row").alias("r2"), F.col("col").alias("c2"), "strength", "said")
+    a = anchors.where(known).select(*place).distinct()
+    a = a.withColumn("gr", F.explode(F.array(cell("row") - 1, cell("row"), cell("row") + 1))).withColumn("gc", F.explode(F.array(cell("col") - 1, cell("col"), cell("col") + 1)))
     d = F.abs(F.col("row") - F.col("r2")) + F.abs(F.col("col") - F.col("c2"))
-    near = a.join(c, [*on, "gr", "gc"]).withColumn("distance", d).where(F.col("distance") <= reach)
-    agg = near.groupBy(*on, "anchor_no").agg(F.sum(12 * F.col("strength") / (1 + F.col("distance"))).alias("score"), F.slice(F.sort_array(F.collect_list(F.concat(text.cell_ref(F.col("r2"), F.col("c2")), F.lit(": "), F.col("value")))), 1, most).alias("texts"))
-    return anchors.select(*on, "anchor_no").join(agg, [*on, "anchor_no"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    near = a.join(c.hint("merge"), [*on, "gr", "gc"]).withColumn("distance", d).where(F.col("distance") <= reach)
+    first = lambda lists: F.slice(F.sort_array(F.flatten(F.collect_list(lists))), 1, most)
+    at = near.groupBy(*place).agg(F.sum(12 * F.col("strength") / (1 + F.col("distance"))).alias("score"), first("said").alias("texts"))
+    stand = anchors.groupBy(*place, "anchor_no").agg(F.count("*").alias("times")).join(at.hint("merge"), place)
+    again = F.flatten(F.array_repeat("texts", F.least("times", F.lit(most)).cast("int")))
+    agg = stand.groupBy(*on, "anchor_no").agg(F.sum(F.col("times") * F.col("score")).alias("score"), first(again).alias("texts"))
+    return anchors.select(*on, "anchor_no").join(agg.hint("merge"), [*on, "anchor_no"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def offset_probe(labels: DataFrame, cells: DataFrame, on: list[str], offsets: list[tuple[int, int]] = OFFSETS) -> DataFrame:

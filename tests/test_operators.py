@@ -118,6 +118,39 @@ def test_captions(spark):
     assert {r.value: r.profile for r in got} == wanted
 
 
+def most_joined(spark, df):
+    """The most rows that a join gives as df runs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        run = df._jdf.queryExecution()
+        run.toRdd().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+    def walk(node):
+        own = node.metrics().apply("numOutputRows").value() if "Join" in node.nodeName() else 0
+        return max([own, *[walk(node.children().apply(k)) for k in range(node.children().size())]])
+
+    return walk(run.executedPlan())
+
+
+def test_nearby_score_meets_by_places(spark):
+    spots = [(0, 3, 4), (0, 3, 14), (0, 9, 8), (0, 13, 4), (0, 14, 4), (0, 40, 20), (1, 3, 4), (0, None, 4), (None, 3, 4)]
+    cells = [(*spots[k % len(spots)], None if k % 11 == 0 else f"v{k * 7 % 50}", k % 4 if k % 13 else None) for k in range(900)]
+    anchors = [(*spots[k % len(spots)], k // 2 if k % 17 else None) for k in range(300)] + [(2, 0, 0, 7)]
+    c = spark.createDataFrame(cells, "sheet int, row int, col int, value string, strength int")
+    a = spark.createDataFrame(anchors, "sheet int, row int, col int, anchor_no long")
+    got = captions.nearby_score(a, c, ["sheet"])
+    assert 0 < most_joined(spark, captions.nearby_score(a, c, ["sheet"])) <= 1000
+    scores, texts = {}, {}
+    for (s, r, k, no), (s2, r2, k2, value, strength) in itertools.product(anchors, cells):
+        if None not in (s, r, k, no, r2) and s == s2 and (strength or 0) > 0 and abs(r - r2) + abs(k - k2) <= 10:
+            scores[s, no] = scores.get((s, no), 0) + 12 * strength / (1 + abs(r - r2) + abs(k - k2))
+            texts.setdefault((s, no), []).extend([f"{chr(65 + k2)}{r2 + 1}: {value}"] * (value is not None))
+    want = [(s, no, round(scores.get((s, no), 0.0), 6), sorted(texts[s, no])[:6] if (s, no) in texts else None) for s, _, _, no in anchors]
+    assert sorted([(r.sheet, r.anchor_no, round(r.score, 6), r.texts) for r in got.collect()], key=repr) == sorted(want, key=repr)
+
+
 def test_throughput(spark):
     rows = spark.createDataFrame([("L2100", 24.0, 16.0), ("L800", 12.0, 8.0), ("L800", 15.0, 10.0), (None, 90.0, 90.0)], "band string, dl_mbps double, ul_mbps double")
     got = captions.throughput_verdict(rows).collect()
