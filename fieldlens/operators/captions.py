@@ -51,10 +51,35 @@ def match_profile(cells: DataFrame, value: str = "value", least: int = 4, table:
 
 
 def nearest_anchor(cells: DataFrame, anchors: DataFrame, on: list[str]) -> DataFrame:
-    """Each cell with its closest anchor by rows plus columns; the lowest anchor_no of equals. Sheets hold few anchors."""
-    listed = anchors.groupBy(*on).agg(F.sort_array(F.collect_list(F.struct("anchor_no", "row", "col"))).alias("_all"))
-    near = F.array_min(F.transform("_all", lambda a: F.struct((F.abs(a["row"] - F.col("row")) + F.abs(a["col"] - F.col("col"))).alias("distance"), a["anchor_no"].alias("anchor_no"))))
-    return cells.join(listed, on).withColumn("_near", near).select(*cells.columns, F.col("_near.anchor_no").alias("anchor_no"), F.col("_near.distance").alias("distance"))
+    """Each cell with its closest anchor by rows plus columns; the lowest anchor_no of equals. Cells and anchors without a
+    place come last: they have the lowest anchor_no and no distance. Sheets without anchors have no rows.
+
+    Each place of cells asks once. The columns up to a place's own are parted into stretches of 1, 2, 4, ... columns, one
+    at most of each width; anchors stand in all stretches around them, and one pass down and one up the rows of a
+    stretch keeps the best so far. The same from the right. So no cell meets all anchors of a sheet.
+    """
+    place, known = [*on, "row", "col"], F.col("row").isNotNull() & F.col("col").isNotNull()
+    number = F.struct(F.col("anchor_no").isNull().alias("none"), F.col("anchor_no").alias("anchor_no"))
+    box = anchors.groupBy(*on).agg(F.min(F.when(known, F.col("col"))).cast("long").alias("lo"), F.max(F.when(known, F.col("col"))).cast("long").alias("hi"), F.min(number).alias("lowest"))
+    box = box.withColumn("wide", F.col("hi") - F.col("lo") + 1).withColumn("bits", F.sequence(F.lit(0), F.length(F.bin("wide")) - 1)).hint("merge")
+    row, left, right = F.col("row").cast("long"), F.col("col") - F.col("lo"), F.col("hi") - F.col("col")
+    half = lambda x, bit: F.call_function("shiftright", x, bit)
+    node = lambda side, x, bit, at: F.struct(F.lit(side).alias("side"), bit.alias("bit"), at.alias("node"), x.alias("x"))
+    holds = lambda side, x: F.transform(F.filter("bits", lambda i: half(x, i) % 2 == 0), lambda i: node(side, x, i, half(x, i)))
+    upto = lambda x: F.least(F.greatest(x + 1, F.lit(0)), F.col("wide"))
+    asks = lambda side, x: F.transform(F.filter("bits", lambda i: half(upto(x), i) % 2 == 1), lambda i: node(side, x, i, half(upto(x), i) - 1))
+    stand = anchors.where(known).groupBy(*place).agg(F.min(number).alias("number")).join(box, on)
+    stand = stand.select(*place, "number", F.lit(None).cast(box.schema["lowest"].dataType).alias("lowest"), F.explode(F.concat(holds(0, left), holds(1, right))).alias("n"))
+    ask = cells.select(*place).distinct().join(box, on)
+    ask = ask.select(*place, F.lit(None).cast(box.schema["lowest"].dataType).alias("number"), "lowest", F.explode_outer(F.when(known, F.concat(asks(0, left), asks(1, right)))).alias("n"))
+    along = Window.partitionBy(*on, "n.side", "n.bit", "n.node")
+    so_far = lambda r, order: F.min(F.when(F.col("number").isNotNull(), F.struct((r - F.col("n.x")).alias("d"), F.col("number")))).over(along.orderBy(order))
+    swept = stand.unionByName(ask).withColumn("above", so_far(-row, F.asc("row"))).withColumn("below", so_far(row, F.desc("row"))).where("lowest is not null")
+    found = lambda c, r: F.when(F.col(c).isNotNull(), F.struct((F.col(f"{c}.d") + F.col("n.x") + r).alias("distance"), F.col(f"{c}.number")))
+    best = swept.groupBy(*place).agg(F.min(F.least(found("above", row), found("below", -row))).alias("best"), F.min("lowest").alias("lowest"))
+    kept = [*[F.col(k).alias(f"_{k}") for k in place], F.coalesce("best.number", "lowest")["anchor_no"].alias("anchor_no"), F.col("best.distance").cast(cells.schema["row"].dataType).alias("distance")]
+    same = [F.col(k) == F.col(f"_{k}") for k in on] + [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("row", "col")]
+    return cells.join(best.select(*kept).hint("merge"), same).select(*cells.columns, "anchor_no", "distance")
 
 
 def nearby_score(anchors: DataFrame, cells: DataFrame, on: list[str], reach: int = 10, most: int = 6) -> DataFrame:

@@ -151,6 +151,26 @@ def test_nearby_score_meets_by_places(spark):
     assert sorted([(r.sheet, r.anchor_no, round(r.score, 6), r.texts) for r in got.collect()], key=repr) == sorted(want, key=repr)
 
 
+def test_nearest_anchor_against_all_pairs(spark):
+    import random
+
+    pick = random.Random(3)
+    spot = lambda wide, high: (pick.randrange(-high, high), pick.randrange(-wide, wide))
+    anchors = [(s, *spot(w, h), pick.randrange(40)) for s, w, h in ((0, 5, 5), (0, 200, 3), (1, 3, 300), (2, 1, 1)) for _ in range(60)] + [(1, None, 4, 0), (1, 2, 2, None), (3, 5, None, 9), (3, None, None, 8), (4, 7, 7, None), (None, 1, 1, 1)]
+    cells = [(s, *spot(w, h)) for s in (0, 1, 2, 4, 5) for w, h in ((6, 6), (400, 400)) for _ in range(60)] + [(1, None, 3), (3, 1, 1), (None, 1, 1), (0, 2, 2), (0, 2, 2)]
+    a, c = spark.createDataFrame(anchors, "sheet int, row int, col int, anchor_no long"), spark.createDataFrame([(k, *x) for k, x in enumerate(cells)], "id int, sheet int, row int, col int")
+    got = captions.nearest_anchor(c, a, ["sheet"])
+    assert got.columns == ["id", "sheet", "row", "col", "anchor_no", "distance"] and got.schema["distance"].dataType.simpleString() == "int"
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for k, (s, r, col) in enumerate(cells):
+        far = [(None in (r, col, r2, c2), abs((r or 0) - (r2 or 0)) + abs((col or 0) - (c2 or 0)) if None not in (r, col, r2, c2) else 0, no is None, no or 0) for s2, r2, c2, no in anchors if s is not None and s == s2]
+        if far:
+            lost, d, none, no = min(far)
+            want.append((k, None if none else no, None if lost else d))
+    assert sorted((r.id, r.anchor_no, r.distance) for r in got.collect()) == sorted(want)
+
+
 def test_throughput(spark):
     rows = spark.createDataFrame([("L2100", 24.0, 16.0), ("L800", 12.0, 8.0), ("L800", 15.0, 10.0), (None, 90.0, 90.0)], "band string, dl_mbps double, ul_mbps double")
     got = captions.throughput_verdict(rows).collect()
